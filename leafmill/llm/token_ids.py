@@ -13,6 +13,8 @@ itself, so that the almost constant high planes cost next to nothing.  Planes of
 
 from __future__ import annotations
 
+import functools
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -23,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import coded, documents, materialise, shared_folder, slices, starts, strings, words
+from leafmill.llm.common import LOWER_TABLE, coded, documents, materialise, shared_folder, slices, starts, strings, translated, words
 from leafmill.llm.files import BinaryFile, partition_name, read_files
 
 MAGIC = b"IDPLANE1"
@@ -116,72 +118,108 @@ class IdFile:
 class WordEncoder:
     """Ids of many texts, by way of their distinct words.
 
-    The tokenizer drops white space and no token crosses it, so a text's ids are those of its words in turn; each distinct
-    word of a slice goes to the tokenizer once.  Words are divided by ASCII white space only; other white space stays inside
-    a "word" for the tokenizer to deal with.  Between words a special token marks the bounds; words that hold such a
-    token's text are encoded one by one.
+    The tokenizer drops white space, lower-cases, and never joins a letter or digit and the punctuation after it, so a text's
+    ids are those of its words in turn, and a word's those of its core (in lower case) and of the stops and commas at its
+    end.  Each distinct core goes to the tokenizer once, as long as it is remembered.  Words are divided by ASCII white space
+    only; other white space stays inside a "word" for the tokenizer to deal with.
+
+    Cores of a-z alone are single words to the tokenizer and go to its model without normalising, many at a time; a token
+    that ends a word tells them apart.  Others go through the whole tokenizer with a special token between them, and those
+    that hold such a token's text one by one.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
-        self.mark = next(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.mark_id = self.tokenizer.token_to_id(self.mark)
         self.odd = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, int] = {}
-        self.ids, self.ends = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
-
-    def _encode(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all the words, and how many each has."""
-        plain = [w for w in new if not any(x in w for x in self.odd)]
-        groups = [self.mark.join(plain[i : i + 1000]) + self.mark for i in range(0, len(plain), 1000)]
-        found = np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False))])
-        marks = np.flatnonzero(found == self.mark_id)
-        counts = np.diff(marks, prepend=-1) - 1
-        if len(marks) != len(plain):
+        self.mark, self.mark_id = self.odd[0], self.tokenizer.token_to_id(self.odd[0])
+        layout = json.loads(self.tokenizer.to_str())
+        self.plain = None
+        if suffix := layout["model"].get("end_of_word_suffix"):
+            self.plain = Tokenizer.from_str(json.dumps(layout | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None}))
+            self.ends_word = np.zeros(max(layout["model"]["vocab"].values()) + 1, bool)
+            self.ends_word[[i for t, i in layout["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Entry 0 is empty.
+        self.known: dict[bytes, int] = {b"": 0}
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(2, np.int64)
+
+    def _add(self, new: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.ids, self.ends = np.concatenate([self.ids, ids]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
+
+    def _learn(self, new: list[bytes]) -> None:
+        plain = [w for w in new if self.plain and w.isalpha() and w.isascii()]
+        other = [w for w in new if not (self.plain and w.isalpha() and w.isascii())]
+        if plain:
+            ids = self._joined(self.plain, [w.decode() for w in plain], " ", "")
+            last = np.flatnonzero(self.ends_word[ids])
+            self._checked_add(plain, ids, np.diff(last, prepend=-1))
+        texts = {w: w.decode("utf-8", "replace") for w in other}
+        special = {w for w, t in texts.items() if any(x in t for x in self.odd)}
+        marked = [w for w in other if w not in special]
+        if marked:
+            ids = self._joined(self.tokenizer, [texts[w] for w in marked], self.mark, self.mark)
+            bounds = ids == self.mark_id
+            self._checked_add(marked, ids[~bounds], np.diff(np.flatnonzero(bounds), prepend=-1) - 1)
+        for w in special:
+            ids = np.array(self.tokenizer.encode(texts[w], add_special_tokens=False).ids, np.uint32)
+            self._add([w], ids, np.array([len(ids)]))
+
+    def _checked_add(self, new: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
+        if len(counts) != len(new):
             raise ValueError("the tokenizer lost a bound between words")
-        found = found[found != self.mark_id]
-        if len(plain) == len(new):
-            return found, counts
-        pieces, at, each, k = [], starts(counts), [], 0
-        for w in new:
-            if any(x in w for x in self.odd):
-                pieces.append(np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32))
-            else:
-                pieces.append(found[at[k] : at[k + 1]])
-                k += 1
-            each.append(len(pieces[-1]))
-        return np.concatenate(pieces), np.array(each)
+        self._add(new, ids, counts)
+
+    @staticmethod
+    def _joined(tokenizer, texts: list[str], between: str, after: str, n: int = 1000) -> np.ndarray:
+        groups = [between.join(texts[i : i + n]) + after for i in range(0, len(texts), n)]
+        return np.concatenate([np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(groups, add_special_tokens=False)])
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with the end id after it, and how many each text has."""
-        flat, n_words = words(texts)
+        flat, n_words = words(translated(texts, LOWER_TABLE))
         distinct, codes = coded(flat)
-        if len(self.known) + len(distinct) > self.keep:
-            self.known, self.ids, self.ends = {}, [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
-        new = [w for w in distinct if w not in self.known]
-        if new:
-            ids, counts = self._encode([w.decode("utf-8", "replace") for w in new])
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.ids, self.ends = [np.concatenate([*self.ids, ids])], [np.concatenate([*self.ends, self.ends[-1][-1] + np.cumsum(counts)])]
-        pool, ends = np.append(self.ids[0], np.uint32(end_id)), np.append(self.ends[0], self.ends[0][-1] + 1)
-        of = np.array([self.known[w] for w in distinct], np.int64)[codes] if distinct else np.zeros(0, np.int64)
-        order = np.insert(of, np.cumsum(n_words), len(ends) - 2)  # the last entry of the pool is the end id
+        cores, stops = [], []
+        for w in distinct:
+            core = w.rstrip(b".,") if w[-1:] in b".," else w
+            if core is not w and not core[-1:].isalnum():
+                core = w
+            cores.append(core)
+            stops.append(w[len(core) :])
+        if len(self.known) > self.keep:
+            self._forget()
+        if new := {*cores, *stops}.difference(self.known):
+            self._learn(sorted(new))
+        # A place for each word's core and one for its stops; the end id follows each text's last.
+        pool, ends = np.append(self.ids, np.uint32(end_id)), np.append(self.ends, self.ends[-1] + 1)
+        order = np.empty(2 * len(codes), np.int64)
+        known = self.known
+        order[0::2] = np.array([known[w] for w in cores], np.int64)[codes] if distinct else []
+        order[1::2] = np.array([known[w] for w in stops], np.int64)[codes] if distinct else []
+        order = np.insert(order, 2 * np.cumsum(n_words), len(ends) - 2)
         lengths = np.diff(ends)[order]
-        first = ends[:-1][order]
         total = starts(lengths)
-        ids = pool[np.repeat(first - total[:-1], lengths) + np.arange(total[-1])]
-        return ids, np.diff(total[starts(n_words + 1)])
+        ids = pool[np.repeat(ends[:-1][order] - total[:-1], lengths) + np.arange(total[-1])]
+        return ids, np.diff(total[starts(2 * n_words + 1)])
+
+
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str) -> WordEncoder:
+    """One a Python worker: what it has learned serves later tasks."""
+    return WordEncoder(path)
 
 
-def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, file_ids: int = 4 << 20, block: int = 1 << 16, planes: int = 4, partitions: int | None = None) -> DataFrame:
+def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, file_ids: int = 2 << 20, block: int = 1 << 16, planes: int = 4, partitions: int | None = None) -> DataFrame:
     """Write the files of a table's documents in ascending doc_id order; returns their index (part, sequence, n_ids, n_docs)."""
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = documents(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, sequence = WordEncoder(tokenizer), partition_name(), 0
+        encoder, part, sequence = _encoder(tokenizer), partition_name(), 0
         held: list = [[], [], []]
 
         def flush():
@@ -195,7 +233,7 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID
                 x.clear()
             return row
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             ids, counts = encoder(strings(batch.column("text")), end_id)
             held[0].append(ids)
             held[1].extend(batch.column("doc_id").to_pylist())

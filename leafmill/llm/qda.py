@@ -28,6 +28,9 @@ class Discriminant:
     means: list[np.ndarray]
     factors: list[np.ndarray]
     offsets: list[float]
+    #: Platt scaling of the difference: Gaussians are too sure of themselves, and scores of exactly 0 or 1 rank nothing.
+    slope: float = 1.0
+    shift: float = 0.0
 
     def difference(self, x: np.ndarray) -> np.ndarray:
         """Log density of class 1 less that of class 0, priors included."""
@@ -36,7 +39,19 @@ class Discriminant:
         return one[1] - one[0]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.difference(x), -60, 60)))
+        return 1 / (1 + np.exp(-(self.slope * np.arcsinh(self.difference(x)) + self.shift)))
+
+    def calibrate(self, x: np.ndarray, y: np.ndarray) -> Discriminant:
+        """Newton steps of a logistic regression on the difference, with a small penalty on the slope."""
+        a = np.stack([np.arcsinh(self.difference(x)), np.ones(len(x))], 1)
+        w = np.array([1.0, 0.0])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-a @ w))
+            g = a.T @ (p - y) + np.array([0.1, 0.01]) * (w - np.array([1.0, 0.0]))
+            h = (a * (p * (1 - p))[:, None]).T @ a + np.diag([0.1, 0.01])
+            w -= np.linalg.solve(h, g)
+        self.slope, self.shift = float(max(w[0], 0.1)), float(w[1])
+        return self
 
 
 def fit(x: np.ndarray, y: np.ndarray, shrink: float = 0.1, pool: float = 0.1, floor: float = 0.05) -> Discriminant | None:
@@ -59,7 +74,7 @@ def fit(x: np.ndarray, y: np.ndarray, shrink: float = 0.1, pool: float = 0.1, fl
         lower = np.linalg.cholesky(c)
         factors.append(np.linalg.inv(lower))
         offsets.append(float(np.log(len(g) / len(z)) - np.log(np.diag(lower)).sum()))
-    return Discriminant(centre, scale, means, factors, offsets)
+    return Discriminant(centre, scale, means, factors, offsets).calibrate(x, y)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, threshold: float = 0.7, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import decontaminate, lines, lm, mix, near, qda, rules, token_ids, warc
+from leafmill.llm import decontaminate, lines, lm, mix, near, qda, rules, secrets, token_ids, warc
 from leafmill.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.secret_spans(table(spark, sf_dir, "documents")))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -52,7 +56,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.token_ids(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_near_dedup, op4_quality_rules, op5_quality_classifier, op6_decontamination, op7_line_dedup, op8_lm_scoring, op9_warc, op10_token_ids)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_mixing, op3_near_dedup, op4_quality_rules, op5_quality_classifier, op6_decontamination, op7_line_dedup, op8_lm_scoring, op9_warc, op10_token_ids)}
 
 _KEY = r"translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

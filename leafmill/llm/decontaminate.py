@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import byte_table, coded, documents, slices, starts, strings, translated, words
+from leafmill.llm.common import byte_table, coded, documents, keep_rows, slices, starts, strings, translated, words
 from leafmill.llm.fm_index import FmIndex
 
 #: Bytes of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]`` in UTF-8, after lower-casing: digits, a-z, and all from 0x80 on.
@@ -74,6 +74,34 @@ def find(symbols: np.ndarray, counts: np.ndarray, phrases: Phrases) -> Iterator[
         yield word[index.locate(rows)], patterns.shape[1], which, items
 
 
+def searcher(benchmark: DataFrame, window: int = 10, block_words: int = 1 << 20, item_col: str = "item_id", item_text_col: str = "text") -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray, list[set[str]]]]:
+    """A function from texts to how many words each has, which words (of all texts in turn) are hit, and each text's items."""
+    context = benchmark.sparkSession.sparkContext
+    sent = [context.broadcast(b) for b in blocks(benchmark, window, block_words, item_col, item_text_col)]
+
+    def search(text: pa.Array) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
+        flat, counts = words(translated(text, TABLE))
+        distinct, codes = coded(flat)
+        at = starts(counts)
+        change = np.zeros(at[-1] + 1, np.int64)
+        of: list[set[str]] = [set() for _ in counts]
+        for block in sent:
+            phrases = block.value
+            number = phrases.numbers.get
+            symbols = np.array([number(w, 0) for w in distinct], np.int64)[codes] if distinct else np.zeros(0, np.int64)
+            for first, size, which, items in find(symbols, counts, phrases):
+                np.add.at(change, first, 1)
+                np.add.at(change, first + size, -1)
+                doc = np.searchsorted(at, first, side="right") - 1
+                for pair in np.unique(doc * len(items) + which).tolist():
+                    of[pair // len(items)].update(items[pair % len(items)])
+            if len(sent) > 1:
+                block.__dict__.pop("_value", None)  # one block at a time
+        return counts, np.cumsum(change[:-1]) > 0, of
+
+    return search
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Where windows of ``window`` words of the benchmark stand in the documents.
 
@@ -89,31 +117,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     block of the benchmark at a time (``block_words``); nothing is shuffled, and memory is bounded by a shard, or by the
     longest document, and a block.
     """
-    spark = docs.sparkSession
-    sent = [spark.sparkContext.broadcast(b) for b in blocks(benchmark, window, block_words, item_col, item_text_col)]
+    search = searcher(benchmark, window, block_words, item_col, item_text_col)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             text = strings(batch.column("text"))
-            flat, counts = words(translated(text, TABLE))
-            distinct, codes = coded(flat)
-            at = starts(counts)
-            change = np.zeros(at[-1] + 1, np.int64)
-            of: list[set[str]] = [set() for _ in counts]
-            for block in sent:
-                phrases = block.value
-                number = phrases.numbers.get
-                symbols = np.array([number(w, 0) for w in distinct], np.int64)[codes] if distinct else np.zeros(0, np.int64)
-                for first, size, which, items in find(symbols, counts, phrases):
-                    np.add.at(change, first, 1)
-                    np.add.at(change, first + size, -1)
-                    doc = np.searchsorted(at, first, side="right") - 1
-                    for pair in np.unique(doc * len(items) + which).tolist():
-                        of[pair // len(items)].update(items[pair % len(items)])
-                if len(sent) > 1:
-                    block.__dict__.pop("_value", None)  # one block at a time
-            hit = np.cumsum(change[:-1]) > 0
-            total = starts(hit)
+            counts, hit, of = search(text)
+            at, total = starts(counts), starts(hit)
             n_hit = total[at[1:]] - total[at[:-1]]
             spans = [_spans(text[i].as_py(), hit[at[i] : at[i + 1]]) if n else [] for i, n in enumerate(n_hit.tolist())]
             yield pa.RecordBatch.from_arrays(
@@ -122,7 +132,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return documents(docs, id_col, text_col).mapInArrow(search, f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<begin:long,end:long>>")
+    return documents(docs, id_col, text_col).mapInArrow(look, f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<begin:long,end:long>>")
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of docs (doc_id, text, any more) in which no window of the benchmark stands; see decontaminate."""
+    search = searcher(benchmark, **options)
+
+    def clean(text: pa.Array) -> np.ndarray:
+        counts, hit, _ = search(text)
+        at, total = starts(counts), starts(hit)
+        return total[at[1:]] == total[at[:-1]]
+
+    return keep_rows(docs, clean)
 
 
 def _spans(text: str, hit: np.ndarray) -> list[dict[str, int]]:

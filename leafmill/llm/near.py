@@ -239,3 +239,10 @@ def _across(sets: DataFrame, large: DataFrame, links: DataFrame, percent: int) -
     asking = sets.filter("blocks > 1").join(queries, ["cluster", "rep"]).select("cluster", "query", each(F.col("blocks")).alias("block"), "rep", "shingles")
     asked = sets.filter("blocks > 1").join(per, "cluster").select("cluster", each(F.col("queries")).alias("query"), "block", "rep", "shingles")
     return materialise(_block_links(asking.unionAll(asked), ["cluster", "query", "block"], percent), "near-links-across")
+
+
+def deduplicated(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs (doc_id, text, any more) of one document of each component; see near_duplicates.  Rows that repeat a
+    doc_id with the same text are one document, and all stay or go."""
+    gone = near_duplicates(docs, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone_id"), F.col("component_id").alias("_gone_to")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import bucket, documents, slices, strings
+from leafmill.llm.common import bucket, documents, keep_rows, slices, strings
 from leafmill.llm.stats import RATIOS, labelled_stats, text_stats
 
 
@@ -77,6 +77,18 @@ def fit(x: np.ndarray, y: np.ndarray, shrink: float = 0.1, pool: float = 0.1, fl
     return Discriminant(centre, scale, means, factors, offsets).calibrate(x, y)
 
 
+def scorer(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, sample: int = 20_000) -> Callable[[pa.Array], np.ndarray]:
+    """A function from texts to scores, learned from the labels of documents (doc_id, text) outside the held-out fold."""
+    x, y = labelled_stats(docs, labels, "quality", sample, keep=lambda c: bucket(c, folds) != held_out)
+    model, mean = fit(x, y), float(y.mean()) if len(y) else 0.5
+
+    def score(text: pa.Array) -> np.ndarray:
+        found = text_stats(text)
+        return model.score(np.stack([found[k] for k in RATIOS], 1)) if model else np.full(len(text), mean)
+
+    return score
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, threshold: float = 0.7, sample: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A quality score between 0 and 1 for each whole text, learned from ``labels.quality``.
 
@@ -91,15 +103,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out:
     Scoring is one pass over the text without a shuffle; a task holds a slice of a few MB, or one longer text.
     """
     d = documents(docs, id_col, text_col)
-    x, y = labelled_stats(d, labels, "quality", sample, keep=lambda c: bucket(c, folds) != held_out)
-    model, mean = fit(x, y), float(y.mean()) if len(y) else 0.5
+    score = scorer(d, labels, folds, held_out, sample)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = text_stats(strings(batch.column("text")))
-            values = np.stack([found[k] for k in RATIOS], 1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(values) if model else np.full(len(values), mean))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score(strings(batch.column("text"))))], ["doc_id", "score"])
 
     kind = d.schema["doc_id"].dataType.simpleString()
     scores = d.mapInArrow(judge, f"doc_id {kind}, score double")
     return scores.select("doc_id", F.coalesce(bucket(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
+    """The rows of docs (doc_id, text, any more) that score ``threshold`` or more; see quality_scores.  A threshold that no
+    document can reach, for want of labels of one kind, keeps those that the mean label keeps."""
+    score = scorer(documents(docs), labels, **options)
+    return keep_rows(docs, lambda text: score(text) >= threshold)

@@ -1,5 +1,8 @@
 """All queries of the conversion operators, with their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
-FLAGSHIP = ""
+from leafmill.plans.queries import QUERIES
+from leafmill.plans.sql import SQL
+
+FLAGSHIP = "toc_index"
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import numbers, text
-from leafmill.operators import assets, graph, ink, links, render, sequence
+from leafmill.operators import assets, export, graph, ink, links, render, sequence, store
 from leafmill.sources import cabinet
 
 
@@ -240,11 +240,39 @@ def cabinet_roundtrip(spark, d):
     return files.select("path", F.octet_length("content").alias("bytes"), F.md5("content").alias("md5"), "error")
 
 
+def typed_properties(spark, d):
+    props = read(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 10**12 + F.col("l_partkey") * 10**5 + F.col("l_quantity").cast("long")).alias("pos"), (F.col("l_partkey") % 3 + F.shiftleft(F.lit(5).cast("long"), 26)).alias("prop_id"), "l_quantity")
+    return store.typed_properties(props, ["l_orderkey"], {"a": (0, "double"), "b": (1, "long"), "c": (2, "double")}, value="l_quantity")
+
+
+def references(spark, d):
+    held = read(spark, d, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list("s_suppkey")).alias("own"))
+    parents = held.select("s_nationkey", F.concat(F.array(F.lit(None).cast("long"), F.lit(-1).cast("long")), "own").alias("refs"))
+    return store.dereferenced(parents, "refs", read(spark, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey")
+
+
+def id_tables(spark, d):
+    o = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("revision"), F.col("l_linenumber").cast("long").alias("index"), F.col("l_partkey").alias("guid")).groupBy("revision", "index").agg(F.max("guid").alias("guid"))
+    copies = read(spark, d, "orders").select(F.col("o_orderkey").alias("revision"), F.lit(3).cast("long").alias("index"), F.lit(1).cast("long").alias("source"), (F.col("o_custkey") % 4).alias("count"))
+    return store.id_table(o.filter("guid % 2 = 0"), copies, o)
+
+
+def object_parts(spark, d):
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"))
+    return store.parts(rows.select("l_orderkey", "l_linenumber"), rows, ["l_orderkey"], "l_linenumber", "l_linenumber", {1: "content", 2: "metadata", 4: "file"}, "l_quantity")
+
+
+def page_plan(spark, d):
+    docs = read(spark, d, "documents")
+    pages = docs.select(F.col("doc_id").alias("page"), "source", F.col("doc_id").alias("seq"), (F.col("n_chars") % 3).cast("int").alias("level"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title")).withColumnRenamed("source", "section")
+    return export.planned(pages).select("page", "path", "wiki", "parent")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         page_title_sanitized, unique_page_names, page_nav, toc_index, parent_page, nested_lists, list_numbering, merge_runs, escapes, html_escapes, url_codec, wiki_links, digests, time_formats, colors,
         ink_bounds, ink_paths, ink_pictures, reading_order, newest_wins, revision_chain, nearest_declaration, tree_paths, toc_order, resource_dedup, mime_lookup, tags_first_seen, reference_faults,
-        link_resolution, note_sizes, export_stats, front_matter, table_render, page_markdown, page_html, page_notes, cabinet_roundtrip,
+        link_resolution, note_sizes, export_stats, front_matter, table_render, page_markdown, page_html, page_notes, cabinet_roundtrip, typed_properties, references, id_tables, object_parts, page_plan,
     )
 }

@@ -227,4 +227,23 @@ SQL = {
             ']]></content><created>20240101T000000Z</created><tag>a &amp; b</tag><tag>chat</tag></note>' AS note FROM t)
         SELECT conv_id, md5(note) AS md5, length(note) AS chars FROM n""",
     "cabinet_roundtrip": "SELECT 'texts/d' || doc_id || '.txt' AS path, strlen(coalesce(text, '')) AS bytes, md5(coalesce(text, '')) AS md5, NULL::VARCHAR AS error FROM documents",
+    "typed_properties": """
+        SELECT l_orderkey, arg_min(l_quantity, l_linenumber * 1000000000000 + l_partkey * 100000 + l_quantity::BIGINT) FILTER (l_partkey % 3 = 0) AS a, arg_min(l_quantity, l_linenumber * 1000000000000 + l_partkey * 100000 + l_quantity::BIGINT) FILTER (l_partkey % 3 = 1)::BIGINT AS b,
+               arg_min(l_quantity, l_linenumber * 1000000000000 + l_partkey * 100000 + l_quantity::BIGINT) FILTER (l_partkey % 3 = 2) AS c FROM lineitem GROUP BY l_orderkey""",
+    "references": "SELECT s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) + 1 AS place, s_suppkey, s_name FROM supplier",
+    "id_tables": """
+        WITH o AS (SELECT l_orderkey AS revision, l_linenumber::BIGINT AS index, max(l_partkey) AS guid FROM lineitem GROUP BY ALL),
+        c AS (SELECT o_orderkey AS revision, 3 + k AS index, 1 + k AS source FROM orders, range(0, 3) AS r(k) WHERE k < o_custkey % 4),
+        e AS (SELECT revision, index, guid, 0 AS rank FROM o WHERE guid % 2 = 0 UNION ALL SELECT c.revision, c.index, p.guid, 1 FROM c JOIN o AS p ON p.revision = c.revision AND p.index = c.source)
+        SELECT revision, index, arg_min(guid, rank) AS guid FROM e GROUP BY revision, index""",
+    "object_parts": """
+        SELECT l_orderkey, max(l_quantity) FILTER (l_linenumber = 1) AS content, max(l_quantity) FILTER (l_linenumber = 2) AS metadata, max(l_quantity) FILTER (l_linenumber = 4) AS file FROM lineitem GROUP BY l_orderkey""",
+    "page_plan": f"""
+        WITH d AS (SELECT doc_id, source, n_chars % 3 AS level, coalesce(nullif(split_part(text, chr(10), 1), ''), 'Untitled Page') AS t FROM documents), {name('t', 80, 'd')},
+        k AS (SELECT *, row_number() OVER (PARTITION BY source, {low('n')} ORDER BY doc_id) + ({low('n')} = 'assets')::INT AS nth FROM n3),
+        s AS (SELECT *, CASE WHEN nth = 1 THEN n ELSE n || ' (' || nth || ')' END AS stem FROM k),
+        a AS (SELECT *, {', '.join(f'last_value(CASE WHEN level = {k} THEN doc_id END IGNORE NULLS) OVER w AS at{k}, max(CASE WHEN level < {k} THEN doc_id END) OVER w AS cut{k}' for k in range(2))},
+              count(*) OVER (PARTITION BY {low('stem')}) AS same FROM s WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+        SELECT doc_id AS page, source || '/' || stem || '.md' AS path, CASE WHEN same = 1 THEN stem ELSE source || '/' || stem END AS wiki,
+               CASE {' '.join(f'WHEN level = {k + 1} AND (cut{k} IS NULL OR cut{k} < at{k}) THEN at{k}' for k in range(2))} END AS parent FROM a""",
 }

@@ -78,10 +78,12 @@ def strings(array: pa.Array) -> pa.Array:
 
 
 def translated(array: pa.Array, to: bytes) -> pa.Array:
-    """Each byte of a string array replaced through a table of 256; lengths stay."""
+    """Each byte of a string array replaced through a table of 256; lengths stay.  Of a slice, only its own bytes are read."""
     _, offsets, data = array.buffers()
-    new = pa.py_buffer((data.to_pybytes() if data is not None else b"").translate(to))
-    return pa.Array.from_buffers(pa.string(), len(array), [None, offsets, new], offset=array.offset)
+    ends = np.frombuffer(offsets, np.int32, len(array) + 1, array.offset * 4) if offsets is not None and len(array) else np.zeros(1, np.int32)
+    begin, size = int(ends[0]), int(ends[-1] - ends[0])
+    new = data.slice(begin, size).to_pybytes().translate(to) if size else b""
+    return pa.Array.from_buffers(pa.string(), len(array), [None, pa.py_buffer(ends - ends[0]), pa.py_buffer(new)])
 
 
 def byte_table(is_word) -> bytes:
@@ -111,7 +113,11 @@ def coded(flat: pa.Array) -> tuple[list[bytes], np.ndarray]:
     if not len(flat):
         return [], np.zeros(0, np.int64)
     d = flat.dictionary_encode()
-    return d.dictionary.cast(pa.binary()).to_pylist(), np.asarray(d.indices).astype(np.int64)
+    return byte_list(d.dictionary), np.asarray(d.indices).astype(np.int64)
+
+
+def byte_list(array: pa.Array) -> list[bytes]:
+    return array.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
 
 
 def starts(counts: np.ndarray) -> np.ndarray:

@@ -21,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import LOWER_TABLE, coded, documents, materialise, shared_folder, slices, starts, strings, translated, words
+from leafmill.llm.common import LOWER_TABLE, byte_list, documents, materialise, shared_folder, slices, starts, strings, translated, words
 from leafmill.llm.files import BinaryFile, partition_name, read_files
 
 MAGIC = b"IDPLANE1"
@@ -182,29 +183,48 @@ class WordEncoder:
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with the end id after it, and how many each text has."""
         flat, n_words = words(translated(texts, LOWER_TABLE))
-        distinct, codes = coded(flat)
-        cores, stops = [], []
-        for w in distinct:
-            core = w.rstrip(b".,") if w[-1:] in b".," else w
-            if core is not w and not core[-1:].isalnum():
-                core = w
-            cores.append(core)
-            stops.append(w[len(core) :])
         if len(self.known) > self.keep:
             self._forget()
-        if new := {*cores, *stops}.difference(self.known):
-            self._learn(sorted(new))
-        # A place for each word's core and one for its stops; the end id follows each text's last.
-        pool, ends = np.append(self.ids, np.uint32(end_id)), np.append(self.ends, self.ends[-1] + 1)
-        order = np.empty(2 * len(codes), np.int64)
+        d = flat.dictionary_encode()
+        cores, of_core, stops = _divided(d.dictionary)
         known = self.known
-        order[0::2] = np.array([known[w] for w in cores], np.int64)[codes] if distinct else []
-        order[1::2] = np.array([known[w] for w in stops], np.int64)[codes] if distinct else []
-        order = np.insert(order, 2 * np.cumsum(n_words), len(ends) - 2)
-        lengths = np.diff(ends)[order]
-        total = starts(lengths)
-        ids = pool[np.repeat(ends[:-1][order] - total[:-1], lengths) + np.arange(total[-1])]
-        return ids, np.diff(total[starts(2 * n_words + 1)])
+        if new := [w for w in cores if w not in known] + [w for w in set(stops.values()) if w not in known]:
+            self._learn(sorted(set(new)))
+        # First the ids of each distinct word, its core's and its stops'; then those of all words in turn, the end id after each text.
+        parts = np.zeros(2 * len(of_core), np.int64)
+        parts[0::2] = np.fromiter(map(known.__getitem__, cores), np.int64, len(cores))[of_core]
+        parts[[2 * i + 1 for i in stops]] = [known[w] for w in stops.values()]
+        ids, lengths = _gathered(self.ids, self.ends, parts)
+        ends = starts(lengths)[::2]
+        pool, ends = np.append(ids, np.uint32(end_id)), np.append(ends, ends[-1] + 1)
+        ids, lengths = _gathered(pool, ends, np.insert(np.asarray(d.indices), np.cumsum(n_words), len(of_core)))
+        return ids, np.diff(starts(lengths)[starts(n_words + 1)])
+
+
+_ALNUM = np.zeros(256, bool)
+_ALNUM[list(b"0123456789abcdefghijklmnopqrstuvwxyz")] = True
+
+
+def _divided(distinct: pa.Array) -> tuple[list[bytes], np.ndarray, dict[int, bytes]]:
+    """Words cut into cores and stops: the distinct cores, which of them each word has, and the stops of words that have any.
+    Stops are cut off only behind an ASCII letter or digit."""
+    trimmed = pc.ascii_rtrim(distinct, ".,")
+    ends = np.frombuffer(trimmed.buffers()[1], np.int32, len(trimmed) + 1, trimmed.offset * 4)
+    data = np.frombuffer(trimmed.buffers()[2] or b"", np.uint8)
+    some = ends[1:] > ends[:-1]
+    some[some] = _ALNUM[data[ends[1:][some] - 1]]
+    whole = pc.if_else(pa.array(some), trimmed, distinct).dictionary_encode()
+    cut = np.flatnonzero(some & (np.asarray(pc.binary_length(trimmed)) < np.asarray(pc.binary_length(distinct))))
+    with_stops = byte_list(distinct.take(pa.array(cut)))
+    stops = {i: w[len(w.rstrip(b".,")) :] for i, w in zip(cut.tolist(), with_stops, strict=True)}
+    return byte_list(whole.dictionary), np.asarray(whole.indices), stops
+
+
+def _gathered(pool: np.ndarray, ends: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of a ragged array in a new order, all in one, and their lengths."""
+    lengths = np.diff(ends)[order]
+    at = starts(lengths)
+    return pool[np.repeat(ends[:-1][order] - at[:-1], lengths) + np.arange(at[-1])], lengths
 
 
 @functools.lru_cache(maxsize=1)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,17 +103,20 @@ def _overlaps(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def linked(sets: list[np.ndarray], percent: int = 80) -> np.ndarray:
-    """Which pairs of sets (ascending hashes) have a Jaccard similarity of ``percent`` or more, as a matrix.
-
-    Shared values of the sketches estimate the union's, and only texts with a partner by that estimate are compared in full.
-    """
-    n = np.array([len(s) for s in sets])
-    cut = [s[:RETAINED] for s in sets]
+def alike(cut: list[np.ndarray], n: np.ndarray, percent: int = 80) -> np.ndarray:
+    """Which pairs of texts may be linked, by the values that their sketches share and their numbers of shingles n."""
     need = least_shared(n, percent=percent)
     near = _overlaps(np.concatenate(cut), np.array([len(s) for s in cut])) >= np.maximum(need[:, None], need[None, :])
     near &= (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])) & (n > 0)[:, None]
     np.fill_diagonal(near, False)
+    return near
+
+
+def linked(sets: list[np.ndarray], percent: int = 80) -> np.ndarray:
+    """Which pairs of sets (hashes, ascending as unsigned) have a Jaccard similarity of ``percent`` or more, as a matrix.  Only
+    texts with a partner by the estimate are compared in full."""
+    n = np.array([len(s) for s in sets])
+    near = alike([s[:RETAINED] for s in sets], n, percent)
     out = np.zeros((len(n), len(n)), bool)
     some = np.flatnonzero(near.any(1))
     if len(some):
@@ -137,50 +141,92 @@ def forest(adjacent: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _block_links(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """(a, b): links that join the linked texts of each block; rows are (*keys, rep, shingles), a block's rows in one task."""
-    names = [*keys, "rep"]
-    dealt = rows.select(*names, "shingles").repartition(*keys).sortWithinPartitions(*names)
+def _block_links(rows: DataFrame, keys: list[str], percent: int, full: bool) -> DataFrame:
+    """(a, b): links that join the linked texts of each block; rows are (*keys, rep, n, hashes), a block's rows in one task."""
+    names = [*keys, "rep", "n"]
+    dealt = rows.select(*names, "hashes").repartition(*keys).sortWithinPartitions(*names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, reps, sets = None, [], []
+        block, reps, sizes, sets = None, [], [], []
 
         def found():
             if len(reps) < 2:
                 return None
-            pairs = forest(linked(sets, percent))
+            pairs = forest(linked(sets, percent) if full else alike(sets, np.array(sizes), percent))
             return pa.RecordBatch.from_arrays([pa.array([reps[i] for i, _ in pairs], pa.int64()), pa.array([reps[j] for _, j in pairs], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for *key, rep, shingles in zip(*(batch.column(c).to_pylist() for c in names), batch.column("shingles"), strict=True):
+            lists = batch.column("hashes")
+            flat, at = np.asarray(lists.flatten()), starts(np.diff(np.asarray(lists.offsets)))
+            for i, (*key, rep, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in names), strict=True)):
                 if key != block:
                     if (out := found()) is not None:
                         yield out
-                    block, reps, sets = key, [], []
+                    block, reps, sizes, sets = key, [], [], []
                 reps.append(rep)
-                sets.append(np.frombuffer(shingles.as_buffer(), np.uint64))
+                sizes.append(n)
+                sets.append(flat[at[i] : at[i + 1]].copy())
         if (out := found()) is not None:
             yield out
 
     return dealt.mapInArrow(compare, "a long, b long")
 
 
+def _blocks(n: str, texts: str) -> Column:
+    return F.greatest(F.ceil(F.col(n) / BLOCK_SHINGLES), F.ceil(F.col(texts) / BLOCK_TEXTS)).cast("long")
+
+
+def _links(rows: DataFrame, percent: int, full: bool, name: str) -> DataFrame:
+    """Links that join all linked texts of each cluster; rows are (cluster, rep, n, hashes), written tables.
+
+    A cluster is dealt into blocks.  First each block is compared within itself.  Then two texts of a cluster's largest
+    component so far need no comparison; all others are its query set, dealt into blocks, each of which meets each block.
+    """
+    held = F.col("n") if full else F.least(F.col("n"), F.lit(RETAINED))
+    per = rows.groupBy("cluster").agg(F.sum(held).alias("all"), F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("cluster", _blocks("all", "texts").alias("blocks"))
+    placed = rows.join(per, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    within = materialise(_block_links(placed, ["cluster", "block"], percent, full), f"near-{name}")
+    large = materialise(placed.filter("blocks > 1").select("cluster", "block", "blocks", "rep", "n"), f"near-{name}-large")
+    if not large.head(1):
+        return within
+    so_far = components(within, f"near-{name}-within")
+    component = F.coalesce("component", "rep")
+    marked = large.join(so_far, F.col("rep") == F.col("node"), "left").select("cluster", "rep", "n", component.alias("component"))
+    sizes = marked.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("texts"))
+    largest = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("texts", "component")).alias("largest"))
+    minor = materialise(marked.join(largest, "cluster").filter("component <> largest").select("cluster", "rep", "n"), f"near-{name}-minor")
+    held = F.sum(held)
+    asks = minor.groupBy("cluster").agg(held.alias("all"), F.count(F.lit(1)).alias("texts")).select("cluster", _blocks("all", "texts").alias("queries"))
+    queries = minor.join(asks, "cluster").select("cluster", "rep", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("queries")).alias("query"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    big = rows.join(large.select("cluster", "rep", "block", "blocks").distinct(), ["cluster", "rep"])
+    asking = big.join(queries, ["cluster", "rep"]).select("cluster", "query", each(F.col("blocks")).alias("block"), "rep", "n", "hashes")
+    asked = big.join(asks, "cluster").select("cluster", each(F.col("queries")).alias("query"), "block", "rep", "n", "hashes")
+    across = materialise(_block_links(asking.unionAll(asked), ["cluster", "query", "block"], percent, full), f"near-{name}-across")
+    return within.unionAll(across)
+
+
 def _full_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """The members' rows, with all shingles of their texts."""
+    """(cluster, rep, n, hashes): the members with all shingles of their texts.  Of the documents, only those go to the join
+    whose ids fall into a cell with a member; the table of cells has a fixed size, so it helps less, and harms never, as the
+    corpus outgrows it."""
+    cells = np.zeros(CELLS, bool)
+    cells[[r[0] for r in members.select(F.pmod("rep", F.lit(CELLS))).distinct().collect()]] = True
+    sent = docs.sparkSession.sparkContext.broadcast(cells)
+
+    def may_be(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.asarray(pc.fill_null(batch.column("rep"), 0)).astype(np.int64)
+            yield batch.filter(pa.array(sent.value[ids % CELLS]))
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             key, counts = shingle_sets(strings(batch.column("text")), size)
-            at = starts(counts)
-            sets = pa.array([key[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("cluster"), batch.column("block"), batch.column("blocks"), pa.array(counts.astype(np.int64)), sets], ["rep", "cluster", "block", "blocks", "n", "shingles"])
-
-    text = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    return text.join(members, "rep").select("rep", "cluster", "block", "blocks", "text").mapInArrow(full, "rep long, cluster long, block long, blocks long, n long, shingles binary")
+            sets = pa.ListArray.from_arrays(pa.array(starts(counts), pa.int32()), pa.array(key.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("rep"), pa.array(counts.astype(np.int64)), sets], ["cluster", "rep", "n", "hashes"])
 
-
-def _blocks(n: str, texts: str) -> Column:
-    return F.greatest(F.ceil(F.col(n) / BLOCK_SHINGLES), F.ceil(F.col(texts) / BLOCK_TEXTS)).cast("long")
+    text = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").mapInArrow(may_be, "rep long, text string")
+    return text.join(members, "rep").select("cluster", "rep", "text").mapInArrow(full, "cluster long, rep long, n long, hashes array<long>")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,10 +241,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     * Other columns are ignored; an empty table gives an empty one.
 
     How: equal sets are one text, by its smallest doc_id (its rep).  Inverted lists of the reps' rarest retained values join
-    all texts that may be linked to clusters.  A cluster's texts are compared in blocks of bounded size: first each block
-    within itself; then, in a cluster of several blocks, the texts outside its largest component (the query set) with all
-    of its blocks.  So a large group of near copies costs a comparison within blocks and what that leaves over, not all its
-    pairs, no pair is a row, and no link between different texts is lost but by an unlikely sketch (see SHARED).
+    all texts that may be linked to clusters; the estimate from sketches parts those again into finer ones; full sets are
+    compared in the finer clusters only.  Either comparison goes by blocks of bounded size (see _links), so a large group of
+    near copies costs a comparison within blocks and what that leaves over, not all its pairs; no pair is a row, and no
+    link between different texts is lost but by an unlikely sketch (see SHARED).
     """
     d = documents(docs, id_col, text_col)
     drawn = materialise(sketches(d, size), "near-sketches")
@@ -207,16 +253,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     )
     entries = materialise(_entries(reps, percent), "near-entries")
     hubs = entries.groupBy("value").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("value", "hub")
-    clusters = components(entries.join(hubs, "value").select(F.col("rep").alias("a"), F.col("hub").alias("b")).filter("a <> b"), "near-clusters")
-    sized = materialise(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(reps.select("rep", "n"), "rep"), "near-members")
-    per = sized.groupBy("cluster").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("texts")).select("cluster", _blocks("all", "texts").alias("blocks"))
-    members = sized.join(per, "cluster").select("rep", "cluster", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), "blocks").distinct()
-    sets = materialise(_full_sets(d, members, size), "near-sets")
-    links = materialise(_block_links(sets, ["cluster", "block"], percent), "near-links")
-
-    large = materialise(sets.filter("blocks > 1").select("cluster", "rep", "n"), "near-large")
-    if large.head(1):
-        links = links.unionAll(_across(sets, large, links, percent))
+    clusters = components(entries.join(hubs, "value").select(F.col("rep").alias("a"), F.col("hub").alias("b")).filter("a <> b"), "near-lists")
+    listed = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    cut = materialise(reps.join(listed, "rep").select("cluster", "rep", "n", F.col("sketch").alias("hashes")), "near-cut")
+    finer = components(_links(cut, percent, False, "estimates"), "near-clusters").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    links = _links(materialise(_full_sets(d, finer, size), "near-sets"), percent, True, "links")
     found = components(links, "near-components")
     of_set = reps.select("id1", "id2", "n", "rep").join(found, F.col("rep") == F.col("node"), "left").select("id1", "id2", "n", F.coalesce("component", "rep").alias("component"))
     kind = d.schema["doc_id"].dataType
@@ -225,22 +266,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _across(sets: DataFrame, large: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Links between blocks of a cluster.  Two texts of its largest component need no comparison; all others are its query
-    set, dealt into blocks, and each of those meets each block of the cluster."""
-    so_far = components(links, "near-within")
-    placed = large.join(so_far, F.col("rep") == F.col("node"), "left").select("cluster", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    sizes = placed.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("texts"))
-    largest = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("texts", "component")).alias("largest"))
-    minor = materialise(placed.join(largest, "cluster").filter("component <> largest").select("cluster", "rep", "n"), "near-minor")
-    per = minor.groupBy("cluster").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("texts")).select("cluster", _blocks("all", "texts").alias("queries"))
-    queries = minor.join(per, "cluster").select("cluster", "rep", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("queries")).alias("query"))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    asking = sets.filter("blocks > 1").join(queries, ["cluster", "rep"]).select("cluster", "query", each(F.col("blocks")).alias("block"), "rep", "shingles")
-    asked = sets.filter("blocks > 1").join(per, "cluster").select("cluster", each(F.col("queries")).alias("query"), "block", "rep", "shingles")
-    return materialise(_block_links(asking.unionAll(asked), ["cluster", "query", "block"], percent), "near-links-across")
-
-
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs (doc_id, text, any more) of one document of each component; see near_duplicates.  Rows that repeat a
     doc_id with the same text are one document, and all stay or go."""

@@ -7,18 +7,27 @@ read with Spark's ``binaryFile``.
 
 from __future__ import annotations
 
+import os
 import posixpath
+import re
 import uuid
 
 import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession
 
 
+def file_system(folder: str) -> tuple[fs.FileSystem, str]:
+    """pyarrow's file system for a folder, given as a path or a URI, and the path in it.  Hadoop writes local URIs with one slash."""
+    if re.match(r"file:/(?!/)", folder):
+        folder = folder.replace("file:/", "file:///", 1)
+    return fs.FileSystem.from_uri(folder if re.match(r"[A-Za-z][\w+.-]+:", folder) else f"file://{os.path.abspath(folder)}")
+
+
 class BinaryFile:
     """A file that appears under its name only when it is complete."""
 
     def __init__(self, folder: str, name: str):
-        self.system, root = fs.FileSystem.from_uri(folder if "://" in folder or not folder.startswith("/") else f"file://{folder}")
+        self.system, root = file_system(folder)
         self.path, self.made = posixpath.join(root, name), posixpath.join(root, f"_{uuid.uuid4().hex}.tmp")
         self.system.create_dir(root, recursive=True)
 
@@ -36,7 +45,7 @@ class BinaryFile:
 
 def read_files(spark: SparkSession, folder: str, suffix: str) -> DataFrame:
     """(path, content) of the finished files; an empty table where no task wrote one."""
-    system, root = fs.FileSystem.from_uri(folder if "://" in folder or not folder.startswith("/") else f"file://{folder}")
+    system, root = file_system(folder)
     system.create_dir(root, recursive=True)
     return spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder).select("path", "content")
 

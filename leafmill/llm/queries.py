@@ -58,9 +58,64 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_mixing, op3_near_dedup, op4_quality_rules, op5_quality_classifier, op6_decontamination, op7_line_dedup, op8_lm_scoring, op9_warc, op10_token_ids)}
 
-_KEY = r"translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+# The SQL shares only fixed values with the operators: patterns, thresholds and characters.
+
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_KEY = _LOW.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")
+_BLANK_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_BENCH_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(_LOW.format("coalesce(text, '')"))
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _found(kind: int, pattern: str, group: int = 0) -> str:
+    p = _quoted(pattern)
+    return f"""SELECT doc_id, {kind} AS kind, unnest(range(1, len(h) + 1)) AS n, unnest(h) AS hit, unnest(v) AS value, unnest(b[:len(h)]) AS before
+            FROM (SELECT doc_id, regexp_extract_all(t, {p}) AS h, regexp_extract_all(t, {p}, {group}) AS v, string_split_regex(t, {p}) AS b FROM d)"""
+
+
+_RUNS = secrets.CANDIDATE[secrets.CANDIDATE.index(")") + 1 :]
+_ALLOWED = " OR ".join(f"regexp_matches(value, {_quoted(p)})" for p in secrets.ALLOW)
+_LEAST = " ".join(f"WHEN regexp_matches(value, {_quoted(p)}) THEN {v}" for p, v in secrets.CLASSES.items())
 
 SQL = {
+    "op1_secret_scan": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        found AS ({_found(0, secrets.ASSIGN, 2)} UNION ALL {_found(1, secrets.PATTERNS["access"])} UNION ALL {_found(2, secrets.PATTERNS["hex"])} UNION ALL {_found(3, _RUNS)}),
+        placed AS (SELECT *, sum(length(before) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY n) AS stop FROM found),
+        base AS (SELECT doc_id, kind, stop - length(hit) AS start, stop FROM placed WHERE kind < 3 AND (kind > 0 OR length(value) >= {secrets.LEAST_VALUE})),
+        runs AS (SELECT doc_id, stop - length(hit) AS start, value, CASE {_LEAST} END AS least FROM placed WHERE kind = 3 AND regexp_matches(value, '[0-9]') AND NOT ({_ALLOWED})),
+        windows AS (SELECT doc_id, start, value, least, unnest(range(0, length(value) - {secrets.WINDOW - 1})) AS i FROM runs),
+        high AS (SELECT * FROM windows WHERE list_aggregate(string_split(substr(value, i + 1, {secrets.WINDOW}), ''), 'entropy') >= least),
+        spans AS (SELECT * FROM base UNION ALL SELECT doc_id, 3, start + min(i), start + max(i) + {secrets.WINDOW} FROM high GROUP BY doc_id, start),
+        said AS (SELECT *, ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || start::BIGINT || ':' || stop::BIGINT AS s FROM spans)
+        SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+               sha256(coalesce(string_agg(s, ',' ORDER BY start, kind) FILTER (kind < 3), '')) AS base_sha256, coalesce(string_agg(s, ',' ORDER BY start, kind), '') AS spans
+        FROM d LEFT JOIN said USING (doc_id) GROUP BY d.doc_id""",
+    "op3_near_dedup": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_BLANK_WORDS.format(_LOW.format("coalesce(text, '')"))} AS w FROM documents),
+        s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN [array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+        sets AS (SELECT min(doc_id) AS rep, list_sort(s) AS s FROM s GROUP BY list_sort(s)),
+        each AS (SELECT rep, len(s) AS n, unnest(s) AS x FROM sets),
+        pairs AS (SELECT a.rep AS a, b.rep AS b, a.n AS n, b.n AS m, count(*) AS k FROM each a JOIN each b ON a.x = b.x AND a.rep <> b.rep AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) GROUP BY ALL),
+        links AS (SELECT a, b FROM pairs WHERE 100 * k >= 80 * (n + m - k)),
+        reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+        least AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+        of AS (SELECT doc_id, len(s.s) AS n, CASE WHEN len(s.s) = 0 THEN doc_id ELSE least(sets.rep, coalesce(least.b, sets.rep)) END AS c FROM s JOIN sets ON sets.s = list_sort(s.s) LEFT JOIN least ON least.a = sets.rep)
+        SELECT doc_id, n AS n_shingles, c AS component_id, doc_id = c AS kept FROM of""",
+    "op6_decontamination": f"""
+        WITH items AS (SELECT item_id::VARCHAR AS item, {_BENCH_WORDS} AS w FROM benchmark),
+        windows AS (SELECT DISTINCT item, len(x) AS size, array_to_string(x, ' ') AS x FROM (SELECT item, w[i:i + 9] AS x FROM items, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS r(i) WHERE len(w) > 0)),
+        d AS (SELECT doc_id, {_BENCH_WORDS} AS w FROM documents),
+        sizes AS (SELECT DISTINCT size FROM windows),
+        places AS (SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS x FROM d, sizes, unnest(range(1, len(w) - size + 2)) AS r(i)),
+        hits AS (SELECT doc_id, item, i, p.size FROM places p JOIN windows ON p.size = windows.size AND p.x = windows.x),
+        inside AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS j FROM hits) GROUP BY doc_id),
+        of AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN inside USING (doc_id) LEFT JOIN of USING (doc_id)""",
     "op7_line_dedup": f"""
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -74,4 +129,10 @@ SQL = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",
+    "op9_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), k AS (SELECT *, sha1(h) AS s, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+        SELECT page_id, strlen(h) AS payload_bytes,
+               array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(s, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31), 1) for i in range(0, 32)], '') AS payload_digest,
+               CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+        FROM k""",
 }

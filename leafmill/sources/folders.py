@@ -19,7 +19,7 @@ def scan(spark: SparkSession, folder: str, suffix: str = "*") -> DataFrame:
 
 def entries(files: DataFrame, root: str, with_deleted: bool = False, ending: str = SECTION, deleted: tuple[str, ...] = DELETED) -> DataFrame:
     """(path, parts, dir, name, depth): the sections among the files; hidden folders, deleted sections and what is too deep go."""
-    below = F.regexp_replace("path", f"^.*?{root.rstrip('/').replace('.', '[.]')}/", "")
+    below = F.regexp_replace("path", rf"^.*?\Q{root.rstrip('/')}\E/", "")
     parts = F.split(below, "/")
     folders = F.slice(parts, 1, F.size(parts) - 1)
     hidden: Column = F.exists(folders, lambda p: p.startswith("."))

@@ -91,6 +91,22 @@ def landing(p: list[float], size: list[float]) -> list[float]:
     return p
 
 
+def landed(p: list[float], size: list[float], draw: str, tries: int = 200, near: float = 0.001) -> list[float]:
+    """A flight and its landing; of several draws the first that comes as near as ``near`` to the wanted sum of sizes, else the
+    nearest.  In a source of few documents one landing alone may miss by half a large document."""
+    want, best = sum(x * s for x, s in zip(p, size, strict=True)), (float("inf"), p)
+    for k in range(tries):
+        rng, order = random.Random(f"{draw}/{k}"), list(range(len(p)))
+        if k:
+            rng.shuffle(order)
+        flown = landing(flight([p[i] for i in order], [size[i] for i in order], rng), [size[i] for i in order])
+        out = [x for _, x in sorted(zip(order, flown, strict=True))]
+        best = min(best, (abs(sum(x * s for x, s in zip(out, size, strict=True)) - want), out), key=lambda b: b[0])
+        if best[0] <= near * want:
+            break
+    return best[1]
+
+
 _UNITS = "source string, doc_id long, size long, source_size long, target double, base long, p double"
 
 
@@ -100,9 +116,10 @@ def _fly(units: DataFrame, block_rows: int, seed: int, round_: int, last: bool)
 
     def block(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", na_position="last")
-        rng = random.Random(f"{seed}/{round_}/{rows['source'].iloc[0]}/{rows['block'].iloc[0]}")
-        p = flight(rows["p"].tolist(), rows["size"].tolist(), rng)
-        return rows.assign(p=landing(p, rows["size"].tolist()) if last else p).drop(columns=["block", "n_left"])
+        draw = f"{seed}/{round_}/{rows['source'].iloc[0]}/{rows['block'].iloc[0]}"
+        p, size = rows["p"].tolist(), rows["size"].tolist()
+        p = landed(p, size, draw) if last else flight(p, size, random.Random(draw))
+        return rows.assign(p=p).drop(columns=["block", "n_left"])
 
     n_blocks = F.ceil(F.col("n_left") / block_rows)
     dealt = units.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(round_)), n_blocks))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import materialise
@@ -15,21 +15,24 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     knows, until all edges point there.  The number of rounds grows with the logarithm of the longest path.  Each round is
     written to the shared folder; minima combine before they are shuffled, and AQE splits the joins of large stars.
     """
-    now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), name)
-    mark = _mark(now)
+    now, mark = _written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), name)
     while mark[0]:
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(now.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.filter("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("y > x").join(least, "x").select(F.col("y").alias("u"), F.col("m").alias("v"))
         # A node that is the smallest of its neighbours keeps its edges by way of those, which hang on it.
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(lower.select("u", F.col("m").alias("v")))
-        now = materialise(small.filter("u <> v").distinct(), name)
-        before, mark = mark, _mark(now)
+        before = mark
+        now, mark = _written(small, name)
         if before == mark:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _written(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """The distinct edges as a table, and a mark that tells two sets of edges apart, observed while they are written."""
+    seen = Observation()
+    distinct = edges.filter("u <> v").distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"))
+    written = materialise(distinct, name)
+    return written, (seen.get["n"], seen.get["x"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,10 +18,18 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Bytes of text that a task holds as words at once; a longer text is one slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+
+
+#: Rows of an Arrow batch.  Texts are long: Spark's 10,000 rows are tens of MB, in the JVM and in each Python worker.
+BATCH_ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the query's folder.  Sets the session's Arrow batches to BATCH_ROWS, if they are larger."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(setting, "10000")) > BATCH_ROWS:
+        spark.conf.set(setting, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -59,6 +69,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the named column has about ``most`` bytes in each piece, one row at least."""
+    give_back()
     for batch in batches:
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
         ends = np.cumsum(sizes)
@@ -68,6 +79,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             end = max(begin + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(begin, end - begin)
             begin = end
+            give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on between tasks, and what one slice has freed would else count
+    against the executor for good."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def strings(array: pa.Array) -> pa.Array:

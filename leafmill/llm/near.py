@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import documents, materialise, slices, starts, strings
+from leafmill.llm.common import documents, give_back, materialise, slices, starts, strings
 from leafmill.llm.graph import components
 from leafmill.llm.shingles import mix64, shingle_sets
 
@@ -93,7 +93,7 @@ def _overlaps(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     out = np.zeros((n, n), np.float32)
     order = np.argsort(member, kind="stable")
     row, member = row[order], member[order]
-    width = 4096
+    width = 2048
     for begin in range(0, int(member[-1]) + 1 if len(member) else 0, width):
         a, b = np.searchsorted(member, [begin, begin + width])
         used, local = np.unique(row[a:b], return_inverse=True)
@@ -148,6 +148,7 @@ def _block_links(rows: DataFrame, keys: list[str], percent: int, full: bool) ->
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, reps, sizes, sets = None, [], [], []
+        give_back()
 
         def found():
             if len(reps) < 2:

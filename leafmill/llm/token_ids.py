@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import LOWER_TABLE, byte_list, documents, materialise, shared_folder, slices, starts, strings, translated, words
+from leafmill.llm.common import LOWER_TABLE, byte_list, documents, give_back, materialise, shared_folder, slices, starts, strings, translated, words
 from leafmill.llm.files import BinaryFile, partition_name, read_files
 
 MAGIC = b"IDPLANE1"
@@ -129,7 +129,7 @@ class WordEncoder:
     that hold such a token's text one by one.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
@@ -229,7 +229,7 @@ def _gathered(pool: np.ndarray, ends: np.ndarray, order: np.ndarray) -> tuple[np
 
 @functools.lru_cache(maxsize=1)
 def _encoder(path: str) -> WordEncoder:
-    """One a Python worker: what it has learned serves later tasks."""
+    """One a Python worker; what it has learned is forgotten after each task, lest it count against other work."""
     return WordEncoder(path)
 
 
@@ -253,7 +253,7 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID
                 x.clear()
             return row
 
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text"):
             ids, counts = encoder(strings(batch.column("text")), end_id)
             held[0].append(ids)
             held[1].extend(batch.column("doc_id").to_pylist())
@@ -262,6 +262,8 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID
                 yield flush()
         if held[1]:
             yield flush()
+        encoder._forget()
+        give_back()
 
     return materialise(ordered.mapInArrow(write, "part long, sequence long, n_ids long, n_docs long"), "id-index")
 

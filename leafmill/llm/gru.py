@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 #: Word 0 stands for all words outside the vocabulary and is the only one in class 0; word 1 is the end of a text.
@@ -62,9 +64,13 @@ class Gru:
     def log_probability(self, h: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Natural log of each word's probability after state h."""
         cls, place = self.place(words)
-        logits = h @ self.p["c"] + self.p["d"]
-        top = logits.max(1)
-        out = logits[np.arange(len(words)), cls] - top - np.log(np.exp(logits - top[:, None]).sum(1))
+        out = np.empty(len(words), h.dtype)
+        rows = max(1, (1 << 21) // self.classes)
+        for i in range(0, len(words), rows):
+            logits = h[i : i + rows] @ self.p["c"] + self.p["d"]
+            logits -= logits.max(1, keepdims=True)
+            own = logits[np.arange(len(logits)), cls[i : i + rows]]
+            out[i : i + rows] = own - np.log(np.exp(logits, out=logits).sum(1))
         some = np.flatnonzero(cls)
         some = some[np.argsort(cls[some], kind="stable")]
         ends = np.searchsorted(cls[some], np.arange(self.classes + 1))
@@ -104,94 +110,155 @@ class Gru:
         out[order] = total / LOG10
         return out
 
-    def gradient(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, live: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+    def gradient(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, live: np.ndarray, fresh: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
         """Loss (summed over live targets), its gradient by backpropagation through the window, and the state after it.
-        inputs, targets, live: (time, texts)."""
+        inputs, targets, live, fresh: (time, texts); where ``fresh``, a text begins, with a state of zeros."""
+        loss, some, h = self.sparse_gradient(inputs, targets, h, live, np.zeros(live.shape, bool) if fresh is None else fresh)
+        g = {k: np.zeros_like(v) for k, v in self.p.items()}
+        for k, (rows, values) in some.items():
+            g[k][rows] = values
+        return loss, g, h
+
+    def sparse_gradient(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, live: np.ndarray, fresh: np.ndarray) -> tuple[float, dict[str, tuple], np.ndarray]:
+        """As ``gradient``, with (rows, their gradients) of each parameter: only of words and classes that stand in the window."""
         steps, n = len(inputs), self.hidden
         past = []
         for t in range(steps):
+            h = np.where(fresh[t][:, None], np.zeros_like(h), h)
             new_h, *kept = self.step(inputs[t], h)
             past.append((h, *kept, new_h))
             h = new_h
         states, words, weight = np.concatenate([p[-1] for p in past]), targets.ravel(), live.ravel().astype(np.float32)
         cls, place = self.place(words)
-        row = np.arange(len(words))
-        g = {k: np.zeros_like(v) for k, v in self.p.items()}
 
         def softmax(logits, right, w):
-            e = np.exp(logits - logits.max(1, keepdims=True))
+            logits -= logits.max(1, keepdims=True)
+            e = np.exp(logits, out=logits)
             e /= e.sum(1, keepdims=True)
             at = np.arange(len(e))
             lost = float(-(np.log(e[at, right] + 1e-30) * w).sum())
             e[at, right] -= 1
-            return lost, e * w[:, None]
+            e *= w[:, None]
+            return lost, e
 
         loss, dz = softmax(states @ self.p["c"] + self.p["d"], cls, weight)
-        g["c"], g["d"] = states.T @ dz, dz.sum(0)
+        g = {"c": (slice(None), states.T @ dz), "d": (slice(None), dz.sum(0))}
         dh_all = dz @ self.p["c"].T
-        for k in np.unique(cls[(cls > 0) & (weight > 0)]):
-            rows = row[cls == k]
-            more, dz = softmax(states[rows] @ self.p["w"][k] + self.p["v"][k], place[rows], weight[rows])
+        some = np.flatnonzero((cls > 0) & (weight > 0))
+        some = some[np.argsort(cls[some], kind="stable")]
+        found, begin = np.unique(cls[some], return_index=True)
+        dw, dv = np.empty((len(found), n, self.width), states.dtype), np.empty((len(found), self.width), states.dtype)
+        for i, (k, rows) in enumerate(zip(found, np.split(some, begin[1:]), strict=False)):
+            own = states[rows]
+            more, dz = softmax(own @ self.p["w"][k] + self.p["v"][k], place[rows], weight[rows])
             loss += more
-            g["w"][k], g["v"][k] = states[rows].T @ dz, dz.sum(0)
+            dw[i], dv[i] = own.T @ dz, dz.sum(0)
             dh_all[rows] += dz @ self.p["w"][k].T
+        g["w"], g["v"] = (found, dw), (found, dv)
         dh_all = dh_all.reshape(steps, -1, n)
         dh = np.zeros_like(h)
+        da_all = np.empty((steps, inputs.shape[1], 3 * n), states.dtype)
+        db, du = np.zeros_like(self.p["b"]), np.zeros_like(self.p["u"])
         for t in range(steps - 1, -1, -1):
             before, reset, keep, new, rn, _ = past[t]
             dh = dh + dh_all[t]
             d_new = dh * (1 - keep) * (1 - new**2)
             d_keep = dh * (before - new) * keep * (1 - keep)
             d_reset = d_new * rn * reset * (1 - reset)
-            da = np.concatenate([d_reset, d_keep, d_new], 1)
+            da_all[t] = np.concatenate([d_reset, d_keep, d_new], 1)
             dr = np.concatenate([d_reset, d_keep, d_new * reset], 1)
-            np.add.at(g["x"], inputs[t], da)
-            g["b"] += da.sum(0)
-            g["u"] += before.T @ dr
-            dh = dh * keep + dr @ self.p["u"].T
+            db += da_all[t].sum(0)
+            du += before.T @ dr
+            dh = np.where(fresh[t][:, None], np.zeros_like(dh), dh * keep + dr @ self.p["u"].T)
+        order = np.argsort(inputs.ravel(), kind="stable")
+        found, begin = np.unique(inputs.ravel()[order], return_index=True)
+        g["x"] = (found, np.add.reduceat(da_all.reshape(-1, 3 * n)[order], begin))
+        g["b"], g["u"] = (slice(None), db), (slice(None), du)
         return loss, g, h
 
+    def tables(self) -> list[np.ndarray]:
+        """The parameters as tables whose rows are learnt together: a row a word, a row a class, and one of all others."""
+        one_row = np.concatenate([self.p[k].ravel() for k in ("b", "u", "c", "d")])[None]
+        return [self.p["x"], np.concatenate([self.p["w"].reshape(self.classes, -1), self.p["v"]], 1), one_row]
+
+    def load_tables(self, tables: list[np.ndarray]) -> Gru:
+        self.p["x"] = np.asarray(tables[0], np.float32)
+        cut = self.hidden * self.width
+        self.p["w"], self.p["v"] = tables[1][:, :cut].astype(np.float32).reshape(self.p["w"].shape), tables[1][:, cut:].astype(np.float32)
+        at = 0
+        for k in ("b", "u", "c", "d"):
+            self.p[k] = tables[2][0, at : at + self.p[k].size].astype(np.float32).reshape(self.p[k].shape)
+            at += self.p[k].size
+        self._void()
+        return self
+
 
 class Adam:
+    """Adam; rows of words and classes that a window lacks are left alone by it, and each row counts its own steps."""
+
     def __init__(self, model: Gru, rate: float):
-        self.model, self.rate, self.t = model, rate, 0
+        self.model, self.rate = model, rate
         self.m = {k: np.zeros_like(v) for k, v in model.p.items()}
         self.s = {k: np.zeros_like(v) for k, v in model.p.items()}
+        self.t = {k: np.zeros((len(v),) + (1,) * (v.ndim - 1), np.float32) for k, v in model.p.items()}
 
-    def update(self, g: dict[str, np.ndarray], n: float) -> None:
-        self.t += 1
-        rate = self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
-        for k, v in self.model.p.items():
-            d = np.clip(g[k] / n, -1, 1)
-            self.m[k] += 0.1 * (d - self.m[k])
-            self.s[k] += 0.001 * (d * d - self.s[k])
-            v -= (rate * self.m[k] / (np.sqrt(self.s[k]) + 1e-8)).astype(np.float32)
+    def update(self, g: dict[str, tuple], n: float) -> None:
+        for k, (rows, values) in g.items():
+            d = np.clip(values / np.float32(n), -1, 1)
+            t = self.t[k][rows] = self.t[k][rows] + 1
+            m = self.m[k][rows] = self.m[k][rows] * np.float32(0.9) + np.float32(0.1) * d
+            s = self.s[k][rows] = self.s[k][rows] * np.float32(0.999) + np.float32(0.001) * d * d
+            rate = self.rate * np.sqrt(1 - np.float32(0.999) ** t) / (1 - np.float32(0.9) ** t)
+            self.model.p[k][rows] -= (rate * m / (np.sqrt(s) + np.float32(1e-8))).astype(np.float32)
         self.model._void()
 
 
-def train(model: Gru, pieces: list[np.ndarray], rate: float, epochs: int = 1, batch: int = 64, window: int = 32) -> float:
-    """Truncated backpropagation over pieces of texts (a word before, then words to predict).  ``batch`` pieces run side by
-    side; the state is carried from window to window of a piece, the gradient is not.  Returns the last epoch's mean loss."""
-    adam, loss, n = Adam(model, rate), 0.0, 1
-    pieces = sorted((p for p in pieces if len(p) > 1), key=len)
-    groups = [pieces[i : i + batch] for i in range(0, len(pieces), batch)]
+def _lanes(pieces: list[np.ndarray], lanes: int) -> list[list[np.ndarray]]:
+    """Pieces dealt to lanes of nearly the same number of words, the longest lane last."""
+    out: list[list[np.ndarray]] = [[] for _ in range(lanes)]
+    heap = [(0, i) for i in range(lanes)]
+    for p in sorted(pieces, key=len, reverse=True):
+        size, i = heap[0]
+        heapq.heapreplace(heap, (size + len(p) - 1, i))
+        out[i].append(p)
+    return sorted(out, key=lambda lane: sum(map(len, lane)) - len(lane))
+
+
+def train(model: Gru, pieces: list[np.ndarray], rate: float, epochs: int = 1, batch: int = 64, window: int = 32, adam: Adam | None = None) -> float:
+    """Truncated backpropagation over texts or pieces of them (a word before, then words to predict), each to its end.
+    ``batch`` lanes run side by side, in which one text follows another; the state begins anew with a text and is carried
+    from window to window, the gradient is not.  Returns the last epoch's mean loss."""
+    adam, loss, n = adam or Adam(model, rate), 0.0, 1
+    pieces = [p for p in pieces if len(p) > 1]
     order = np.random.default_rng(7)
+    lanes = _lanes(pieces, min(batch, len(pieces))) if pieces else []
+    sizes = np.array([sum(len(p) - 1 for p in lane) for lane in lanes])
     for _ in range(epochs):
         loss, n = 0.0, 0
-        for i in order.permutation(len(groups)):
-            group = groups[i]
-            longest = max(map(len, group))
-            words = np.full((longest, len(group)), END, np.int64)
-            live = np.zeros((longest, len(group)), bool)
-            for j, p in enumerate(group):
-                words[: len(p), j] = p
-                live[1 : len(p), j] = True
-            h = np.zeros((len(group), model.hidden), np.float32)
-            for t in range(0, longest - 1, window):
-                until = min(t + window, longest - 1)
-                some = live[t + 1 : until + 1]
-                if some.any():
-                    one, g, h = model.gradient(words[t:until], words[t + 1 : until + 1], h, some)
-                    adam.update(g, float(some.sum()))
-                    loss, n = loss + one, n + int(some.sum())
+        texts = [[lane[i] for i in order.permutation(len(lane))] for lane in lanes]
+        inputs = [np.concatenate([p[:-1] for p in lane]) for lane in texts]
+        targets = [np.concatenate([p[1:] for p in lane]) for lane in texts]
+        begins = [starts_of(lane) for lane in texts]
+        h = np.zeros((len(lanes), model.hidden), np.float32)
+        for t in range(0, int(sizes[-1]) if len(lanes) else 0, window):
+            first = int(np.searchsorted(sizes, t, side="right"))  # lanes before it have ended
+            steps = min(window, int(sizes[-1]) - t)
+            words, next_words = np.full((2, steps, len(lanes) - first), END, np.int64)
+            live, fresh = np.zeros((2, steps, len(lanes) - first), bool)
+            for j in range(first, len(lanes)):
+                m = min(steps, int(sizes[j]) - t)
+                words[:m, j - first], next_words[:m, j - first], live[:m, j - first] = inputs[j][t : t + m], targets[j][t : t + m], True
+                fresh[:m, j - first] = begins[j][t : t + m]
+            one, g, h = model.sparse_gradient(words, next_words, h[len(h) - len(lanes) + first :], live, fresh)
+            some = int(live.sum())
+            adam.update(g, some)
+            loss, n = loss + one, n + some
     return loss / max(1, n)
+
+
+def starts_of(texts: list[np.ndarray]) -> np.ndarray:
+    """Marks the first word of each text in their words in a row."""
+    sizes = np.array([len(p) - 1 for p in texts])
+    out = np.zeros(int(sizes.sum()), bool)
+    out[np.cumsum(sizes) - sizes] = True
+    return out

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import LOWER_TABLE, bucket, coded, documents, materialise, slices, starts, strings, translated, words
 from leafmill.llm.files import partition_name
-from leafmill.llm.gru import END, RARE, Gru, train
+from leafmill.llm.gru import END, RARE, Adam, Gru, train
 
 
 def _held_out(doc_id, folds: int, fold: int):
@@ -82,10 +82,70 @@ def _pieces(texts: DataFrame, number: dict[bytes, int], most: int) -> DataFrame:
     return texts.mapInArrow(cut, "doc_id long, piece array<int>")
 
 
-def fit(training: DataFrame, vocabulary: Vocabulary, first_docs: int, first_words: int, more_words: int) -> Gru:
+#: Words of whole texts that a task holds for training at once; a longer text is held alone.
+HELD_WORDS = 1 << 20
+
+
+def _copy(batches: Iterator[pa.RecordBatch], number: dict[bytes, int], own: Gru) -> Iterator[pa.RecordBatch]:
+    """Train ``own`` on all words of all texts, and return the rows of its tables that have learnt, as (table, at, values,
+    weights) in blocks: a word's row weighs by how often the word stands there, a class's likewise, the others by all words."""
+    adam, held, n = Adam(own, 0.001), [], 0
+    inputs, classes, total = np.zeros(own.words), np.zeros(own.classes), 0
+
+    def learn():
+        nonlocal inputs, classes, total, held, n
+        train(own, held, rate=adam.rate, batch=128, adam=adam)
+        inputs += np.bincount(np.concatenate([p[:-1] for p in held]), minlength=own.words)
+        classes += np.bincount(own.place(np.concatenate([p[1:] for p in held]))[0], minlength=own.classes)
+        total += n
+        held, n = [], 0
+
+    for batch in slices(batches, "text"):
+        distinct, codes, counts = _lower_words(batch.column("text"))
+        numbers = np.array([number.get(w, RARE) for w in distinct], np.int32)[codes] if distinct else np.zeros(0, np.int32)
+        at = starts(counts)
+        for i in range(len(counts)):
+            held.append(np.concatenate([[END], numbers[at[i] : at[i + 1]], [END]]).astype(np.int32))
+            n += len(held[-1]) - 1
+            if n >= HELD_WORDS:
+                learn()
+    if held:
+        learn()
+    for k, (values, weights) in enumerate(zip(own.tables(), (inputs, classes, np.array([float(total)])), strict=True)):
+        rows = max(1, BLOCK // values.shape[1])
+        for at in range(0, len(values), rows):
+            w = weights[at : at + rows]
+            if w.any():
+                yield _block(k, at, values[at : at + rows], w)
+
+
+#: Parameters in a block, at about 64 KB.
+BLOCK = 1 << 14
+_BLOCK = "kind int, at int, value binary, weight binary"
+
+
+def _block(kind: int, at: int, values: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([kind], pa.int32()), pa.array([at], pa.int32()), pa.array([values.astype(np.float32).tobytes()], pa.binary()), pa.array([weights.astype(np.float64).tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["kind", "at", "value", "weight"])
+
+
+def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weighted means of equal blocks.  A task holds its share of the model, however many copies there are."""
+    sums: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    for batch in batches:
+        for r in batch.to_pylist():
+            w = np.frombuffer(r["weight"], np.float64)
+            v = np.frombuffer(r["value"], np.float32).reshape(len(w), -1) * w[:, None]
+            old = sums.get((r["kind"], r["at"]))
+            sums[r["kind"], r["at"]] = (v, w.copy()) if old is None else (old[0] + v, old[1] + w)
+    for (kind, at), (v, w) in sums.items():
+        yield _block(kind, at, v / np.maximum(w, 1)[:, None], w)
+
+
+def fit(training: DataFrame, vocabulary: Vocabulary, first_docs: int, first_words: int) -> Gru:
     """A first model from a bounded sample (the ``first_docs`` documents of smallest hash, ``first_words`` of each at most) on
-    the driver; then each task trains a copy on a piece of every one of its documents, and the copies are averaged, weighted
-    by words.  The average is one row for each parameter, whatever the number of tasks."""
+    the driver, from which all words of all texts are learnt: each task trains a copy on its whole texts, with the state
+    carried through each, and copies are averaged, a word's row by how often each copy has met the word."""
     model = Gru(vocabulary.size)
     number = vocabulary.number
     chosen = training.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(first_docs)
@@ -93,39 +153,27 @@ def fit(training: DataFrame, vocabulary: Vocabulary, first_docs: int, first_word
     pieces = [np.array(r["piece"]) for r in sorted(sample.collect(), key=lambda r: (r["doc_id"], r["piece"]))]
     n = sum(map(len, pieces))
     train(model, pieces, rate=0.01, epochs=max(3, min(12, 1_200_000 // max(1, n))))  # a small sample is gone through more often
-    begin, size = model.vector(), vocabulary.size
+    sent = training.sparkSession.sparkContext.broadcast((number, model))
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n, held = Gru(size).load(begin), 0, []
-
-        def learn():
-            nonlocal n, held
-            train(own, held, rate=0.001)
-            n, held = n + sum(len(p) - 1 for p in held), []
-
-        for batch in batches:
-            held += [np.array(p) for p in batch.column("piece").to_pylist()]
-            if len(held) >= 4096:
-                learn()
-        if held:
-            learn()
-        if n:
-            vector = own.vector().astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(vector))), pa.array(vector * n), pa.array(np.full(len(vector), n))], ["at", "value", "n"])
+        number, own = sent.value
+        yield from _copy(batches, number, Gru(own.words, own.hidden, own.width).load(own.vector()))
 
-    copies = _pieces(training, number, more_words).mapInArrow(refine, "at long, value double, n long")
-    mean = copies.groupBy("at").agg((F.sum("value") / F.sum("n")).alias("mean")).collect()
-    for r in mean:
-        begin[r["at"]] = r["mean"]
-    return model.load(begin)
+    copies = training.select("text").mapInArrow(refine, _BLOCK).repartition("kind", "at")
+    tables = [t.copy() for t in model.tables()]
+    for r in copies.mapInArrow(_mean, _BLOCK).toLocalIterator():
+        w = np.frombuffer(r["weight"], np.float64)
+        v = np.frombuffer(r["value"], np.float32).reshape(len(w), -1)
+        tables[r["kind"]][r["at"] : r["at"] + len(w)][w > 0] = v[w > 0]
+    return model.load_tables(tables)
 
 
-def lm_scores(docs: DataFrame, folds: int = 5, fold: int = 1, head_words: int = 150_000, model_words: int = 991, first_docs: int = 1500, first_words: int = 256, more_words: int = 32, side_by_side: int = 3 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, folds: int = 5, fold: int = 1, head_words: int = 150_000, model_words: int = 991, first_docs: int = 1500, first_words: int = 256, side_by_side: int = 3 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score each whole text with smoothed word counts (base) and with a recurrent model (score), both log10.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; a row for each input row.  Training texts are
-    those whose crc32 of doc_id as text, modulo ``folds``, is not ``fold``; all of their words are counted, and each of them
-    takes part in the model's training (see ``fit``).
+    those whose crc32 of doc_id as text, modulo ``folds``, is not ``fold``; all of their words are counted, and all
+    of them train the model (see ``fit``).
 
     The model knows the ``model_words`` most frequent words and one that stands for all others; when it predicts the latter,
     the word itself has its share of smoothed counts among those, so every text has a probability.
@@ -145,7 +193,7 @@ def lm_scores(docs: DataFrame, folds: int = 5, fold: int = 1, head_words: int =
     n_train, distinct = totals[0] + ends, totals[1] + (ends > 0)
     head = frequent_words(counts, head_words)
     vocabulary = Vocabulary(head, model_words)
-    model = fit(training, vocabulary, first_docs, first_words, more_words)
+    model = fit(training, vocabulary, first_docs, first_words)
     rare_n = totals[0] - sum(c for _, c in head[:model_words])
     rare_words = totals[1] - len(vocabulary.number)
     of_all, of_rare = n_train + 0.5 * (distinct + 1), rare_n + 0.5 * (rare_words + 1)

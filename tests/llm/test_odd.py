@@ -1,5 +1,6 @@
 """Each operator on odd inputs, against its plain version; and on empty tables."""
 
+import random
 from collections import Counter
 
 import brute
@@ -133,6 +134,22 @@ def test_language_model(odd, none, pairs):
     assert lm.lm_scores(none).count() == 0
 
 
+def test_language_model_learns_every_word_of_a_long_text(spark):
+    """The order of two words, wherever they stand in a training text, changes the model and with it the score of another text."""
+    r = random.Random(7)
+    text = [f"w{r.randrange(400)}" for _ in range(3000)]
+
+    def score(at):
+        changed = [*text[:at], text[at + 1], text[at], *text[at + 2 :]]
+        docs = spark.createDataFrame([(1, " ".join(changed)), (4, " ".join(text[:400]))], "doc_id long, text string").coalesce(1)
+        got = {r["doc_id"]: r for r in lm.lm_scores(docs, first_docs=1, first_words=8).collect()}
+        return got[4]["score"], got[4]["base_score"]
+
+    places = [at for at in (10, 700, 1500, 2990) if text[at] != text[at + 1]]
+    found = [score(at) for at in places]
+    assert len(places) > 2 and len({s for s, _ in found}) == len(places) and len({b for _, b in found}) == 1
+
+
 def test_token_ids(odd, none, pairs):
     import zlib
 

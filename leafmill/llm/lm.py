@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -60,6 +61,11 @@ def _piece(numbers: np.ndarray, key: int, most: int) -> np.ndarray:
     return whole[at : at + most + 1]
 
 
+def class_width(words: int) -> int:
+    """Near the square root, where a word's class and its place in it cost the same; a power of two, 32 at least."""
+    return max(32, 1 << round(math.log2(max(1, words)) / 2))
+
+
 class Vocabulary:
     """The model's words (frequent ones, numbered from 2 on), and the counts of more of them for the base score."""
 
@@ -146,7 +152,7 @@ def fit(training: DataFrame, vocabulary: Vocabulary, first_docs: int, first_word
     """A first model from a bounded sample (the ``first_docs`` documents of smallest hash, ``first_words`` of each at most) on
     the driver, from which all words of all texts are learnt: each task trains a copy on its whole texts, with the state
     carried through each, and copies are averaged, a word's row by how often each copy has met the word."""
-    model = Gru(vocabulary.size)
+    model = Gru(vocabulary.size, width=class_width(vocabulary.size))
     number = vocabulary.number
     chosen = training.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(first_docs)
     sample = _pieces(training.join(F.broadcast(chosen), "doc_id"), number, first_words)
@@ -161,21 +167,22 @@ def fit(training: DataFrame, vocabulary: Vocabulary, first_docs: int, first_word
 
     copies = training.select("text").mapInArrow(refine, _BLOCK).repartition("kind", "at")
     tables = [t.copy() for t in model.tables()]
-    for r in copies.mapInArrow(_mean, _BLOCK).toLocalIterator():
+    for r in copies.mapInArrow(_mean, _BLOCK).collect():
         w = np.frombuffer(r["weight"], np.float64)
         v = np.frombuffer(r["value"], np.float32).reshape(len(w), -1)
         tables[r["kind"]][r["at"] : r["at"] + len(w)][w > 0] = v[w > 0]
     return model.load_tables(tables)
 
 
-def lm_scores(docs: DataFrame, folds: int = 5, fold: int = 1, head_words: int = 150_000, model_words: int = 991, first_docs: int = 1500, first_words: int = 256, side_by_side: int = 3 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, folds: int = 5, fold: int = 1, head_words: int = 150_000, model_words: int = 991, model_count: int = 100, first_docs: int = 1500, first_words: int = 256, side_by_side: int = 3 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score each whole text with smoothed word counts (base) and with a recurrent model (score), both log10.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; a row for each input row.  Training texts are
     those whose crc32 of doc_id as text, modulo ``folds``, is not ``fold``; all of their words are counted, and all
     of them train the model (see ``fit``).
 
-    The model knows the ``model_words`` most frequent words and one that stands for all others; when it predicts the latter,
+    The model knows all words of the head that are counted ``model_count`` times or more (the ``model_words`` most frequent ones
+    at least), so it grows with the corpus, and one that stands for all others; when it predicts the latter,
     the word itself has its share of smoothed counts among those, so every text has a probability.
 
     * A null or empty text is its end alone.  A null doc_id is a training text, save that it is never in the first sample.
@@ -192,6 +199,7 @@ def lm_scores(docs: DataFrame, folds: int = 5, fold: int = 1, head_words: int =
     ends = training.count()
     n_train, distinct = totals[0] + ends, totals[1] + (ends > 0)
     head = frequent_words(counts, head_words)
+    model_words = max(model_words, sum(c >= model_count for _, c in head))
     vocabulary = Vocabulary(head, model_words)
     model = fit(training, vocabulary, first_docs, first_words)
     rare_n = totals[0] - sum(c for _, c in head[:model_words])
@@ -201,7 +209,7 @@ def lm_scores(docs: DataFrame, folds: int = 5, fold: int = 1, head_words: int =
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, vector = sent.value
-        model = Gru(vocabulary.size).load(vector)
+        model = Gru(vocabulary.size, width=class_width(vocabulary.size)).load(vector)
         held: list[list] = [[] for _ in range(7)]
         serial = partition_name() << 40
 

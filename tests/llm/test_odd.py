@@ -150,6 +150,16 @@ def test_language_model_learns_every_word_of_a_long_text(spark):
     assert len(places) > 2 and len({s for s, _ in found}) == len(places) and len({b for _, b in found}) == 1
 
 
+def test_language_model_knows_frequent_words_of_any_rank(spark):
+    """Words that stand often are words of the model, however many stand more often: their order changes a text's score."""
+    r = random.Random(3)
+    text = [f"w{i}" for i in range(1200) for _ in range(120)] + ["u", "v"] * 110
+    r.shuffle(text)
+    docs = spark.createDataFrame([(1, " ".join(text)), (4, "u v v v u"), (9, "v u v v u")], "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r for r in lm.lm_scores(docs, first_docs=2).collect()}
+    assert got[4]["base_score"] == pytest.approx(got[9]["base_score"]) and got[4]["score"] != pytest.approx(got[9]["score"], abs=1e-6)
+
+
 def test_token_ids(odd, none, pairs):
     import zlib
 

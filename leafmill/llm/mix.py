@@ -140,7 +140,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
 
     Only (source, doc_id, size) is shuffled, after one pass over the text.  A source, however hot, is dealt into blocks of
     about ``block_rows``; each block leaves two units undecided at most, which fly again, and the rounds end with one block
-    a source.  Each round's table is written, so a lost executor costs no earlier round.
+    a source.  A source of one block waits for the last round with all its units, whatever the size of others.  Each round's table is written, so a lost executor costs no earlier round.
     """
     sizes = materialise(docs.select(F.col(source_col).cast("string").alias("source"), F.col(id_col).alias("doc_id"), n_words(F.col(text_col)).alias("size")), "mix-sizes")
     targets = materialise(source_targets(sizes, weights, share, most), "mix-targets").withColumnRenamed("source", "target_source")
@@ -152,9 +152,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     )
     largest = targets.agg(F.max("n_docs")).first()[0] or 0
     decided: list[DataFrame] = []
+    whole: list[DataFrame] = []
     round_ = 0
     while largest > block_rows:
-        flown = materialise(_fly(units, block_rows, seed, round_, last=False), f"mix-round-{round_}")
+        whole.append(units.filter(F.col("n_left") <= block_rows))
+        flown = materialise(_fly(units.filter(F.col("n_left") > block_rows), block_rows, seed, round_, last=False), f"mix-round-{round_}")
         between = (F.col("p") > 0) & (F.col("p") < 1)
         decided.append(flown.filter(~between))
         left = flown.filter(between)
@@ -162,7 +164,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
         units = left.join(n_left, F.col("source").eqNullSafe(F.col("left_source"))).drop("left_source")
         largest = n_left.agg(F.max("n_left")).first()[0] or 0
         round_ += 1
-    out = _fly(units, max(block_rows, largest), seed, round_, last=True)
+    for w in whole:
+        units = units.unionByName(w)
+    out = _fly(units, block_rows, seed, round_, last=True)
     for d in decided:
         out = out.unionByName(d)
     copies = F.col("base") + F.round("p").cast("long")

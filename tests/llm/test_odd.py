@@ -160,6 +160,17 @@ def test_language_model_knows_frequent_words_of_any_rank(spark):
     assert got[4]["base_score"] == pytest.approx(got[9]["base_score"]) and got[4]["score"] != pytest.approx(got[9]["score"], abs=1e-6)
 
 
+def test_mix_of_a_small_source_beside_a_large_one(spark):
+    """A small source is drawn as it is without the large one: of several draws, whatever the size of others."""
+    r = random.Random(5)
+    small = [(i, " ".join(["w"] * r.randrange(200, 4000)), "b") for i in range(40)]
+    large = [(1000 + i, "w " * (1 + i % 9), "a") for i in range(5000)]
+    got = mix.mix(spark.createDataFrame(small + large, "doc_id long, text string, source string")).collect()
+    assert len(got) == 5040
+    own = [x for x in got if x["source"] == "b"]
+    assert len(own) == 40 and abs(sum(x["taken"] for x in own) - own[0]["target"]) <= 0.001 * own[0]["target"]
+
+
 def test_token_ids(odd, none, pairs):
     import zlib
 

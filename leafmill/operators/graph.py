@@ -29,6 +29,27 @@ def first_in_ancestry(chain: DataFrame, values: DataFrame, value: str) -> DataFr
     return found.groupBy("revision", "object").agg(F.min_by(value, "depth").alias(value), F.min("depth").alias("depth"))
 
 
+def nearest_declared(edges: DataFrame, node: str, parent: str, value: str) -> DataFrame:
+    """(revision, value, depth) of the nearest ancestor with a value, the node itself at 0; nodes without any are left out.
+
+    One row a node: a node with a value is done; others point to a parent, and in each round to where that one points, or take
+    its value.  A chain of n takes log2(n) rounds, however long; a node that still points after them is in a cycle without
+    values or leads to one, and has none.  Parents that are missing end the walk.  Nodes are unique.
+    """
+    has = F.col(value).isNotNull()
+    first = edges.select(F.col(node).alias("revision"), F.col(value).alias(value), F.when(~has, F.col(parent)).alias("_to"), F.when(has, F.lit(0)).otherwise(F.lit(1)).cast("long").alias("depth"))
+    known = checkpointed(first)
+    rounds = max(1, known.count()).bit_length() + 1
+    for _ in range(rounds):
+        if not known.filter("_to IS NOT NULL").head(1):
+            break
+        on = known.select(F.col("revision").alias("_at"), F.col(value).alias("_value"), F.col("_to").alias("_next"), F.col("depth").alias("_more"))
+        open_ = known.filter("_to IS NOT NULL").join(on, F.col("_to") == F.col("_at"), "left")
+        moved = open_.select("revision", F.col("_value").alias(value), F.col("_next").alias("_to"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"))
+        known = checkpointed(known.filter("_to IS NULL").unionByName(moved))
+    return known.filter(has).select("revision", value, "depth")
+
+
 def ancestry(spark: SparkSession, edges: DataFrame, node: str, parent: str, most: int = 1000) -> DataFrame:
     """(revision, ancestor, depth) of all nodes, by doubling: each round joins what is known of a node with what is known of
     its farthest ancestor, so a chain of n takes log2(n) joins.  Walks stop after ``most`` steps, which ends cycles."""

@@ -141,8 +141,8 @@ def revision_chain(spark, d):
 def nearest_declaration(spark, d):
     o = read(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus")
     c = graph.chain_depth(o, "o_custkey", "o_orderdate", "o_orderkey")
-    declared = o.select(F.col("o_orderkey").alias("revision"), F.lit(0).alias("object"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey")).alias("declared"))
-    return graph.first_in_ancestry(graph.ancestry(spark, c, "o_orderkey", "previous"), declared, "declared").drop("object")
+    declared = o.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey")).alias("declared"))
+    return graph.nearest_declared(c.join(declared, "o_orderkey"), "o_orderkey", "previous", "declared")
 
 
 def tree_paths(spark, d):

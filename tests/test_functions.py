@@ -131,6 +131,20 @@ def test_ancestry_with_a_cycle(spark):
     assert {(4, 4, 0), (4, 3, 1), (4, 2, 2), (4, 1, 3), (1, 1, 0)} <= got and max(d for _, _, d in got) <= 4
 
 
+def test_nearest_declaration_over_a_long_chain(spark, tmp_path):
+    """A chain of 1,500 whose first order alone is declared: every revision finds it, at any distance."""
+    from leafmill.plans import registry
+
+    spark.sql("SELECT id AS o_orderkey, 1L AS o_custkey, timestamp_seconds(id) AS o_orderdate, IF(id = 0, 'F', 'O') AS o_orderstatus FROM range(1500)").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r["revision"]: (r["declared"], r["depth"]) for r in registry.QUERIES["nearest_declaration"](spark, str(tmp_path)).collect()}
+    assert got == {i: (0, i) for i in range(1500)}
+
+
+def test_nearest_declared_with_cycles(spark):
+    edges = spark.createDataFrame([(1, None, "a"), (2, 1, None), (3, 2, None), (4, 5, None), (5, 4, None), (6, 4, None), (7, 8, None), (8, 7, "b"), (9, 99, None)], "n long, p long, v string")
+    assert {tuple(r) for r in graph.nearest_declared(edges, "n", "p", "v").collect()} == {(1, "a", 0), (2, "a", 1), (3, "a", 2), (7, "b", 1), (8, "b", 0)}
+
+
 def test_picture_round_trip():
     picture = ink.drawing(np.array([[0.0, 0.0], [500.0, 300.0]]), 53.0, (255, 0, 0))
     data = ink.png(picture)

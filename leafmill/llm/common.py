@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -21,20 +22,28 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SLICE_BYTES = 2 << 20
 
 
-#: Rows of an Arrow batch.  Texts are long: Spark's 10,000 rows are tens of MB, in the JVM and in each Python worker.
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch.  Texts are long: Spark's 10,000 rows are tens of MB, in the JVM and in each Python worker.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """The session's Arrow batches, where they are larger or without bound, are set to BATCH_ROWS and BATCH_BYTES: Spark has no
+    setting by query, and a task's memory is bounded by them."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if not re.fullmatch(r"[1-9]\d*b?", said := spark.conf.get(size)) or int(said.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(size, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the query's folder.  Sets the session's Arrow batches to BATCH_ROWS, if they are larger."""
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(setting, "10000")) > BATCH_ROWS:
-        spark.conf.set(setting, str(BATCH_ROWS))
+    """A table of the query's folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) only, with null texts read as empty; other columns, whatever their names, stay behind."""
+    bounded(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
@@ -146,10 +155,35 @@ def starts(counts: np.ndarray) -> np.ndarray:
 
 
 def keep_rows(docs: DataFrame, judge: Callable[[pa.Array], np.ndarray]) -> DataFrame:
-    """The rows of docs, with all their columns, whose texts (null: empty) the function marks True; no shuffle."""
+    """The rows of docs, with all their columns, whose texts (null: empty) the function marks True; no shuffle.  Only texts go
+    to Python, and only the marks come back."""
+    bounded(docs.sparkSession)
+
+    def mark(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in columns:
+            parts = slices([pa.RecordBatch.from_arrays([text], ["text"])], "text")
+            yield pa.concat_arrays([pa.array([], pa.bool_()), *(pa.array(judge(strings(part.column("text"))), pa.bool_()) for part in parts)])
+
+    mark.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}  # the function's kind, for Spark
+    return docs.filter(F.arrow_udf(mark, "boolean")(F.col("text")))
+
+
+# --------------------------------------------------------------------------- joins with hot keys
+
+#: Keys that may be hot, at most, and the share of all rows that makes one hot.
+HOT_KEYS = 4096
+
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            yield batch.filter(pa.array(judge(strings(batch.column("text"))), pa.bool_()))
+def spread_join(rows: DataFrame, per_key: DataFrame, keys: list[str], weight: str, by: Column, how: str) -> DataFrame:
+    """``rows`` joined with a written table of one row a key, whose ``weight`` is about how many of the rows have the key.
 
-    return docs.mapInArrow(pick, docs.schema)
+    A key of more than 1 / HOT_KEYS of all weight is hot: its rows are dealt to several places by the hash of ``by``, and its one
+    row is there in each.  There can be no more than HOT_KEYS such keys, so the table of them, which both sides look up, is
+    bounded; and they get no more than twice as many places in all.
+    """
+    least = max(1, (per_key.agg(F.sum(weight)).first()[0] or 0) // HOT_KEYS)
+    places = per_key.filter(F.col(weight) > least).select(*keys, F.ceil(F.col(weight) / least).cast("long").alias("_places"))
+    some = F.coalesce("_places", F.lit(1))
+    dealt = rows.join(F.broadcast(places), keys, "left").withColumn("_place", F.pmod(F.xxhash64(by), some)).drop("_places")
+    copies = per_key.join(F.broadcast(places), keys, "left").withColumn("_place", F.explode(F.sequence(F.lit(0).cast("long"), some - 1))).drop("_places")
+    return dealt.join(copies, [*keys, "_place"], how).drop("_place")

@@ -1,40 +1,63 @@
-"""A gated recurrent language model in numpy: class-factored softmax, truncated backpropagation, state carried on."""
+"""A gated recurrent language model in numpy: class-factored softmax, truncated backpropagation, state carried on.
+
+Arrays of a time step are (units, texts), so that the parts of the gates are whole rows and every operation runs along the texts.
+"""
 
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 
 #: Word 0 stands for all words outside the vocabulary and is the only one in class 0; word 1 is the end of a text.
 RARE, END = 0, 1
 LOG10 = float(np.log(10))
+#: Logits held at once, at a few bytes each.
+CELLS = 1 << 18
+
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    """In place."""
+    z *= z.dtype.type(0.5)
+    np.tanh(z, out=z)
+    z *= z.dtype.type(0.5)
+    z += z.dtype.type(0.5)
+    return z
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) * (np.tanh(np.float32(0.5) * x) + np.float32(1))
+
+def class_edges(words: int, classes: int) -> np.ndarray:
+    """Where the classes of words in falling frequency begin, and the end: widths grow with the square root of the rank, which
+    for words whose frequency falls as their rank rises makes the sum over texts of all widths smallest."""
+    return np.unique(np.round(words * (np.arange(classes + 1) / classes) ** 2).astype(np.int64))
 
 
 class Gru:
-    """Words from 1 on are dealt to classes of ``width`` in order (most frequent first).
+    """Words from 1 on are dealt to classes in order (most frequent first).
 
-    x: input terms of the three gates by word; u: recurrent weights; c, d: class logits; w, v: logits within a class.
+    x: input terms of the three gates by word; b: their bias; u: recurrent weights; c, d: class logits; w, v: a word's logit
+    within its class.
     """
 
     NAMES = ("x", "b", "u", "c", "d", "w", "v")
 
-    def __init__(self, words: int, hidden: int = 16, width: int = 32, seed: int = 1):
-        self.words, self.hidden, self.width = words, hidden, width
-        self.classes = 1 + -(-max(1, words - 1) // width)
+    def __init__(self, words: int, hidden: int = 16, classes: int | None = None, seed: int = 1):
+        self.words, self.hidden = words, hidden
+        inner = max(1, words - 1)
+        self.edges = class_edges(inner, classes or max(1, round(0.65 * math.sqrt(inner))))
+        self.classes = len(self.edges)
+        self.of_word = np.concatenate([[0], np.repeat(np.arange(1, self.classes), np.diff(self.edges))])
         rng = np.random.default_rng(seed)
-        shapes = {"x": (words, 3 * hidden), "b": (3 * hidden,), "u": (hidden, 3 * hidden), "c": (hidden, self.classes), "d": (self.classes,), "w": (self.classes, hidden, width), "v": (self.classes, width)}
+        shapes = {"x": (words, 3 * hidden), "b": (3 * hidden,), "u": (hidden, 3 * hidden), "c": (self.classes, hidden), "d": (self.classes,), "w": (inner, hidden), "v": (inner,)}
         self.p = {k: (rng.normal(0, 0.1 if len(s) > 1 else 0, s)).astype(np.float32) for k, s in shapes.items()}
-        self._void()
 
-    def _void(self) -> None:
-        """Places of the last class without a word get no probability."""
-        last = (self.words - 1) - (self.classes - 2) * self.width
-        self.p["v"][-1, last:] = -1e9
+    def unigram(self, counts: np.ndarray) -> Gru:
+        """Begin where each word has its share of the counts (by number), whatever came before it."""
+        counts = counts + 0.5
+        of_class = np.bincount(self.of_word, counts, self.classes)
+        self.p["d"] = np.log(of_class / counts.sum()).astype(np.float32)
+        self.p["v"] = np.log(counts[1:] / of_class[self.of_word[1:]]).astype(np.float32)
+        return self
 
     def vector(self) -> np.ndarray:
         return np.concatenate([self.p[k].ravel() for k in self.NAMES])
@@ -43,76 +66,82 @@ class Gru:
         at = 0
         for k in self.NAMES:
             n = self.p[k].size
-            self.p[k] = np.asarray(vector[at : at + n], np.float32).reshape(self.p[k].shape)
+            self.p[k] = np.array(vector[at : at + n], np.float32).reshape(self.p[k].shape)
             at += n
-        self._void()
         return self
 
-    def place(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class of each word and its place in it."""
-        k = np.maximum(words - 1, 0)
-        return np.where(words == RARE, 0, 1 + k // self.width), np.where(words == RARE, 0, k % self.width)
-
-    def step(self, words: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    def step(self, a: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """From the input terms (3 units, texts) and the state: the new state, the gates, the candidate, its recurrent term."""
         n = self.hidden
-        a, r = self.p["x"][words] + self.p["b"], h @ self.p["u"]
-        gates = _sigmoid(a[:, : 2 * n] + r[:, : 2 * n])
-        reset, keep = gates[:, :n], gates[:, n:]
-        new = np.tanh(a[:, 2 * n :] + reset * r[:, 2 * n :])
-        return new + keep * (h - new), reset, keep, new, r[:, 2 * n :]
+        r = self.p["u"].T @ h
+        gates = _sigmoid(a[: 2 * n] + r[: 2 * n])
+        new = gates[:n] * r[2 * n :]
+        new += a[2 * n :]
+        np.tanh(new, out=new)
+        out = h - new
+        out *= gates[n:]
+        out += new
+        return out, gates, new, r[2 * n :]
+
+    def _classes_of(self, cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """Rows in the order of their classes, without those of class 0; and (class, first, last) of each class that stands there."""
+        some = np.argsort(cls, kind="stable")
+        some = some[np.searchsorted(cls[some], 1) :]
+        found, begin = np.unique(cls[some], return_index=True)
+        return some, list(zip(found.tolist(), begin.tolist(), np.append(begin, len(some))[1:].tolist(), strict=True))
 
     def log_probability(self, h: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Natural log of each word's probability after state h."""
-        cls, place = self.place(words)
+        """Natural log of each word's probability after its state, a row of h."""
+        cls = self.of_word[words]
         out = np.empty(len(words), h.dtype)
-        rows = max(1, (1 << 21) // self.classes)
+        rows = max(1, CELLS // self.classes)
         for i in range(0, len(words), rows):
-            logits = h[i : i + rows] @ self.p["c"] + self.p["d"]
-            logits -= logits.max(1, keepdims=True)
-            own = logits[np.arange(len(logits)), cls[i : i + rows]]
-            out[i : i + rows] = own - np.log(np.exp(logits, out=logits).sum(1))
-        some = np.flatnonzero(cls)
-        some = some[np.argsort(cls[some], kind="stable")]
-        ends = np.searchsorted(cls[some], np.arange(self.classes + 1))
-        for k in range(1, self.classes):
-            rows = some[ends[k] : ends[k + 1]]
-            if len(rows):
-                inner = h[rows] @ self.p["w"][k] + self.p["v"][k]
-                high = inner.max(1)
-                out[rows] += inner[np.arange(len(rows)), place[rows]] - high - np.log(np.exp(inner - high[:, None]).sum(1))
+            out[i : i + rows] = _log_softmax(self.p["c"], self.p["d"], h[i : i + rows], cls[i : i + rows])
+        some, groups = self._classes_of(cls)
+        states, place = h[some], words[some] - 1
+        for k, a, b in groups:
+            lo, hi = self.edges[k - 1], self.edges[k]
+            rows = max(1, CELLS // int(hi - lo))
+            for i in range(a, b, rows):
+                j = min(b, i + rows)
+                out[some[i:j]] += _log_softmax(self.p["w"][lo:hi], self.p["v"][lo:hi], states[i:j], place[i:j] - lo)
         return out
 
-    def score(self, texts: np.ndarray, counts: np.ndarray, window: int = 64) -> np.ndarray:
+    def score(self, texts: np.ndarray, counts: np.ndarray, window: int = 1 << 15) -> np.ndarray:
         """log10 probability of each whole text and its end.  ``texts``: word numbers of all texts in turn, without ends.
 
-        Texts run side by side, the longest first, so that those still going are always the first rows; state is carried
-        from window to window, and a window's words are scored together.
+        Texts run side by side, the longest first, so that those still going are always the first columns; state is carried
+        from step to step through each text to its end, and about ``window`` words of all texts are scored together.
         """
         order = np.argsort(-counts, kind="stable")
         begin = (np.cumsum(counts) - counts)[order]
         steps = counts[order] + 1
         total = np.zeros(len(counts))
-        h = np.zeros((len(counts), self.hidden), np.float32)
         padded = np.append(texts, END)
-        for t0 in range(0, int(steps[0]) if len(steps) else 0, window):
-            states, targets, rows = [], [], []
-            for t in range(t0, min(t0 + window, int(steps[0]))):
-                live = int(np.searchsorted(-steps, -t, side="left"))
-                words = padded[begin[:live] + t - 1] if t else np.full(live, END)
-                h = self.step(words, h[:live])[0]
-                states.append(h)
-                ending = steps[:live] == t + 1
-                targets.append(np.where(ending, END, padded[np.minimum(begin[:live] + t, len(texts))]))
-                rows.append(np.arange(live))
-            found = self.log_probability(np.concatenate(states), np.concatenate(targets))
-            total += np.bincount(np.concatenate(rows), found, len(total))
+        terms = self.p["x"] + self.p["b"]
+        longest = int(steps[0]) if len(steps) else 0
+        lives = np.searchsorted(-steps, -np.arange(longest + 1), side="left")
+        h, words = np.zeros((self.hidden, len(counts)), np.float32), np.full(len(counts), END)
+        states, targets, held = [], [], 0
+        for t in range(longest):
+            live, going = int(lives[t]), int(lives[t + 1])
+            h = self.step(terms[words[:live]].T, h[:, :live])[0]
+            words = padded[begin[:live] + t]
+            words[going:] = END
+            states.append(h.T)
+            targets.append(words)
+            held += live
+            if held >= window or t == longest - 1:
+                found = self.log_probability(np.concatenate(states), np.concatenate(targets))
+                total += np.bincount(np.concatenate([np.arange(len(x)) for x in targets]), found, len(total))
+                states, targets, held = [], [], 0
         out = np.empty(len(total))
         out[order] = total / LOG10
         return out
 
     def gradient(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, live: np.ndarray, fresh: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
         """Loss (summed over live targets), its gradient by backpropagation through the window, and the state after it.
-        inputs, targets, live, fresh: (time, texts); where ``fresh``, a text begins, with a state of zeros."""
+        inputs, targets, live, fresh: (time, texts); h: (units, texts); where ``fresh``, a text begins, with a state of zeros."""
         loss, some, h = self.sparse_gradient(inputs, targets, h, live, np.zeros(live.shape, bool) if fresh is None else fresh)
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
         for k, (rows, values) in some.items():
@@ -121,96 +150,142 @@ class Gru:
 
     def sparse_gradient(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, live: np.ndarray, fresh: np.ndarray) -> tuple[float, dict[str, tuple], np.ndarray]:
         """As ``gradient``, with (rows, their gradients) of each parameter: only of words and classes that stand in the window."""
-        steps, n = len(inputs), self.hidden
-        past = []
+        steps, m, n, kind = *inputs.shape, self.hidden, self.p["x"].dtype
+        flat, on = inputs.ravel(), (~fresh).astype(kind)
+        a = np.ascontiguousarray((self.p["x"][flat] + self.p["b"]).reshape(steps, m, 3 * n).transpose(0, 2, 1))
+        before, after, new, rn = np.empty((4, steps, n, m), kind)
+        gates = np.empty((steps, 2 * n, m), kind)
         for t in range(steps):
-            h = np.where(fresh[t][:, None], np.zeros_like(h), h)
-            new_h, *kept = self.step(inputs[t], h)
-            past.append((h, *kept, new_h))
-            h = new_h
-        states, words, weight = np.concatenate([p[-1] for p in past]), targets.ravel(), live.ravel().astype(np.float32)
-        cls, place = self.place(words)
-
-        def softmax(logits, right, w):
-            logits -= logits.max(1, keepdims=True)
-            e = np.exp(logits, out=logits)
-            e /= e.sum(1, keepdims=True)
-            at = np.arange(len(e))
-            lost = float(-(np.log(e[at, right] + 1e-30) * w).sum())
-            e[at, right] -= 1
-            e *= w[:, None]
-            return lost, e
-
-        loss, dz = softmax(states @ self.p["c"] + self.p["d"], cls, weight)
-        g = {"c": (slice(None), states.T @ dz), "d": (slice(None), dz.sum(0))}
-        dh_all = dz @ self.p["c"].T
-        some = np.flatnonzero((cls > 0) & (weight > 0))
-        some = some[np.argsort(cls[some], kind="stable")]
-        found, begin = np.unique(cls[some], return_index=True)
-        dw, dv = np.empty((len(found), n, self.width), states.dtype), np.empty((len(found), self.width), states.dtype)
-        for i, (k, rows) in enumerate(zip(found, np.split(some, begin[1:]), strict=False)):
-            own = states[rows]
-            more, dz = softmax(own @ self.p["w"][k] + self.p["v"][k], place[rows], weight[rows])
-            loss += more
-            dw[i], dv[i] = own.T @ dz, dz.sum(0)
-            dh_all[rows] += dz @ self.p["w"][k].T
-        g["w"], g["v"] = (found, dw), (found, dv)
-        dh_all = dh_all.reshape(steps, -1, n)
+            np.multiply(h, on[t], out=before[t])
+            h, gates[t], new[t], rn[t] = self.step(a[t], before[t])
+            after[t] = h
+        states, weight = after.transpose(0, 2, 1).reshape(-1, n), live.ravel().astype(kind)
+        words = targets.ravel()
+        cls = self.of_word[words]
+        loss, dh_all = 0.0, np.empty_like(states)
+        dc, dd = np.zeros_like(self.p["c"]), np.zeros_like(self.p["d"])
+        rows = max(1, CELLS // self.classes)
+        for i in range(0, len(words), rows):
+            own, on_it = states[i : i + rows], weight[i : i + rows]
+            right, dz = _softmax(self.p["c"], self.p["d"], own, cls[i : i + rows])
+            loss -= float((np.log(right) * on_it).sum())
+            dz *= on_it
+            dc += dz @ own
+            dd += dz.sum(1)
+            np.matmul(dz.T, self.p["c"], out=dh_all[i : i + rows])
+        g = {"c": (slice(None), dc), "d": (slice(None), dd)}
+        some, groups = self._classes_of(np.where(weight > 0, cls, 0))
+        own, place, chance, dh_own = states[some], words[some] - 1, np.empty(len(some), kind), np.empty((len(some), n), kind)
+        dw, dv = np.zeros_like(self.p["w"]), np.zeros_like(self.p["v"])
+        for k, i, j in groups:
+            lo, hi = int(self.edges[k - 1]), int(self.edges[k])
+            w = self.p["w"][lo:hi]
+            chance[i:j], dz = _softmax(w, self.p["v"][lo:hi], own[i:j], place[i:j] - lo)
+            np.matmul(dz, own[i:j], out=dw[lo:hi])
+            dz.sum(1, out=dv[lo:hi])
+            np.matmul(dz.T, w, out=dh_own[i:j])
+        loss -= float(np.log(chance).sum())
+        dh_all[some] += dh_own
+        g["w"], g["v"] = (slice(None), dw), (slice(None), dv)
+        dh_all = np.ascontiguousarray(dh_all.reshape(steps, m, n).transpose(0, 2, 1))
+        reset, keep = gates[:, :n], gates[:, n:]
+        to_new = (1 - keep) * (1 - new * new)
+        to_keep = (before - new) * keep * (1 - keep)
+        to_reset = rn * reset * (1 - reset)
         dh = np.zeros_like(h)
-        da_all = np.empty((steps, inputs.shape[1], 3 * n), states.dtype)
-        db, du = np.zeros_like(self.p["b"]), np.zeros_like(self.p["u"])
+        da, dr = np.empty((2, steps, 3 * n, m), kind)
         for t in range(steps - 1, -1, -1):
-            before, reset, keep, new, rn, _ = past[t]
-            dh = dh + dh_all[t]
-            d_new = dh * (1 - keep) * (1 - new**2)
-            d_keep = dh * (before - new) * keep * (1 - keep)
-            d_reset = d_new * rn * reset * (1 - reset)
-            da_all[t] = np.concatenate([d_reset, d_keep, d_new], 1)
-            dr = np.concatenate([d_reset, d_keep, d_new * reset], 1)
-            db += da_all[t].sum(0)
-            du += before.T @ dr
-            dh = np.where(fresh[t][:, None], np.zeros_like(dh), dh * keep + dr @ self.p["u"].T)
-        order = np.argsort(inputs.ravel(), kind="stable")
-        found, begin = np.unique(inputs.ravel()[order], return_index=True)
-        g["x"] = (found, np.add.reduceat(da_all.reshape(-1, 3 * n)[order], begin))
-        g["b"], g["u"] = (slice(None), db), (slice(None), du)
+            dh += dh_all[t]
+            d_new = np.multiply(dh, to_new[t], out=da[t, 2 * n :])
+            np.multiply(dh, to_keep[t], out=da[t, n : 2 * n])
+            np.multiply(d_new, to_reset[t], out=da[t, :n])
+            dr[t, : 2 * n] = da[t, : 2 * n]
+            np.multiply(d_new, reset[t], out=dr[t, 2 * n :])
+            dh *= keep[t]
+            dh += self.p["u"] @ dr[t]
+            dh *= on[t]
+        found = np.flatnonzero(np.bincount(flat, minlength=self.words))
+        place = np.empty(self.words, np.int64)
+        place[found] = np.arange(len(found))
+        place, dx = place[flat], np.empty((len(found), 3 * n), kind)
+        for k in range(3 * n):
+            dx[:, k] = np.bincount(place, da[:, k].ravel(), len(found))
+        g["x"] = (found, dx)
+        g["b"], g["u"] = (slice(None), da.sum((0, 2))), (slice(None), np.matmul(before, dr.transpose(0, 2, 1)).sum(0))
         return loss, g, h
 
     def tables(self) -> list[np.ndarray]:
-        """The parameters as tables whose rows are learnt together: a row a word, a row a class, and one of all others."""
+        """The parameters as tables whose rows are learnt together: a row a word (as input), a row a word (as output), and one of
+        all others."""
         one_row = np.concatenate([self.p[k].ravel() for k in ("b", "u", "c", "d")])[None]
-        return [self.p["x"], np.concatenate([self.p["w"].reshape(self.classes, -1), self.p["v"]], 1), one_row]
+        return [self.p["x"], np.concatenate([self.p["w"], self.p["v"][:, None]], 1), one_row]
 
     def load_tables(self, tables: list[np.ndarray]) -> Gru:
         self.p["x"] = np.asarray(tables[0], np.float32)
-        cut = self.hidden * self.width
-        self.p["w"], self.p["v"] = tables[1][:, :cut].astype(np.float32).reshape(self.p["w"].shape), tables[1][:, cut:].astype(np.float32)
+        self.p["w"], self.p["v"] = tables[1][:, :-1].astype(np.float32), tables[1][:, -1].astype(np.float32)
         at = 0
         for k in ("b", "u", "c", "d"):
             self.p[k] = tables[2][0, at : at + self.p[k].size].astype(np.float32).reshape(self.p[k].shape)
             at += self.p[k].size
-        self._void()
         return self
 
 
+def _logits(weights: np.ndarray, bias: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """(choices, rows), less the largest of each row."""
+    z = weights @ h.T
+    z += bias[:, None]
+    z -= z.max(0)
+    return z
+
+
+def _log_softmax(weights: np.ndarray, bias: np.ndarray, h: np.ndarray, right: np.ndarray) -> np.ndarray:
+    z = _logits(weights, bias, h)
+    own = z[right, np.arange(len(right))]
+    return own - np.log(np.exp(z, out=z).sum(0))
+
+
+def _softmax(weights: np.ndarray, bias: np.ndarray, h: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chance of the right choice of each row, and the derivatives of the loss by the logits, as (choices, rows)."""
+    z, at = _logits(weights, bias, h), np.arange(len(right))
+    np.exp(z, out=z)
+    z /= z.sum(0)
+    chance = z[right, at]
+    z[right, at] = chance - 1
+    return np.maximum(chance, 1e-30), z
+
+
 class Adam:
-    """Adam; rows of words and classes that a window lacks are left alone by it, and each row counts its own steps."""
+    """Adam; the input terms of words that a window lacks are left alone by it, and each of those rows counts its own steps."""
 
     def __init__(self, model: Gru, rate: float):
-        self.model, self.rate = model, rate
+        self.model, self.rate, self.steps = model, rate, 0
         self.m = {k: np.zeros_like(v) for k, v in model.p.items()}
         self.s = {k: np.zeros_like(v) for k, v in model.p.items()}
-        self.t = {k: np.zeros((len(v),) + (1,) * (v.ndim - 1), np.float32) for k, v in model.p.items()}
+        self.t = np.zeros((model.words, 1), np.float32)
 
     def update(self, g: dict[str, tuple], n: float) -> None:
-        for k, (rows, values) in g.items():
-            d = np.clip(values / np.float32(n), -1, 1)
-            t = self.t[k][rows] = self.t[k][rows] + 1
-            m = self.m[k][rows] = self.m[k][rows] * np.float32(0.9) + np.float32(0.1) * d
-            s = self.s[k][rows] = self.s[k][rows] * np.float32(0.999) + np.float32(0.001) * d * d
-            rate = self.rate * np.sqrt(1 - np.float32(0.999) ** t) / (1 - np.float32(0.9) ** t)
-            self.model.p[k][rows] -= (rate * m / (np.sqrt(s) + np.float32(1e-8))).astype(np.float32)
-        self.model._void()
+        self.steps += 1
+        for k, (rows, d) in g.items():
+            d *= np.float32(1 / n)
+            np.clip(d, -1, 1, out=d)
+            some = isinstance(rows, np.ndarray)
+            if some:
+                self.t[rows] += 1
+            t = self.t[rows] if some else np.float32(self.steps)
+            m, s = self.m[k][rows], self.s[k][rows]  # copies of some rows, or the whole itself
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * d
+            s *= np.float32(0.999)
+            d *= d
+            d *= np.float32(0.001)
+            s += d
+            np.sqrt(s, out=d)
+            d += np.float32(1e-8)
+            np.divide(m, d, out=d)
+            d *= np.float32(self.rate) * np.sqrt(1 - np.float32(0.999) ** t) / (1 - np.float32(0.9) ** t)
+            self.model.p[k][rows] -= d
+            if some:
+                self.m[k][rows], self.s[k][rows] = m, s
 
 
 def _lanes(pieces: list[np.ndarray], lanes: int) -> list[list[np.ndarray]]:
@@ -239,7 +314,7 @@ def train(model: Gru, pieces: list[np.ndarray], rate: float, epochs: int = 1, ba
         inputs = [np.concatenate([p[:-1] for p in lane]) for lane in texts]
         targets = [np.concatenate([p[1:] for p in lane]) for lane in texts]
         begins = [starts_of(lane) for lane in texts]
-        h = np.zeros((len(lanes), model.hidden), np.float32)
+        h = np.zeros((model.hidden, len(lanes)), np.float32)
         for t in range(0, int(sizes[-1]) if len(lanes) else 0, window):
             first = int(np.searchsorted(sizes, t, side="right"))  # lanes before it have ended
             steps = min(window, int(sizes[-1]) - t)
@@ -249,7 +324,7 @@ def train(model: Gru, pieces: list[np.ndarray], rate: float, epochs: int = 1, ba
                 m = min(steps, int(sizes[j]) - t)
                 words[:m, j - first], next_words[:m, j - first], live[:m, j - first] = inputs[j][t : t + m], targets[j][t : t + m], True
                 fresh[:m, j - first] = begins[j][t : t + m]
-            one, g, h = model.sparse_gradient(words, next_words, h[len(h) - len(lanes) + first :], live, fresh)
+            one, g, h = model.sparse_gradient(words, next_words, h[:, h.shape[1] - len(lanes) + first :], live, fresh)
             some = int(live.sum())
             adam.update(g, some)
             loss, n = loss + one, n + some

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 
@@ -38,19 +37,21 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def frequent_words(counts: DataFrame, most: int) -> list[tuple[str, int]]:
-    """The most frequent words, ``most`` at most, by falling count: all words from a count on.  That count is found from the
-    numbers of words in narrow bands of counts, of which there are a few thousand, so no task sends more than its share."""
+    """The ``most`` most frequent words, or all if there are fewer, by falling count; words of one count in the order of their
+    code points.  All words above the count of the last one are taken, and of that count's words as many as are still free; the
+    count is found from the numbers of words in bands of counts, so no task sends more than its share."""
     band = F.floor(F.log2(F.col("c").cast("double")) * 128)
     bands = sorted(((r["band"], r["n"]) for r in counts.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
-    total, least = 0, None
+    total, least, edge = 0, None, None
     for b, n in bands:
-        total += n
-        if total > most:
+        if total + n > most:
+            edge = b
             break
-        least = b
-    if least is None:
-        return []
-    found = [(r["word"], r["c"]) for r in counts.filter(band >= least).collect()]
+        total, least = total + n, b
+    found = [(r["word"], r["c"]) for r in counts.filter(band >= least).collect()] if least is not None else []
+    if edge is not None and total < most:
+        # The band in which the bound falls: its largest counts, in the order of the words where counts agree.
+        found += [(r["word"], r["c"]) for r in counts.filter(band == edge).orderBy(F.desc("c"), "word").limit(most - total).collect()]
     return sorted(found, key=lambda x: (-x[1], x[0]))
 
 
@@ -61,11 +62,6 @@ def _piece(numbers: np.ndarray, key: int, most: int) -> np.ndarray:
     return whole[at : at + most + 1]
 
 
-def class_width(words: int) -> int:
-    """Near the square root, where a word's class and its place in it cost the same; a power of two, 32 at least."""
-    return max(32, 1 << round(math.log2(max(1, words)) / 2))
-
-
 class Vocabulary:
     """The model's words (frequent ones, numbered from 2 on), and the counts of more of them for the base score."""
 
@@ -83,26 +79,27 @@ def _pieces(texts: DataFrame, number: dict[bytes, int], most: int) -> DataFrame:
             at = starts(counts)
             keys = [zlib.crc32(str(d).encode()) for d in batch.column("doc_id").to_pylist()]
             found = [_piece(numbers[at[i] : at[i + 1]], k, most).astype(np.int32) for i, k in enumerate(keys)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "piece"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "piece"])
 
-    return texts.mapInArrow(cut, "doc_id long, piece array<int>")
+    return texts.mapInArrow(cut, "doc_id string, piece array<int>")
 
 
 #: Words of whole texts that a task holds for training at once; a longer text is held alone.
-HELD_WORDS = 1 << 20
+HELD_WORDS = 4 << 20
 
 
 def _copy(batches: Iterator[pa.RecordBatch], number: dict[bytes, int], own: Gru) -> Iterator[pa.RecordBatch]:
     """Train ``own`` on all words of all texts, and return the rows of its tables that have learnt, as (table, at, values,
-    weights) in blocks: a word's row weighs by how often the word stands there, a class's likewise, the others by all words."""
-    adam, held, n = Adam(own, 0.001), [], 0
+    weights) in blocks: a word's row as input weighs by how often the word stands there, its row as output by how often its
+    class does, the others by all words."""
+    adam, held, n = Adam(own, 0.003), [], 0
     inputs, classes, total = np.zeros(own.words), np.zeros(own.classes), 0
 
     def learn():
         nonlocal inputs, classes, total, held, n
-        train(own, held, rate=adam.rate, batch=128, adam=adam)
+        train(own, held, rate=adam.rate, batch=256, window=64, adam=adam)
         inputs += np.bincount(np.concatenate([p[:-1] for p in held]), minlength=own.words)
-        classes += np.bincount(own.place(np.concatenate([p[1:] for p in held]))[0], minlength=own.classes)
+        classes += np.bincount(own.of_word[np.concatenate([p[1:] for p in held])], minlength=own.classes)
         total += n
         held, n = [], 0
 
@@ -117,7 +114,7 @@ def _copy(batches: Iterator[pa.RecordBatch], number: dict[bytes, int], own: Gru)
                 learn()
     if held:
         learn()
-    for k, (values, weights) in enumerate(zip(own.tables(), (inputs, classes, np.array([float(total)])), strict=True)):
+    for k, (values, weights) in enumerate(zip(own.tables(), (inputs, classes[own.of_word[1:]], np.array([float(total)])), strict=True)):
         rows = max(1, BLOCK // values.shape[1])
         for at in range(0, len(values), rows):
             w = weights[at : at + rows]
@@ -148,22 +145,22 @@ def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _block(kind, at, v / np.maximum(w, 1)[:, None], w)
 
 
-def fit(training: DataFrame, vocabulary: Vocabulary, first_docs: int, first_words: int) -> Gru:
-    """A first model from a bounded sample (the ``first_docs`` documents of smallest hash, ``first_words`` of each at most) on
-    the driver, from which all words of all texts are learnt: each task trains a copy on its whole texts, with the state
-    carried through each, and copies are averaged, a word's row by how often each copy has met the word."""
-    model = Gru(vocabulary.size, width=class_width(vocabulary.size))
+def fit(training: DataFrame, vocabulary: Vocabulary, counts: np.ndarray, first_docs: int, first_words: int) -> Gru:
+    """A model that begins with the words' own counts, and goes three times over a bounded sample (the ``first_docs`` documents
+    of smallest hash, ``first_words`` of each at most) on the driver.  From there all words of all texts are learnt: each task
+    trains a copy on its whole texts, with the state carried through each, and copies are averaged, a word's row by how often
+    each copy has met the word."""
+    model = Gru(vocabulary.size).unigram(counts)
     number = vocabulary.number
     chosen = training.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(first_docs)
     sample = _pieces(training.join(F.broadcast(chosen), "doc_id"), number, first_words)
     pieces = [np.array(r["piece"]) for r in sorted(sample.collect(), key=lambda r: (r["doc_id"], r["piece"]))]
-    n = sum(map(len, pieces))
-    train(model, pieces, rate=0.01, epochs=max(3, min(12, 1_200_000 // max(1, n))))  # a small sample is gone through more often
+    train(model, pieces, rate=0.01, epochs=3)
     sent = training.sparkSession.sparkContext.broadcast((number, model))
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, own = sent.value
-        yield from _copy(batches, number, Gru(own.words, own.hidden, own.width).load(own.vector()))
+        yield from _copy(batches, number, Gru(own.words, own.hidden).load(own.vector()))
 
     copies = training.select("text").mapInArrow(refine, _BLOCK).repartition("kind", "at")
     tables = [t.copy() for t in model.tables()]
@@ -174,16 +171,17 @@ def fit(training: DataFrame, vocabulary: Vocabulary, first_docs: int, first_word
     return model.load_tables(tables)
 
 
-def lm_scores(docs: DataFrame, folds: int = 5, fold: int = 1, head_words: int = 150_000, model_words: int = 991, model_count: int = 100, first_docs: int = 1500, first_words: int = 256, side_by_side: int = 3 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, folds: int = 5, fold: int = 1, head_words: int = 150_000, model_words: int = 991, model_count: int = 20, model_share: float = 1e-5, first_docs: int = 1500, first_words: int = 256, side_by_side: int = 3 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score each whole text with smoothed word counts (base) and with a recurrent model (score), both log10.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; a row for each input row.  Training texts are
     those whose crc32 of doc_id as text, modulo ``folds``, is not ``fold``; all of their words are counted, and all
     of them train the model (see ``fit``).
 
-    The model knows all words of the head that are counted ``model_count`` times or more (the ``model_words`` most frequent ones
-    at least), so it grows with the corpus, and one that stands for all others; when it predicts the latter,
-    the word itself has its share of smoothed counts among those, so every text has a probability.
+    The model knows all words that are one of 1 / ``model_share`` words or more and counted ``model_count`` times or more (the
+    ``model_words`` most frequent ones at least), of which there can be no more than 1 / ``model_share``, and a word that
+    stands for all others; when it predicts the latter, the word itself has its share of smoothed counts among those, so every
+    text has a probability.  ``head_words`` must be as many at least.
 
     * A null or empty text is its end alone.  A null doc_id is a training text, save that it is never in the first sample.
     * Rows that repeat are counted and scored each.  Other columns are ignored; an empty table gives an empty one.
@@ -199,17 +197,17 @@ def lm_scores(docs: DataFrame, folds: int = 5, fold: int = 1, head_words: int =
     ends = training.count()
     n_train, distinct = totals[0] + ends, totals[1] + (ends > 0)
     head = frequent_words(counts, head_words)
-    model_words = max(model_words, sum(c >= model_count for _, c in head))
+    model_words = max(model_words, sum(c >= max(model_count, model_share * n_train) for _, c in head))
     vocabulary = Vocabulary(head, model_words)
-    model = fit(training, vocabulary, first_docs, first_words)
     rare_n = totals[0] - sum(c for _, c in head[:model_words])
+    model = fit(training, vocabulary, np.array([rare_n, ends, *(c for _, c in head[:model_words])], np.float64), first_docs, first_words)
     rare_words = totals[1] - len(vocabulary.number)
     of_all, of_rare = n_train + 0.5 * (distinct + 1), rare_n + 0.5 * (rare_words + 1)
     sent = d.sparkSession.sparkContext.broadcast((vocabulary, model.vector()))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, vector = sent.value
-        model = Gru(vocabulary.size, width=class_width(vocabulary.size)).load(vector)
+        model = Gru(vocabulary.size).load(vector)
         held: list[list] = [[] for _ in range(7)]
         serial = partition_name() << 40
 

@@ -109,10 +109,10 @@ def test_salvage_through_spark(spark, tmp_path):
 
 
 def test_gradient():
-    m = gru.Gru(20, hidden=4, width=6, seed=3)
+    m = gru.Gru(20, hidden=4, classes=4, seed=3)
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
     r = np.random.default_rng(0)
-    given_ = r.integers(0, 20, (5, 3)), r.integers(0, 20, (5, 3)), r.normal(0, 0.3, (3, 4)), r.random((5, 3)) < 0.8
+    given_ = r.integers(0, 20, (5, 3)), r.integers(0, 20, (5, 3)), r.normal(0, 0.3, (4, 3)), r.random((5, 3)) < 0.8
     _, g, _ = m.gradient(*given_)
     for k in m.NAMES:
         for _ in range(6):
@@ -127,7 +127,7 @@ def test_gradient():
 
 
 def test_model_is_a_distribution_and_carries_state():
-    m = gru.Gru(50, hidden=5, width=8)
+    m = gru.Gru(50, hidden=5, classes=7)
     h = np.random.default_rng(1).normal(0, 1, (1, 5)).astype(np.float32)
     assert np.exp(m.log_probability(np.repeat(h, 50, 0), np.arange(50))).sum() == pytest.approx(1, abs=1e-4)
     counts = np.array([3, 0, 200, 7])
@@ -137,7 +137,7 @@ def test_model_is_a_distribution_and_carries_state():
 
 def test_training_learns():
     pieces = [np.array([1, *([2, 3, 4] * 5), 1]) for _ in range(256)]
-    m = gru.Gru(10, hidden=8, width=4)
+    m = gru.Gru(10, hidden=8, classes=3)
     before = m.score(np.array([2, 3, 4] * 5), np.array([15]))[0]
     gru.train(m, pieces, 0.02, epochs=40)
     assert m.score(np.array([2, 3, 4] * 5), np.array([15]))[0] > before / 4

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import LOWER_TABLE, byte_list, documents, give_back, materialise, shared_folder, slices, starts, strings, translated, words
+from leafmill.llm.common import LOWER_TABLE, SLICE_BYTES, byte_list, documents, give_back, materialise, shared_folder, slices, starts, strings, translated, words
 from leafmill.llm.files import BinaryFile, partition_name, read_files
 
 MAGIC = b"IDPLANE1"
@@ -145,36 +145,40 @@ class WordEncoder:
 
     def _forget(self) -> None:
         #: Entry 0 is empty.
-        self.known: dict[bytes, int] = {b"": 0}
+        self.known: dict[str, int] = {"": 0}
         self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(2, np.int64)
 
-    def _add(self, new: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
+    def _add(self, new: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         self.ids, self.ends = np.concatenate([self.ids, ids]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
 
-    def _learn(self, new: list[bytes]) -> None:
-        plain = [w for w in new if self.plain and w.isalpha() and w.isascii()]
-        other = [w for w in new if not (self.plain and w.isalpha() and w.isascii())]
-        if plain:
-            ids = self._joined(self.plain, [w.decode() for w in plain], " ", "")
+    def _learn(self, new: list[str]) -> None:
+        column = pa.array(new, pa.string())
+        plain = np.asarray(pc.fill_null(pc.and_(pc.ascii_is_alpha(column), pc.string_is_ascii(column)), False)) if self.plain else np.zeros(len(new), bool)
+        special = ~plain & np.logical_or.reduce([np.asarray(pc.match_substring(column, x)) for x in self.odd])
+        taken = lambda mask: column.filter(pa.array(mask)).to_pylist()
+        if some := taken(plain):
+            ids = self._joined(self.plain, some, " ", "")
             last = np.flatnonzero(self.ends_word[ids])
-            self._checked_add(plain, ids, np.diff(last, prepend=-1))
-        texts = {w: w.decode("utf-8", "replace") for w in other}
-        special = {w for w, t in texts.items() if any(x in t for x in self.odd)}
-        marked = [w for w in other if w not in special]
-        if marked:
-            ids = self._joined(self.tokenizer, [texts[w] for w in marked], self.mark, self.mark)
+            self._checked_add(some, ids, np.diff(last, prepend=-1))
+        if some := taken(~plain & ~special):
+            ids = self._joined(self.tokenizer, some, self.mark, self.mark)
             bounds = ids == self.mark_id
-            self._checked_add(marked, ids[~bounds], np.diff(np.flatnonzero(bounds), prepend=-1) - 1)
-        for w in special:
-            ids = np.array(self.tokenizer.encode(texts[w], add_special_tokens=False).ids, np.uint32)
+            self._checked_add(some, ids[~bounds], np.diff(np.flatnonzero(bounds), prepend=-1) - 1)
+        self._one_by_one(taken(special))
+
+    def _checked_add(self, new: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        """Where a bound between words is lost, those of the batch are encoded each by itself."""
+        if len(counts) == len(new):
+            self._add(new, ids, counts)
+        else:
+            self._one_by_one(new)
+
+    def _one_by_one(self, new: list[str]) -> None:
+        for w in new:
+            ids = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
             self._add([w], ids, np.array([len(ids)]))
 
-    def _checked_add(self, new: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
-        if len(counts) != len(new):
-            raise ValueError("the tokenizer lost a bound between words")
-        self._add(new, ids, counts)
-
     @staticmethod
     def _joined(tokenizer, texts: list[str], between: str, after: str, n: int = 1000) -> np.ndarray:
         groups = [between.join(texts[i : i + n]) + after for i in range(0, len(texts), n)]
@@ -188,8 +192,8 @@ class WordEncoder:
         d = flat.dictionary_encode()
         cores, of_core, stops = _divided(d.dictionary)
         known = self.known
-        if new := [w for w in cores if w not in known] + [w for w in set(stops.values()) if w not in known]:
-            self._learn(sorted(set(new)))
+        if new := list(dict.fromkeys(w for w in [*cores, *stops.values()] if w not in known)):
+            self._learn(new)
         # First the ids of each distinct word, its core's and its stops'; then those of all words in turn, the end id after each text.
         parts = np.zeros(2 * len(of_core), np.int64)
         parts[0::2] = np.fromiter(map(known.__getitem__, cores), np.int64, len(cores))[of_core]
@@ -201,11 +205,19 @@ class WordEncoder:
         return ids, np.diff(starts(lengths)[starts(n_words + 1)])
 
 
+def _text_list(array: pa.Array) -> list[str]:
+    """Bytes that are no UTF-8 become replacement characters, as the tokenizer would be given them."""
+    try:
+        return array.to_numpy(zero_copy_only=False).tolist()
+    except UnicodeDecodeError:
+        return [w.decode("utf-8", "replace") for w in byte_list(array)]
+
+
 _ALNUM = np.zeros(256, bool)
 _ALNUM[list(b"0123456789abcdefghijklmnopqrstuvwxyz")] = True
 
 
-def _divided(distinct: pa.Array) -> tuple[list[bytes], np.ndarray, dict[int, bytes]]:
+def _divided(distinct: pa.Array) -> tuple[list[str], np.ndarray, dict[int, str]]:
     """Words cut into cores and stops: the distinct cores, which of them each word has, and the stops of words that have any.
     Stops are cut off only behind an ASCII letter or digit."""
     trimmed = pc.ascii_rtrim(distinct, ".,")
@@ -215,9 +227,9 @@ def _divided(distinct: pa.Array) -> tuple[list[bytes], np.ndarray, dict[int, byt
     some[some] = _ALNUM[data[ends[1:][some] - 1]]
     whole = pc.if_else(pa.array(some), trimmed, distinct).dictionary_encode()
     cut = np.flatnonzero(some & (np.asarray(pc.binary_length(trimmed)) < np.asarray(pc.binary_length(distinct))))
-    with_stops = byte_list(distinct.take(pa.array(cut)))
-    stops = {i: w[len(w.rstrip(b".,")) :] for i, w in zip(cut.tolist(), with_stops, strict=True)}
-    return byte_list(whole.dictionary), np.asarray(whole.indices), stops
+    with_stops = _text_list(distinct.take(pa.array(cut)))
+    stops = {i: w[len(w.rstrip(".,")) :] for i, w in zip(cut.tolist(), with_stops, strict=True)}
+    return _text_list(whole.dictionary), np.asarray(whole.indices), stops
 
 
 def _gathered(pool: np.ndarray, ends: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,7 +265,7 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID
                 x.clear()
             return row
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 * SLICE_BYTES):
             ids, counts = encoder(strings(batch.column("text")), end_id)
             held[0].append(ids)
             held[1].extend(batch.column("doc_id").to_pylist())

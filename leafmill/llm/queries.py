@@ -76,14 +76,13 @@ def _found(kind: int, pattern: str, group: int = 0) -> str:
             FROM (SELECT doc_id, regexp_extract_all(t, {p}) AS h, regexp_extract_all(t, {p}, {group}) AS v, string_split_regex(t, {p}) AS b FROM d)"""
 
 
-_RUNS = secrets.CANDIDATE[secrets.CANDIDATE.index(")") + 1 :]
 _ALLOWED = " OR ".join(f"regexp_matches(value, {_quoted(p)})" for p in secrets.ALLOW)
 _LEAST = " ".join(f"WHEN regexp_matches(value, {_quoted(p)}) THEN {v}" for p, v in secrets.CLASSES.items())
 
 SQL = {
     "op1_secret_scan": f"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-        found AS ({_found(0, secrets.ASSIGN, 2)} UNION ALL {_found(1, secrets.PATTERNS["access"])} UNION ALL {_found(2, secrets.PATTERNS["hex"])} UNION ALL {_found(3, _RUNS)}),
+        found AS ({_found(0, secrets.ASSIGN, 2)} UNION ALL {_found(1, secrets.PATTERNS["access"])} UNION ALL {_found(2, secrets.PATTERNS["hex"])} UNION ALL {_found(3, secrets.CANDIDATE)}),
         placed AS (SELECT *, sum(length(before) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY n) AS stop FROM found),
         base AS (SELECT doc_id, kind, stop - length(hit) AS start, stop FROM placed WHERE kind < 3 AND (kind > 0 OR length(value) >= {secrets.LEAST_VALUE})),
         runs AS (SELECT doc_id, stop - length(hit) AS start, value, CASE {_LEAST} END AS least FROM placed WHERE kind = 3 AND regexp_matches(value, '[0-9]') AND NOT ({_ALLOWED})),

@@ -15,9 +15,8 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 PATTERNS = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 LEAST_VALUE = 6
 
-#: Candidates for the entropy test: runs of these characters with a digit among them.
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-CANDIDATE = r"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+#: Candidates for the entropy test: runs of these characters, if a digit is among them.
+CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Bits in a window of 20 from which a class of strings counts as random; the most is log2(16), log2(20) and log2(20).
 CLASSES = {r"^[0-9A-Fa-f]+$": 3.15, r"^[0-9a-z]+$": 3.55, r"^.*$": 3.75}
@@ -31,20 +30,16 @@ ALLOW = (
 )
 
 
-def _code(c: Column) -> Column:
-    """Place of a character in ALPHABET, from 1 on."""
-    return F.call_function("locate", c, F.lit(ALPHABET))
-
-
 def _entropy_span(chars: Column, least: Column) -> Column:
     """struct<first, last>: the first place and the place after the last of all windows that reach ``least`` bits.
+    Counts are held for the characters that stand in the candidate.
 
     A window's entropy is log2(w) - sum(c log2 c) / w over its counts c; a step to the right changes the sum only through
     the counts of the character that comes in and the one that goes out.
     """
     f = lambda c: F.when(c > 0, c * F.log2(c)).otherwise(F.lit(0.0))
     start = F.struct(
-        F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last")
+        F.array_repeat(F.lit(0), F.size(F.array_distinct(chars))).alias("counts"), F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last")
     )
 
     def move(state: Column, pair: Column) -> Column:
@@ -60,7 +55,8 @@ def _entropy_span(chars: Column, least: Column) -> Column:
             F.coalesce(state["first"], F.when(high, pair["end"] - WINDOW)).alias("first"), F.when(high, pair["end"]).otherwise(state["last"]).alias("last"),
         )
 
-    pairs = F.transform(chars, lambda c, i: F.struct(_code(c).alias("come"), F.when(i >= WINDOW, _code(F.get(chars, i - WINDOW))).otherwise(F.lit(0)).alias("go"), (i + 1).alias("end")))
+    code = lambda c: F.array_position(F.array_distinct(chars), c).cast("int")
+    pairs = F.transform(chars, lambda c, i: F.struct(code(c).alias("come"), F.when(i >= WINDOW, code(F.get(chars, i - WINDOW))).otherwise(F.lit(0)).alias("go"), (i + 1).alias("end")))
     return F.aggregate(pairs, start, move, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
 
 
@@ -80,32 +76,34 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     d = documents(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     patterns = [*PATTERNS.items(), ("entropy", CANDIDATE)]
 
-    def found(kind: str, pattern: str) -> Column:
+    def matched(kind: str, pattern: str) -> Column:
         text = F.col("text")
         value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if kind == "assign" else F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
         matches = F.arrays_zip(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"), value.alias("value"))
         place = list(dict(patterns)).index(kind)
         return F.when(text.rlike(pattern), F.struct(F.lit(place).alias("kind"), matches.alias("matches")))
 
-    each = d.select("doc_id", "text_hash", F.explode(F.array_compact(F.array(*(found(*p) for p in patterns)))).alias("of"))
+    each = d.select("doc_id", "text_hash", F.explode(F.array_compact(F.array(*(matched(*p) for p in patterns)))).alias("of"))
     rows = each.select("doc_id", "text_hash", "of.kind", F.posexplode("of.matches").alias("n", "m")).filter("m.match IS NOT NULL")
     rows = rows.select("doc_id", "text_hash", "kind", "n", F.char_length("m.between").alias("before"), F.char_length("m.match").alias("length"), F.when(F.col("kind") == len(PATTERNS), F.col("m.value")).alias("candidate"), F.char_length("m.value").alias("value_length"))
     rows = rows.dropDuplicates(["doc_id", "text_hash", "kind", "n"])
     so_far = Window.partitionBy("doc_id", "text_hash", "kind").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("end", F.sum(F.col("before") + F.col("length")).over(so_far)).withColumn("begin", F.col("end") - F.col("length"))
 
-    base = placed.filter(F.col("candidate").isNull() & ((F.col("kind") > 0) | (F.col("value_length") >= LEAST_VALUE))).select("doc_id", "text_hash", "kind", "begin", "end")
     allowed = F.lit(False)
     for pattern in ALLOW:
         allowed = allowed | F.col("candidate").rlike(pattern)
     least = F.lit(None).cast("double")
     for pattern, bits in reversed(CLASSES.items()):
         least = F.when(F.col("candidate").rlike(pattern), F.lit(bits)).otherwise(least)
-    tested = placed.filter(F.col("candidate").isNotNull() & ~allowed).select("doc_id", "text_hash", "kind", "begin", least.alias("least"), F.split("candidate", "").alias("chars"))
-    spans = tested.select("doc_id", "text_hash", "kind", "begin", _entropy_span(F.col("chars"), F.col("least")).alias("s")).filter("s.first IS NOT NULL")
-    random = spans.select("doc_id", "text_hash", "kind", (F.col("begin") + F.col("s.first")).alias("begin"), (F.col("begin") + F.col("s.last")).alias("end"))
+    # One branch for all kinds: the text is looked through once.
+    wanted = F.when(F.col("kind") == len(PATTERNS), F.col("candidate").rlike("[0-9]") & ~allowed).otherwise((F.col("kind") > 0) | (F.col("value_length") >= LEAST_VALUE))
+    judged = placed.filter(wanted).withColumn("chars", F.split("candidate", "")).withColumn("s", F.when(F.col("kind") == len(PATTERNS), _entropy_span(F.col("chars"), least)))
+    judged = judged.filter((F.col("kind") < len(PATTERNS)) | F.col("s.first").isNotNull())
+    begin, end = (F.col("begin") + F.coalesce("s.first", F.lit(0))), F.coalesce(F.col("begin") + F.col("s.last"), F.col("end"))
+    found = judged.select("doc_id", "text_hash", "kind", begin.alias("begin"), end.alias("end"))
     name = F.element_at(F.array(*(F.lit(k) for k, _ in patterns)), F.col("kind") + 1)
-    per = base.unionByName(random).groupBy(F.col("doc_id").alias("span_id"), F.col("text_hash").alias("span_hash")).agg(F.array_sort(F.collect_list(F.struct("begin", "kind", "end", name.alias("name")))).alias("spans"))
+    per = found.groupBy(F.col("doc_id").alias("span_id"), F.col("text_hash").alias("span_hash")).agg(F.array_sort(F.collect_list(F.struct("begin", "kind", "end", name.alias("name")))).alias("spans"))
     none = F.array().cast("array<struct<begin:bigint,kind:int,end:bigint,name:string>>")
     joined = d.select("doc_id", "text_hash").join(per, F.col("doc_id").eqNullSafe(F.col("span_id")) & (F.col("text_hash") == F.col("span_hash")), "left")
     return joined.select("doc_id", F.coalesce(F.col("spans").cast("array<struct<begin:bigint,kind:int,end:bigint,name:string>>"), none).alias("spans"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import materialise, shared_folder, slices, strings
+from leafmill.llm.common import bounded, materialise, shared_folder, slices, spread_join, strings
 from leafmill.llm.files import BinaryFile, partition_name, read_files
 
 SUFFIX = ".warc.gz"
@@ -119,15 +119,18 @@ def parse(data: bytes, at: int = 0) -> tuple[Record, int]:
     return Record(at, headers, http, payload), begin + size + 4
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    inflate = zlib.decompressobj(31)
+def _member(data: bytes, at: int, piece: int = 1 << 14) -> tuple[bytes, int]:
+    """The member at a place, and where it ends.  It is fed by pieces, so that no more is read than it has, and one."""
+    inflate, view, out = zlib.decompressobj(31), memoryview(data), []
     try:
-        out = inflate.decompress(memoryview(data)[at:])
+        while not inflate.eof and at < len(data):
+            out.append(inflate.decompress(view[at : at + piece]))
+            at = min(len(data), at + piece)
     except zlib.error as e:
         raise Damage(f"gzip: {e}") from e
     if not inflate.eof:
         raise Damage("a gzip member without end")
-    return out, len(data) - len(inflate.unused_data)
+    return b"".join(out), at - len(inflate.unused_data)
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
@@ -137,7 +140,7 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
     again at the first one that holds a whole valid record; all between is one gap, with the first failure as its reason.
     A member may hold several records; those after a bad one in the same member are found by their version lines.
     """
-    at, bad, reason = 0, None, ""
+    at, bad, reason, marks = 0, None, "", Marks(data)
     while at < len(data):
         try:
             if data.startswith(MEMBER, at):
@@ -152,7 +155,7 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
         except Damage as e:
             if bad is None:
                 bad, reason = at, str(e)
-            at = _next(data, at + 1)
+            at = marks.next(at + 1)
             continue
         if bad is not None:
             yield Gap(bad, at, reason)
@@ -184,10 +187,21 @@ def _whole(inner: bytes) -> bool:
     return True
 
 
-def _next(data: bytes, at: int) -> int:
-    line = VERSION.search(data, at)
-    member = data.find(MEMBER, at)
-    return min(member if member >= 0 else len(data), line.start() if line else len(data))
+class Marks:
+    """Places where a record may begin.  The next one of either kind is remembered until it is passed, so that a file is
+    searched once, however many checks fail."""
+
+    def __init__(self, data: bytes):
+        self.data, self.line, self.member = data, -1, -1
+
+    def next(self, at: int) -> int:
+        if self.line < at:
+            line = VERSION.search(self.data, at)
+            self.line = line.start() if line else len(self.data)
+        if self.member < at:
+            member = self.data.find(MEMBER, at)
+            self.member = member if member >= 0 else len(self.data)
+        return min(self.line, self.member)
 
 
 # --------------------------------------------------------------------------- tables
@@ -195,12 +209,18 @@ def _next(data: bytes, at: int) -> int:
 
 def write_pages(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: int = 16 << 20) -> DataFrame:
     """Write a record for each page; returns the index of files (path, records, bytes)."""
-    p = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html")).withColumn("sha1", F.unhex(F.sha1("html")))
-    same = p.filter(F.octet_length("html") >= min_bytes).groupBy("sha1").agg(F.max("page_id").alias("keeper"))
+    bounded(pages.sparkSession)
+    p = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    digests = p.filter(F.octet_length("html") >= min_bytes).select("page_id", F.unhex(F.sha1("html")).alias("sha1"))
+    same = materialise(digests.groupBy("sha1").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "warc-same")
+    # Only ids and digests meet by digest; payloads move once, by page_id, which no group of equal pages makes hot.
+    revisits = spread_join(digests, same, ["sha1"], "copies", F.col("page_id"), "inner").filter(~F.col("page_id").eqNullSafe(F.col("keeper")))
+    by_page = revisits.select(F.col("page_id").alias("of_page"), F.col("sha1").alias("of_sha1"), "keeper").distinct()
     marked = (
-        p.join(same.withColumn("shared", F.lit(True)), "sha1", "left")
-        .withColumn("revisit", F.coalesce("shared", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("keeper")))
-        .select("page_id", "url", "html", "keeper", "revisit")
+        p.withColumn("sha1", F.unhex(F.sha1("html")))
+        .join(by_page, F.col("page_id").eqNullSafe(F.col("of_page")) & (F.col("sha1") == F.col("of_sha1")), "left")
+        .select("page_id", "url", "html", "keeper", (F.octet_length("html") >= min_bytes).alias("large"), F.col("of_sha1").isNotNull().alias("found"))
+        .select("page_id", "url", "html", "keeper", (F.col("found") & F.col("large")).alias("revisit"))
         .sortWithinPartitions("page_id", "url", "html")
     )
 
@@ -277,8 +297,9 @@ def archive_pages(pages: DataFrame, folder: str | None = None, min_bytes: int =
       smallest, and where all of a group are null, all are responses.
     * Other columns are ignored; an empty table writes no file and gives an empty one.
 
-    The largest page_id of each digest is found with map-side combining, and the join back has one row a digest on the other
-    side, whose hot keys AQE splits.  A task holds one file (``file_bytes``) at a time.
+    The largest page_id of each digest is found with map-side combining; only ids and digests are joined with it, and a digest
+    of very many pages is dealt to several places.  Payloads move once, by page_id and digest.  A task holds one file
+    (``file_bytes``) at a time.
     """
     folder = folder or shared_folder(pages.sparkSession, "warc")
     write_pages(pages, folder, min_bytes, file_bytes)

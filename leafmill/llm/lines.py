@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import BLANKS, ascii_lower, documents
+from leafmill.llm.common import BLANKS, ascii_lower, documents, materialise, spread_join
 
 
 def line_key(line: Column) -> Column:
@@ -29,7 +29,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     * Other columns are ignored; an empty table gives an empty one.
 
     Spark only: keys are counted with map-side combining, so a line of a third of all documents costs a row for each task;
-    the join back has one row for each key on the other side, and AQE splits its hot keys.  The text moves once, by doc_id.
+    the join back has one row for each key on the other side, and very common keys are dealt to several places.  The text
+    moves once, by doc_id.
     """
     d = documents(docs, id_col, text_col)
     lines = F.split("text", "\n")
@@ -40,7 +41,6 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
         .groupBy("h1", "h2")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
         .filter(F.col("n_docs") >= min_docs)
-        .select("h1", "h2", "keeper")
     )
     row = [F.col("doc_id"), F.xxhash64("text").alias("text_hash")]
     found = (
@@ -50,7 +50,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
         .select("doc_id", "text_hash", "pos", *_hashed(F.col("key")))
     )
     drops = (
-        found.join(shared, ["h1", "h2"])
+        spread_join(found, materialise(shared, "lines-shared"), ["h1", "h2"], "n_docs", F.struct("doc_id", "text_hash", "pos"), "inner")
         .filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .groupBy(F.col("doc_id").alias("drop_id"), F.col("text_hash").alias("drop_hash"))
         .agg(F.array_sort(F.collect_set("pos")).alias("drops"))

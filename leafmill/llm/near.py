@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import documents, give_back, materialise, slices, starts, strings
+from leafmill.llm.common import documents, give_back, materialise, slices, spread_join, starts, strings
 from leafmill.llm.graph import components
 from leafmill.llm.shingles import mix64, shingle_sets
 
@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     d = documents(docs, id_col, text_col)
     drawn = materialise(sketches(d, size), "near-sketches")
     reps = materialise(
-        drawn.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("id1", "id2", "n").agg(F.min("doc_id").cast("long").alias("rep"), F.first("sketch").alias("sketch")), "near-reps"
+        drawn.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("id1", "id2", "n").agg(F.min("doc_id").cast("long").alias("rep"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")), "near-reps"
     )
     entries = materialise(_entries(reps, percent), "near-entries")
     hubs = entries.groupBy("value").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("value", "hub")
@@ -260,9 +260,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     finer = components(_links(cut, percent, False, "estimates"), "near-clusters").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     links = _links(materialise(_full_sets(d, finer, size), "near-sets"), percent, True, "links")
     found = components(links, "near-components")
-    of_set = reps.select("id1", "id2", "n", "rep").join(found, F.col("rep") == F.col("node"), "left").select("id1", "id2", "n", F.coalesce("component", "rep").alias("component"))
+    of_set = reps.select("id1", "id2", "n", "rep", "copies").join(found, F.col("rep") == F.col("node"), "left").select("id1", "id2", "n", "copies", F.coalesce("component", "rep").alias("component"))
     kind = d.schema["doc_id"].dataType
-    joined = drawn.drop("sketch").join(of_set, ["id1", "id2", "n"], "left")
+    rows = drawn.drop("sketch")
+    own = (F.col("doc_id").isNull()) | (F.col("n") == 0)  # linked with nothing: they need no join
+    joined = spread_join(rows.filter(~own), materialise(of_set, "near-of-set"), ["id1", "id2", "n"], "copies", F.col("doc_id"), "left")
+    joined = joined.select("doc_id", "n", "component").unionByName(rows.filter(own).select("doc_id", "n", F.lit(None).cast("long").alias("component")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.col("component"), F.col("doc_id")).cast(kind))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

@@ -23,7 +23,7 @@ SLICE_BYTES = 2 << 20
 
 
 #: Rows and bytes of an Arrow batch.  Texts are long: Spark's 10,000 rows are tens of MB, in the JVM and in each Python worker.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def bounded(spark: SparkSession) -> None:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import random
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import materialise
+from leafmill.llm.common import bounded, materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -114,16 +114,16 @@ def _fly(units: DataFrame, block_rows: int, seed: int, round_: int, last: bool)
     """One round: each source in blocks of about ``block_rows`` units, dealt by the hash of doc_id."""
     kind = dict(units.dtypes)["doc_id"]
 
-    def block(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", na_position="last")
-        draw = f"{seed}/{round_}/{rows['source'].iloc[0]}/{rows['block'].iloc[0]}"
-        p, size = rows["p"].tolist(), rows["size"].tolist()
+    def block(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("size", "descending"), ("doc_id", "ascending")])
+        draw = f"{seed}/{round_}/{rows['source'][0].as_py()}/{rows['block'][0].as_py()}"
+        p, size = rows["p"].to_pylist(), rows["size"].to_pylist()
         p = landed(p, size, draw) if last else flight(p, size, random.Random(draw))
-        return rows.assign(p=p).drop(columns=["block", "n_left"])
+        return rows.set_column(rows.schema.get_field_index("p"), "p", pa.array(p, pa.float64())).drop_columns(["block", "n_left"])
 
     n_blocks = F.ceil(F.col("n_left") / block_rows)
     dealt = units.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(round_)), n_blocks))
-    return dealt.groupBy("source", "block").applyInPandas(block, _UNITS.replace("doc_id long", f"doc_id {kind}"))
+    return dealt.select(*(u.split()[0] for u in _UNITS.split(", ")), "block", "n_left").groupBy("source", "block").applyInArrow(block, _UNITS.replace("doc_id long", f"doc_id {kind}"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_rows: int = 4096, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -131,8 +131,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
 
     Returns doc_id, source, size (words), source_size, target (its source's, see source_targets), copies, taken (size times
     copies); a row for each input row.  A document is taken floor(target / source_size) times, and once more if the cube
-    method draws it: the fraction is its inclusion probability, and the draw is balanced within each source on words and on
-    documents, so the taken words miss the target by about one small document.  The same input gives the same draw.
+    method draws it: the fraction is its inclusion probability in every flight, and the draw is balanced within each source on
+    words and on documents, so the taken words miss the target by about one small document.  A source's last block lands on
+    the best of several draws, so there the probability is kept only nearly.  The same input gives the same draw.
 
     * A null text has no words.  A null source is a source of its own, the last.  Null doc_ids are dealt together.
     * Sources without words have target 0 and nothing taken.  Rows that repeat are units of their own.
@@ -142,6 +143,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     about ``block_rows``; each block leaves two units undecided at most, which fly again, and the rounds end with one block
     a source.  A source of one block waits for the last round with all its units, whatever the size of others.  Each round's table is written, so a lost executor costs no earlier round.
     """
+    bounded(docs.sparkSession)
     sizes = materialise(docs.select(F.col(source_col).cast("string").alias("source"), F.col(id_col).alias("doc_id"), n_words(F.col(text_col)).alias("size")), "mix-sizes")
     targets = materialise(source_targets(sizes, weights, share, most), "mix-targets").withColumnRenamed("source", "target_source")
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
@@ -174,12 +176,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with their own columns.  Rows that share a doc_id are told apart
-    by their order of source and size."""
-    key, twin = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), Window.partitionBy("_mix_key").orderBy("_mix_source", "_mix_size")
-    plan = mix(docs, **options).select(key.alias("_mix_key"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), "copies")
-    plan = plan.withColumn("_mix_n", F.row_number().over(twin.orderBy("_mix_source", "_mix_size", "copies"))).select("_mix_key", "_mix_n", F.col("copies").alias("_mix_copies"))
-    rows = docs.withColumns({"_mix_key": key, "_mix_source": F.col("source").cast("string"), "_mix_size": n_words(F.col("text"))})
-    rows = rows.withColumn("_mix_m", F.row_number().over(twin))
-    together = rows.join(plan, (rows["_mix_key"] == plan["_mix_key"]) & (rows["_mix_m"] - plan["_mix_n"] == 0))
-    return together.filter(F.col("_mix_copies") > 0).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*(rows[c] for c in docs.columns))
+    """The rows of ``docs`` (doc_id, text, source, any more) as often as the mix takes them, with their own columns.
+
+    Rows that share doc_id, source and size are dealt the mix's copies for them in the order of their texts' hashes.  Null
+    doc_ids, sources and texts are values like others; an empty table gives an empty one.
+    """
+    columns = docs.columns
+    key = {"key_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "key_source": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))}
+    names = [*key, "key_size"]
+    plan = mix(docs, **options).select(*(c.alias(k) for k, c in key.items()), F.col("size").alias("key_size"), "copies")
+    plan = plan.groupBy(*names).agg(F.min("copies").alias("copies"), (F.sum("copies") - F.min("copies") * F.count(F.lit(1))).alias("once_more"))
+    rows = docs.select(*(c.alias(k) for k, c in key.items()), n_words(F.col("text")).alias("key_size"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"))
+    # Window and join go by the same keys, so texts move once.
+    joined = rows.join(plan, names).withColumn("key_n", F.row_number().over(Window.partitionBy(*names).orderBy(F.xxhash64("row.text"))))
+    times = F.col("copies") + F.when(F.col("key_n") <= F.col("once_more"), 1).otherwise(0)
+    return joined.withColumn("times", times).filter("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select("row.*")

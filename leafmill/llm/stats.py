@@ -135,7 +135,7 @@ def labelled_stats(docs: DataFrame, labels: DataFrame, label: str, most: int, ke
         for batch in slices(batches, "text"):
             found = text_stats(strings(batch.column("text")))
             x = np.stack([found[k] for k in RATIOS], 1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("label").cast(pa.int64()), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("label").cast(pa.int64()), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
-    got = sorted((r["doc_id"], r["label"], tuple(r["x"])) for r in rows.mapInArrow(measure, "doc_id long, label long, x array<double>").collect())
+    got = sorted((r["doc_id"], r["label"], tuple(r["x"])) for r in rows.mapInArrow(measure, "doc_id string, label long, x array<double>").collect())
     return np.array([r[2] for r in got], np.float64).reshape(len(got), len(RATIOS)), np.array([r[1] for r in got], np.int64)

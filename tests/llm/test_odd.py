@@ -1,6 +1,7 @@
 """Each operator on odd inputs, against its plain version; and on empty tables."""
 
 import random
+import time
 from collections import Counter
 
 import brute
@@ -171,6 +172,34 @@ def test_mix_of_a_small_source_beside_a_large_one(spark):
     assert len(own) == 40 and abs(sum(x["taken"] for x in own) - own[0]["target"]) <= 0.001 * own[0]["target"]
 
 
+def test_mix_keeps_ids_and_repeated_rows(spark):
+    """Ids that no double holds, beside nulls; very many rows of one id; columns with the operator's own names."""
+    ids = [2**60 + 1, 2**60 + 3, 2**60 + 5, None, -(2**60) - 1]
+    docs = spark.createDataFrame([(i, " ".join(["w"] * (k + 1)), "a", k) for k, i in enumerate(ids)] + [(None, "x y z", "b", 7)] * 1000, "doc_id long, text string, source string, _mix_key long")
+    got = mix.mix(docs, most=3.0).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter([*ids, *[None] * 1000])
+    taken = Counter({(r["doc_id"], r["source"], r["size"]): 0 for r in got})
+    for r in got:
+        taken[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    mixed = mix.mixed_documents(docs, most=3.0)
+    assert mixed.columns == docs.columns
+    assert Counter((r["doc_id"], r["source"], len(r["text"].split())) for r in mixed.collect()) == +taken
+
+
+def test_secrets_of_long_runs(spark):
+    """A megabyte of letters without a digit, and one with a key at its end."""
+    letters = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    docs = spark.createDataFrame([(1, letters), (2, f"{letters} token=abcDEF123")], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: [(s["name"], s["begin"], s["end"]) for s in r["spans"]] for r in secrets.secret_spans(docs).collect()}
+    assert got == {1: [], 2: [("assign", 1_000_001, 1_000_016)]} and time.time() - began < 30
+
+
+def test_classifier_takes_ids_of_any_kind(spark, odd, labels):
+    text = lambda df: df.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    assert qda.quality_scores(text(odd), text(labels)).count() == odd.count()
+
+
 def test_token_ids(odd, none, pairs):
     import zlib
 

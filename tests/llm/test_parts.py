@@ -2,6 +2,7 @@
 
 import gzip
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +109,18 @@ def test_salvage_through_spark(spark, tmp_path):
     assert [(r["kind"], r["begin"], r["end"]) for r in got] == [("record", 0, None), ("gap", len(good), len(good) + 40), ("record", len(good) + 40, None)]
 
 
+def test_salvage_takes_time_in_proportion():
+    """Many small members, and a damaged file full of places where a record may seem to begin."""
+    one = gzip.compress(warc.record(1, "u", b"a" * 40))
+    took = []
+    for n in (4_000, 16_000):
+        began = time.process_time()
+        assert sum(isinstance(x, warc.Record) for x in warc.salvage(one * n)) == n
+        assert sum(isinstance(x, warc.Record) for x in warc.salvage(b"\x1f\x8b\x08" * n + one)) == 1
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0]
+
+
 def test_gradient():
     m = gru.Gru(20, hidden=4, classes=4, seed=3)
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}

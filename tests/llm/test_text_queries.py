@@ -40,6 +40,32 @@ def test_rules(spark, data):
         assert not (r["base_failed"] and r["kept"])
 
 
+def test_rules_learn_from_labels(spark, data):
+    """What the trees say of labelled documents that no fixed rule fails, against the labels."""
+    larger = data.replace("sf0.001", "sf0.01")
+    label = {r["doc_id"]: r["quality"] for r in table(spark, larger, "labels").collect()}
+    docs = table(spark, larger, "documents")
+    half = table(spark, larger, "labels").filter("doc_id % 2 = 0")
+    rows = [r for r in queries.rules.quality_rules(docs, half).collect() if not r["base_failed"] and r["doc_id"] in label and r["doc_id"] % 2]
+    good, bad = ([r["kept"] for r in rows if label[r["doc_id"]] == k] for k in (1, 0))
+    assert len(good) > 50 and len(bad) > 10 and np.mean(good) > 0.9 and np.mean(good) - np.mean(bad) > 0.5
+
+
+def test_token_ids_are_those_of_the_tokenizer(spark, data):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(queries.TOKENIZER)
+    texts = sorted((r["doc_id"], r["text"] or "") for r in table(spark, data, "documents").collect())
+    want, start = [], 0
+    for i, text in texts:
+        ids = [*plain.encode(text, add_special_tokens=False).ids, 1]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in queries.op10_token_ids(spark, data).collect()) == want
+
+
 def test_classifier_on_held_out_rows(spark, data):
     larger = data.replace("sf0.001", "sf0.01")
     label = {r["doc_id"]: r["quality"] for r in table(spark, larger, "labels").collect()}

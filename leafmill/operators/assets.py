@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.functions import text
@@ -10,8 +10,13 @@ from leafmill.functions import text
 #: Fixed: MIME types by extension; anything else is application/octet-stream.
 MIME = {
     "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "svg": "image/svg+xml", "webp": "image/webp", "tif": "image/tiff", "tiff": "image/tiff",
-    "pdf": "application/pdf", "html": "text/html", "txt": "text/plain", "csv": "text/csv", "json": "application/json", "xml": "application/xml", "zip": "application/zip",
-    "mp3": "audio/mpeg", "wav": "audio/wav", "m4a": "audio/mp4", "ogg": "audio/ogg", "mp4": "video/mp4", "mov": "video/quicktime", "webm": "video/webm",
+    "emf": "image/x-emf", "wmf": "image/x-wmf",
+    "pdf": "application/pdf", "htm": "text/html", "html": "text/html", "txt": "text/plain", "csv": "text/csv", "json": "application/json", "xml": "application/xml", "zip": "application/zip",
+    "rtf": "application/rtf", "doc": "application/msword", "xls": "application/vnd.ms-excel", "ppt": "application/vnd.ms-powerpoint", "msg": "application/vnd.ms-outlook",
+    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
+    "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation",
+    "mp3": "audio/mpeg", "wav": "audio/wav", "m4a": "audio/mp4", "wma": "audio/x-ms-wma", "ogg": "audio/ogg", "flac": "audio/flac",
+    "mp4": "video/mp4", "mov": "video/quicktime", "wmv": "video/x-ms-wmv", "avi": "video/x-msvideo", "mkv": "video/x-matroska", "webm": "video/webm",
 }
 OTHER = "application/octet-stream"
 
@@ -30,9 +35,8 @@ def with_mime(files: DataFrame, name: str) -> DataFrame:
 def resources(payloads: DataFrame, page: str, order: str, data: Column) -> DataFrame:
     """One row for each payload of a page by its MD5, with the attributes of the first, and how often it is used."""
     hashed = payloads.withColumn("md5", F.md5(data))
-    w = Window.partitionBy(page, "md5")
-    ranked = hashed.withColumn("uses", F.count(F.lit(1)).over(w)).withColumn("_n", F.row_number().over(w.orderBy(order)))
-    return ranked.filter("_n = 1").drop("_n")
+    first = hashed.groupBy(page, "md5").agg(F.min_by(F.struct(*hashed.columns), order).alias("_row"), F.count(F.lit(1)).alias("uses"))
+    return first.select(*(F.col(f"_row.{c}").alias(c) for c in hashed.columns), "uses")
 
 
 def oversized(pages: DataFrame, group: str, size: Column, most: int) -> DataFrame:

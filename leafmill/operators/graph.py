@@ -20,6 +20,13 @@ def newest(rows: DataFrame, keys: list[str], *newest_first) -> DataFrame:
     return rows.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
 
 
+def latest(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """Of each key's rows, the last in the order of the columns: as ``newest``, with map-side combining, so that a key of very many
+    rows costs a row for each task."""
+    found = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("_row"))
+    return found.select(*(F.col(f"_row.{c}").alias(c) for c in rows.columns))
+
+
 def first_in_ancestry(chain: DataFrame, values: DataFrame, value: str) -> DataFrame:
     """(revision, object, value, depth): the value that the nearest ancestor declares.
 
@@ -50,9 +57,12 @@ def nearest_declared(edges: DataFrame, node: str, parent: str, value: str) -> Da
     return known.filter(has).select("revision", value, "depth")
 
 
-def ancestry(spark: SparkSession, edges: DataFrame, node: str, parent: str, most: int = 1000) -> DataFrame:
+def ancestry(spark: SparkSession, edges: DataFrame, node: str, parent: str, most: int | None = None) -> DataFrame:
     """(revision, ancestor, depth) of all nodes, by doubling: each round joins what is known of a node with what is known of
-    its farthest ancestor, so a chain of n takes log2(n) joins.  Walks stop after ``most`` steps, which ends cycles."""
+    its farthest ancestor, so a chain of n takes log2(n) joins.  All ancestors up to ``most`` steps away (by default as many
+    as there are nodes, which ends cycles) are rows: for the nearest value alone, nearest_declared is the way."""
+    if most is None:
+        most = max(1, edges.count() - 1)
     known = edges.select(F.col(node).alias("revision"), F.col(node).alias("ancestor"), F.lit(0).alias("depth"))
     jump = edges.filter(F.col(parent).isNotNull()).select(F.col(node).alias("from"), F.col(parent).alias("to"))
     reach = 1
@@ -72,19 +82,21 @@ def chain_depth(rows: DataFrame, group: str, *order: str) -> DataFrame:
     return rows.withColumn("depth", (F.row_number().over(w) - 1).cast("long")).withColumn("previous", F.lag(order[-1]).over(w))
 
 
-def tree_paths(spark: SparkSession, nodes: DataFrame, deepest: int = 16) -> DataFrame:
+def tree_paths(spark: SparkSession, nodes: DataFrame, deepest: int | None = None) -> DataFrame:
     """(id, name, depth, path, shown) of all nodes below the roots: path orders them depth first, by position at each level.
 
-    nodes: (id, parent, pos, name); roots have no parent.  One join a level, until a level is empty or ``deepest`` is reached.
+    nodes: (id, parent, pos, name); roots have no parent.  One join a level, each level written, until one is empty or beyond
+    ``deepest``.  Nodes in a cycle, or below a parent that is missing, hang on no root and are left out.
     """
     level = nodes.filter("parent IS NULL").select("id", "name", F.lit(0).alias("depth"), F.lpad(F.col("pos").cast("string"), 10, "0").alias("path"), F.col("name").alias("shown"))
-    out = level
-    for depth in range(1, deepest + 1):
-        if not level.head(1):
-            break
+    out, depth = level, 0
+    while (deepest is None or depth < deepest) and level.head(1):
+        depth += 1
         up = level.select(F.col("id").alias("up"), F.col("path").alias("up_path"), F.col("shown").alias("up_shown"))
         level = nodes.join(up, F.col("parent") == F.col("up")).select(
-            "id", "name", F.lit(depth).alias("depth"), F.concat_ws("/", "up_path", F.lpad(F.col("pos").cast("string"), 10, "0")).alias("path"), F.concat_ws(" › ", "up_shown", "name").alias("shown")
+            "id",
+            "name", F.lit(depth).alias("depth"), F.concat_ws("/", "up_path", F.lpad(F.col("pos").cast("string"), 10, "0")).alias("path"), F.concat_ws(" › ", "up_shown", "name").alias("shown"),
         )
+        level = checkpointed(level)
         out = out.unionAll(level)
     return out

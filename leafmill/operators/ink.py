@@ -25,11 +25,12 @@ def bounds(points: DataFrame, ink: str, width: Column) -> DataFrame:
 
 def fixed2(x: Column) -> Column:
     """Two decimals at most, without trailing zeros.  Rounds the exact binary value half to even, as C's printf does and
-    ``format_string`` does not: a decimal of 1100 digits is out of Spark's reach, so ties are told by their exact product."""
-    hundred = x * 100.0
-    low = F.floor(hundred)
-    rest = hundred - low
-    up = F.when(rest > 0.5, 1).when(rest < 0.5, 0).otherwise(F.pmod(low, F.lit(2)))
+    ``format_string`` does not.  The product with 200 is had without error from two halves of the number's bits, and told
+    from the odd number between both neighbours by its sign."""
+    low = F.floor(x * 100.0)
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    rest = (high * 200.0 - (low * 2 + 1)) + (x - high) * 200.0
+    up = F.when(rest > 0, 1).when(rest < 0, 0).otherwise(F.pmod(low, F.lit(2)))
     whole = low + up
     sign, size = F.when(whole < 0, F.lit("-")).otherwise(F.lit("")), F.abs(whole)
     digits = F.concat(F.floor(size / 100).cast("string"), F.lit("."), F.lpad(F.pmod(size, F.lit(100)).cast("string"), 2, "0"))

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from leafmill.functions import text
 
@@ -21,9 +22,12 @@ def navigation(pages: DataFrame, section: str, order: str, *columns: str) -> Dat
     return pages.withColumns({f"{at}_{c}": f(c).over(w) for c in columns for at, f in (("prev", F.lag), ("next", F.lead))})
 
 
-def parent_page(pages: DataFrame, section: str, order: str, level: str, deepest: int = 8) -> DataFrame:
+def parent_page(pages: DataFrame, section: str, order: str, level: str, deepest: int | None = None) -> DataFrame:
     """``parent``: the order value of the latest page one level up that no page of a lower level has followed since; null for
-    level 0 and where a level was skipped.  One running value for each level: there are few."""
+    level 0 and where a level was skipped.  One running value for each level: there are few.  ``deepest``: the largest level,
+    where it is known; else it is looked up."""
+    if deepest is None:
+        deepest = pages.agg(F.max(level)).first()[0] or 0
     w = Window.partitionBy(section).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     found = F.lit(None).cast(pages.schema[order].dataType)
     for k in range(1, deepest + 1):
@@ -75,39 +79,47 @@ def joined_lines(rows: DataFrame, group: list[str], order: str, line: Column, be
     return rows.groupBy(*group).agg(F.array_join(texts, between).alias(name))
 
 
-def unique_names(rows: DataFrame, group: str, order: str, name: str, reserved: tuple[str, ...] = (), out: str = "unique_name") -> DataFrame:
+def unique_names(rows: DataFrame, group: str, order: str, name: str, reserved: tuple[str, ...] = (), out: str = "unique_name", files: bool = False) -> DataFrame:
     """Names made unique within their group, in order: a name that is taken (ASCII case aside) gets `` (2)``, `` (3)`` and so on,
     whichever is free.  Reserved names are taken from the start.
 
     A name's numbered forms can only meet names of the same root, which is the name without such endings.  Roots whose names
-    have no endings need a count alone; only the others go through Python, each root's rows in order.
+    have no endings need a count alone; only the others go through Python, each root's rows in order, as Arrow batches, in
+    which other columns stay what they are.
+
+    With ``files``, the number comes before the name's last ending, as ``-2``.
     """
     key = text.lower(F.col(name))
-    root = F.regexp_replace(key, r"(?: \([0-9]+\))+\z", "")
+    end = F.regexp_extract(F.col(name), r"(?s)^.+(\.[^.]*)\z", 1) if files else F.lit("")
+    stem = F.left(F.col(name), F.char_length(name) - F.char_length(end))
+    open_, close = ("-", "") if files else (" (", ")")
+    root = F.concat(F.regexp_replace(text.lower(stem), r"(?:-[0-9]+)+\z" if files else r"(?: \([0-9]+\))+\z", ""), text.lower(end))
     taken = F.array(*(F.lit(r.lower()) for r in reserved)).cast("array<string>")
     r = rows.withColumn("_key", key).withColumn("_root", F.when(root == "", key).otherwise(root))
     per = Window.partitionBy(group, "_root")
     r = r.withColumn("_plain", F.min((F.col("_key") == F.col("_root")).cast("int")).over(per) == 1)
     nth = F.row_number().over(per.orderBy(order)) + F.when(F.array_contains(taken, F.col("_root")), 1).otherwise(0)
-    simple = r.filter("_plain").withColumn(out, F.when(nth == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit(" ("), nth.cast("string"), F.lit(")"))))
-    schema = simple.schema
+    simple = r.filter("_plain").withColumn(out, F.when(nth == 1, F.col(name)).otherwise(F.concat(stem, F.lit(open_), nth.cast("string"), F.lit(close), end)))
 
-    def greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, used, next_ = None, set(), {}
         for rows in batches:
             names = []
-            for g, root_, key_, name_ in zip(rows[group], rows["_root"], rows["_key"], rows[name], strict=True):
+            for g, root_, key_, name_ in zip(*(rows.column(c).to_pylist() for c in (group, "_root", "_key", name)), strict=True):
                 if (g, root_) != at:
                     at, used, next_ = (g, root_), {x.lower() for x in reserved}, {}
+                dot = name_.rfind(".") if files else -1
+                stem_, end_ = (name_[:dot], name_[dot:]) if dot > 0 else (name_, "")
                 candidate, i = name_, next_.get(key_, 2)
                 while candidate.translate(_LOWER) in used:
-                    candidate, i = f"{name_} ({i})", i + 1
+                    candidate, i = f"{stem_}{open_}{i}{close}{end_}", i + 1
                 next_[key_] = i
                 used.add(candidate.translate(_LOWER))
                 names.append(candidate)
-            yield rows.assign(**{out: names})[schema.names]
+            yield rows.append_column(out, pa.array(names, pa.string()))
 
-    hard = r.filter("NOT _plain").repartition(group, "_root").sortWithinPartitions(group, "_root", order).mapInPandas(greedy, schema)
+    schema = StructType([*r.schema.fields, StructField(out, StringType())])
+    hard = r.filter("NOT _plain").repartition(group, "_root").sortWithinPartitions(group, "_root", order).mapInArrow(greedy, schema)
     return simple.unionByName(hard).drop("_key", "_root", "_plain")
 
 

@@ -47,7 +47,7 @@ def levels(spark, d):
 
 
 def parent_page(spark, d):
-    return sequence.parent_page(levels(spark, d), "user_id", "event_id", "level", 3)
+    return sequence.parent_page(levels(spark, d), "user_id", "event_id", "level")
 
 
 def nested_lists(spark, d):
@@ -130,7 +130,7 @@ def reading_order(spark, d):
 
 def newest_wins(spark, d):
     e = read(spark, d, "events").select("user_id", "event_type", "event_id", "value")
-    return graph.newest(e, ["user_id", "event_type"], F.desc("event_id"))
+    return graph.latest(e, ["user_id", "event_type"], "event_id")
 
 
 def revision_chain(spark, d):

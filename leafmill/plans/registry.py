@@ -1,8 +1,9 @@
 """All queries of the conversion operators, with their SQL."""
 
-from leafmill.plans.queries import QUERIES
-from leafmill.plans.sql import SQL
+from leafmill.plans import page_queries, page_sql, queries, sql
 
+QUERIES = queries.QUERIES | page_queries.QUERIES
+SQL = sql.SQL | page_sql.SQL
 FLAGSHIP = "toc_index"
 
 __all__ = ["FLAGSHIP", "QUERIES", "SQL"]

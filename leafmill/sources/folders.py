@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from leafmill.functions import text
 from leafmill.operators.links import toc_ordered
 
-#: Defaults: folders of deleted sections, in lower case; the ending of section files; how deep folders are read.
-DELETED, SECTION, DEEPEST = ("recyclebin", "recycle bin"), ".section", 16
+#: Fixed: folders and files of what is deleted, in lower case; the ending of section files; how deep folders are read.
+DELETED, SECTION, DEEPEST = ("onenote_recyclebin", "onenote_deletedpages.one"), ".one", 16
 
 
 def scan(spark: SparkSession, folder: str, suffix: str = "*") -> DataFrame:
@@ -23,7 +23,7 @@ def entries(files: DataFrame, root: str, with_deleted: bool = False, ending: str
     parts = F.split(below, "/")
     folders = F.slice(parts, 1, F.size(parts) - 1)
     hidden: Column = F.exists(folders, lambda p: p.startswith("."))
-    gone = F.exists(folders, lambda p: text.lower(p).isin(*deleted)) & F.lit(not with_deleted)
+    gone = F.exists(parts, lambda p: text.lower(p).isin(*deleted)) & F.lit(not with_deleted)
     rows = files.withColumn("parts", parts).withColumn("dir", F.array_join(folders, "/")).withColumn("name", F.element_at(parts, -1)).withColumn("depth", F.size(folders))
     return rows.filter(text.lower(F.col("name")).endswith(ending) & ~hidden & ~gone & (F.col("depth") <= DEEPEST))
 

@@ -36,17 +36,17 @@ def test_files(spark, tmp_path):
 
 
 def test_folders(spark, tmp_path):
-    for name in ("a/Two.section", "a/one.section", "a/.hidden/x.section", "a/RecycleBin/y.section", "a/z.txt", "b/three.SECTION"):
+    for name in ("a/Two.one", "a/one.one", "a/.hidden/x.one", "a/OneNote_RecycleBin/y.one", "a/z.txt", "b/three.ONE"):
         path = tmp_path / "root" / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(b"x")
     found = folders.entries(folders.scan(spark, str(tmp_path / "root")), str(tmp_path / "root"))
-    assert sorted((r["dir"], r["name"]) for r in found.collect()) == [("a", "Two.section"), ("a", "one.section"), ("b", "three.SECTION")]
-    toc = spark.createDataFrame([("a", "t1", "TWO.section", 1, "#f00"), ("a", "t0", "one.section", 1, None), ("a", "t1", "one.section", 2, None)], "dir string, file string, name string, pos int, color string")
+    assert sorted((r["dir"], r["name"]) for r in found.collect()) == [("a", "Two.one"), ("a", "one.one"), ("b", "three.ONE")]
+    toc = spark.createDataFrame([("a", "t1", "TWO.one", 1, "#f00"), ("a", "t0", "one.one", 1, None), ("a", "t1", "one.one", 2, None)], "dir string, file string, name string, pos int, color string")
     best = folders.largest_toc(toc)
     assert {r["file"] for r in best.collect()} == {"t1"}
     got = [(r["dir"], r["name"], r["place"], r["listed"]) for r in folders.ordered(found, best).orderBy("dir", "place").collect()]
-    assert got == [("a", "Two.section", 1, True), ("a", "one.section", 2, True), ("b", "three.SECTION", 1, False)]
+    assert got == [("a", "Two.one", 1, True), ("a", "one.one", 2, True), ("b", "three.ONE", 1, False)]
 
 
 def test_watched_folder(spark, tmp_path):

@@ -179,3 +179,33 @@ def test_pages(spark):
     assert render.markdown_pages(e).first()["text"] == "# T\\*\n\n1. one\n    2. two\n- [x] d\n\n\\# no\\\nline\n\n1. again"
     html = render.html_pages(e).first()["text"]
     assert "<ol><li>one</li>\n<li>two</li></ol>" in html and "<p># no<br>line</p>" in html
+
+
+def test_fixed2_of_thousandths(spark):
+    """As C prints them: ties and near-ties by the exact binary value."""
+    values = [k / 1000 for k in range(-3000, 3001)] + [1.115, 0.005, 0.015, 0.125, 0.375, 2.5, 1e7 + 0.005, -0.005]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", ink.fixed2(F.col("v")).alias("s")).collect()
+    for r in rows:
+        want = f"{r['v']:.2f}"
+        want = want.rstrip("0").rstrip(".")
+        assert r["s"] == ("0" if want == "-0" else want)
+
+
+def test_deep_parents_and_trees(spark):
+    """Levels beyond any usual depth; a long chain of nodes; a cycle hangs on no root."""
+    pages = spark.createDataFrame([("s", i, i) for i in range(13)], "section string, seq int, level int")
+    got = {r["seq"]: r["parent"] for r in sequence.parent_page(pages, "section", "seq", "level").collect()}
+    assert got == {0: None, **{i: i - 1 for i in range(1, 13)}}
+    nodes = [("n0", None, 1, "0"), *((f"n{i}", f"n{i - 1}", 1, str(i)) for i in range(1, 20)), ("x", "y", 1, "x"), ("y", "x", 1, "y")]
+    tree = graph.tree_paths(spark, spark.createDataFrame(nodes, "id string, parent string, pos long, name string")).collect()
+    assert sorted(r["depth"] for r in tree) == list(range(20))
+
+
+def test_unique_names_keep_other_columns(spark):
+    """Ids beside nulls that no double holds, carried along names with numbers of their own."""
+    rows = [("g", 1, "a", 2**60 + 1), ("g", 2, "a", None), ("g", 3, "a (2)", 2**60 + 3), ("g", 4, "A", 5)]
+    got = {r["o"]: (r["unique_name"], r["kept"]) for r in sequence.unique_names(spark.createDataFrame(rows, "g string, o int, name string, kept long"), "g", "o", "name").collect()}
+    assert got == {1: ("a", 2**60 + 1), 2: ("a (2)", None), 3: ("a (2) (2)", 2**60 + 3), 4: ("A (3)", 5)}
+    files = [("g", 1, "a.png"), ("g", 2, "a.png"), ("g", 3, "a-2.png"), ("g", 4, "A.PNG"), ("g", 5, "b"), ("g", 6, "b")]
+    got = {r["o"]: r["unique_name"] for r in sequence.unique_names(spark.createDataFrame(files, "g string, o int, name string"), "g", "o", "name", files=True).collect()}
+    assert got == {1: "a.png", 2: "a-2.png", 3: "a-2-2.png", 4: "A-3.PNG", 5: "b", 6: "b-2"}

@@ -181,8 +181,9 @@ class WordEncoder:
 
     @staticmethod
     def _joined(tokenizer, texts: list[str], between: str, after: str, n: int = 1000) -> np.ndarray:
-        groups = [between.join(texts[i : i + n]) + after for i in range(0, len(texts), n)]
-        return np.concatenate([np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(groups, add_special_tokens=False)])
+        # One group at a time: what the tokenizer returns is many times its ids.
+        found = (tokenizer.encode_batch_fast([between.join(texts[i : i + n]) + after], add_special_tokens=False)[0].ids for i in range(0, len(texts), n))
+        return np.concatenate([np.array(ids, np.uint32) for ids in found])
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each with the end id after it, and how many each text has."""

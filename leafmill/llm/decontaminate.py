@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import byte_table, coded, documents, keep_rows, slices, starts, strings, translated, words
+from leafmill.llm.common import byte_table, coded, documents, keep_rows, shared_folder, slices, starts, strings, translated, words
+from leafmill.llm.files import BinaryFile, file_system
 from leafmill.llm.fm_index import FmIndex
 
 #: Bytes of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]`` in UTF-8, after lower-casing: digits, a-z, and all from 0x80 on.
@@ -35,18 +38,50 @@ class Phrases:
             self.groups.append((np.array(some, np.int64), [sorted(of[w]) for w in some]))
 
 
-def blocks(benchmark: DataFrame, window: int, most: int, id_col: str, text_col: str) -> Iterator[Phrases]:
-    """The benchmark in blocks of about ``most`` words (an item is never divided), one after another through the driver."""
-    held, size = [], 0
-    for row in benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).toLocalIterator(prefetchPartitions=False):
-        text = (row["text"] or "").encode("utf-8", "replace").translate(TABLE).split()
-        held.append((row["id"] or "", text))
-        size += len(text)
-        if size >= most:
-            yield Phrases(held, window)
-            held, size = [], 0
-    if held:
-        yield Phrases(held, window)
+def blocks(benchmark: DataFrame, window: int, most: int, id_col: str, text_col: str) -> list[str]:
+    """The benchmark in blocks of about ``most`` words (an item is never divided), each built and written by a task as a file
+    of the shared folder.  Only the files' places come back, one a block; a task that runs again leaves files that nobody reads."""
+    folder = shared_folder(benchmark.sparkSession, "benchmark-blocks")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def write() -> pa.RecordBatch:
+            name = f"{uuid.uuid4().hex}.block"
+            with BinaryFile(folder, name) as out:
+                out.write(pickle.dumps(Phrases(held, window), pickle.HIGHEST_PROTOCOL))
+            return pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+        held, size = [], 0
+        for batch in batches:
+            for item, text in zip(strings(batch.column("doc_id")).to_pylist(), batch.column("text").to_pylist(), strict=True):
+                held.append((item, text.encode("utf-8", "replace").translate(TABLE).split()))
+                size += len(held[-1][1])
+                if size >= most:
+                    yield write()
+                    held, size = [], 0
+        if held:
+            yield write()
+
+    items = documents(benchmark, id_col, text_col).select(F.col("doc_id").cast("string"), "text")
+    return [f"{folder}/{r['name']}" for r in items.mapInArrow(build, "name string").collect()]
+
+
+class Blocks:
+    """Written blocks, read one after another; a single one is read once a task."""
+
+    def __init__(self, places: list[str]):
+        self.places, self.only = places, None
+
+    def __iter__(self) -> Iterator[Phrases]:
+        for place in self.places:
+            yield self.only or self._read(place)
+
+    def _read(self, place: str) -> Phrases:
+        system, path = file_system(place)
+        with system.open_input_stream(path) as f:
+            block = pickle.loads(f.read())
+        if len(self.places) == 1:
+            self.only = block
+        return block
 
 
 def _shard(symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,8 +111,7 @@ def find(symbols: np.ndarray, counts: np.ndarray, phrases: Phrases) -> Iterator[
 
 def searcher(benchmark: DataFrame, window: int = 10, block_words: int = 1 << 20, item_col: str = "item_id", item_text_col: str = "text") -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray, list[set[str]]]]:
     """A function from texts to how many words each has, which words (of all texts in turn) are hit, and each text's items."""
-    context = benchmark.sparkSession.sparkContext
-    sent = [context.broadcast(b) for b in blocks(benchmark, window, block_words, item_col, item_text_col)]
+    written = Blocks(blocks(benchmark, window, block_words, item_col, item_text_col))
 
     def search(text: pa.Array) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
         flat, counts = words(translated(text, TABLE))
@@ -85,8 +119,7 @@ def searcher(benchmark: DataFrame, window: int = 10, block_words: int = 1 << 20,
         at = starts(counts)
         change = np.zeros(at[-1] + 1, np.int64)
         of: list[set[str]] = [set() for _ in counts]
-        for block in sent:
-            phrases = block.value
+        for phrases in written:
             number = phrases.numbers.get
             symbols = np.array([number(w, 0) for w in distinct], np.int64)[codes] if distinct else np.zeros(0, np.int64)
             for first, size, which, items in find(symbols, counts, phrases):
@@ -95,8 +128,6 @@ def searcher(benchmark: DataFrame, window: int = 10, block_words: int = 1 << 20,
                 doc = np.searchsorted(at, first, side="right") - 1
                 for pair in np.unique(doc * len(items) + which).tolist():
                     of[pair // len(items)].update(items[pair % len(items)])
-            if len(sent) > 1:
-                block.__dict__.pop("_value", None)  # one block at a time
         return counts, np.cumsum(change[:-1]) > 0, of
 
     return search
@@ -114,8 +145,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     * Rows that repeat are each looked through; other columns are ignored; empty tables give no rows or no hits.
 
     Each task cuts its documents into shards (never inside a document), and indexes and searches shard by shard, with one
-    block of the benchmark at a time (``block_words``); nothing is shuffled, and memory is bounded by a shard, or by the
-    longest document, and a block.
+    block of the benchmark at a time (``block_words``), which it reads from the shared folder; nothing is shuffled or broadcast,
+    and memory is bounded by a shard, or by the longest document, and a block (or the longest item), however large the benchmark.
     """
     search = searcher(benchmark, window, block_words, item_col, item_text_col)
 

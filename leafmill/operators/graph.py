@@ -100,3 +100,26 @@ def tree_paths(spark: SparkSession, nodes: DataFrame, deepest: int | None = None
         level = checkpointed(level)
         out = out.unionAll(level)
     return out
+
+
+def folded_offsets(nodes: DataFrame, deepest: int | None = None) -> DataFrame:
+    """(id, root, depth, dx, dy): the container at the top, the steps to it, and the sums of the offsets of a container and of all
+    above it but the top, whose own offset places the whole.
+
+    nodes: (id, parent, x, y), a row each; a null offset is 0, and a parent that is missing is none.  Pointers double, with one row a
+    node; containers in a cycle, or below one, or more than ``deepest`` steps down, are left out.
+    """
+    ids = nodes.select(F.col("id").alias("_up"))
+    first = nodes.join(ids, F.col("parent") == F.col("_up"), "left")
+    inner = F.col("_up").isNotNull()
+    offset = lambda c: F.when(inner, F.coalesce(F.col(c).cast("double"), F.lit(0.0))).otherwise(F.lit(0.0))
+    known = checkpointed(first.select("id", F.coalesce("_up", "id").alias("to"), inner.alias("open"), inner.cast("long").alias("depth"), offset("x").alias("dx"), offset("y").alias("dy")))
+    for _ in range(max(1, known.count()).bit_length() + 1):
+        if not known.filter("open").head(1):
+            break
+        on = known.select(F.col("id").alias("_at"), F.col("to").alias("_to"), F.col("open").alias("_open"), *(F.col(c).alias(f"_{c}") for c in ("depth", "dx", "dy")))
+        moved = known.filter("open").join(on, F.col("to") == F.col("_at"))
+        moved = moved.select("id", F.col("_to").alias("to"), F.col("_open").alias("open"), *((F.col(c) + F.col(f"_{c}")).alias(c) for c in ("depth", "dx", "dy")))
+        known = checkpointed(known.filter("NOT open").unionByName(moved))
+    done = known.filter("NOT open").select("id", F.col("to").alias("root"), "depth", "dx", "dy")
+    return done if deepest is None else done.filter(F.col("depth") <= deepest)

@@ -214,3 +214,18 @@ def contents_lines(pages: DataFrame, wiki: bool = True) -> Column:
     label = F.replace(F.regexp_replace(title, r"[\[\]\n]", ""), F.lit("|"), F.lit("-"))
     shown = F.concat(F.lit("[["), F.col("wiki"), F.when(label != F.col("wiki"), F.concat(F.lit("|"), label)).otherwise(F.lit("")), F.lit("]]")) if wiki else title
     return F.concat(F.repeat(F.lit("  "), F.greatest(F.lit(0), F.col("level"))), F.lit("- "), shown)
+
+
+def structure(sections: DataFrame, pages: DataFrame, section: str, order: str) -> DataFrame:
+    """(section, place, line): what a notebook holds, a line a section (place 0, with faults and the number of pages) and a line a page
+    below it, indented by its level.  Lines stay rows: a section of very many pages is no one string.
+
+    sections: (section, name, error, encrypted); pages: (section, order, level, title), in the place that ``order`` (over 0) says.
+    """
+    count = pages.groupBy(F.col(section).alias("_section")).agg(F.count(F.lit(1)).alias("_pages"))
+    s = sections.join(count, F.col(section) == F.col("_section"), "left")
+    error = F.when(F.coalesce("error", F.lit("")) != "", F.concat(F.lit("  [error: "), "error", F.lit("]"))).otherwise(F.lit(""))
+    locked = F.when(F.coalesce("encrypted", F.lit(False)), F.lit("  [password protected]")).otherwise(F.lit(""))
+    head = F.concat(F.lit("# "), "name", error, locked, F.lit("  ("), F.coalesce("_pages", F.lit(0)).cast("string"), F.lit(" pages)"))
+    line = F.concat(F.lit("  "), F.repeat(F.lit("  "), F.col("level").cast("int")), F.lit("- "), text.fallback(F.col("title"), "Untitled Page"))
+    return s.select(section, F.lit(0).cast("long").alias("place"), head.alias("line")).unionAll(pages.select(section, F.col(order).cast("long").alias("place"), line.alias("line")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmill.functions import text
-from leafmill.operators import ink, inlines, manifests, projections, sequence
+from leafmill.operators import graph, ink, inlines, manifests, projections, sequence, styles
 from leafmill.plans.queries import read, titled
 from leafmill.sources import listing
 
@@ -177,10 +177,62 @@ def fixed_decimals(spark, d):
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", ink.fixed2(x).alias("shown"), ink.fixed2(F.col("l_extendedprice") / 8.0).alias("eighth"))
 
 
+def run_styles(spark, d):
+    """Style objects from part: those of runs by part, those of paragraphs by supplier, some of which are missing."""
+    k = F.col("p_partkey")
+    flags = (F.when(k % (i + 3) > 0, k % (i + 2) == 0).alias(f) for i, f in enumerate(styles.FLAGS))
+    color = F.element_at(F.array(F.lit("#FFFFFF"), F.lit("#000000"), F.lit(None).cast("string"), F.lit("#12aB34")), (k % 4 + 1).cast("int"))
+    held = read(spark, d, "part").filter("p_partkey % 9 > 0").select(k.alias("style"), *flags, F.when(k % 3 > 0, F.col("p_brand")).alias("font"), F.when(k % 5 > 0, F.col("p_size")).alias("size"), color.alias("color"), color.alias("highlight"))
+    runs = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("own"), (F.col("l_suppkey") * 18).alias("paragraph"))
+    r = styles.with_styles(runs, held, "own", "paragraph")
+    set_ = lambda s: F.array_join(F.array(*(F.when(F.col(f"{s}.{f}"), F.lit(f)) for f in styles.FLAGS)), ",")
+    return r.select(
+        "l_orderkey", "l_linenumber", set_("style").alias("flags"), set_("base").alias("base_flags"), F.col("style.font").alias("font"), F.col("base.size").alias("base_size"),
+        styles.shown_colour(F.col("style.color"), "#000000").alias("color"), styles.shown_colour(F.col("style.highlight"), "#ffffff").alias("highlight"),
+    )
+
+
+def list_formats(spark, d):
+    k = F.col("p_partkey").cast("int")
+    units = F.element_at(F.array(F.array(F.lit(0xFFFD), k % 8), F.array(F.lit(0xA7)), F.array(F.lit(0xF0B7)), F.array().cast("array<int>"), F.array(F.lit(0x77), k), F.array(F.lit(0xB7)), F.array(F.lit(0xD801))), k % 7 + 1)
+    font = F.element_at(F.array(*map(F.lit, ("Wingdings", "Symbol", "Wingdings 2", "", "Arial"))), k % 5 + 1)
+    return read(spark, d, "part").select("p_partkey", styles.list_format(units, font).alias("f")).select("p_partkey", "f.ordered", "f.number_style", "f.bullet")
+
+
+def paragraph_kinds(spark, d):
+    n = F.col("turn") + F.col("conv_id")
+    kind = F.when(F.col("conv_id") % 3 == 0, F.lit("math")).when(n % 5 == 0, F.lit("break")).otherwise(F.lit("text"))
+    said = F.when((F.col("conv_id") % 4 > 0) & (F.col("turn") > 0), F.lit(" \t")).when(F.col("conv_id") % 8 > 0, F.lit("")).otherwise(F.left("text", F.lit(9)))
+    c = read(spark, d, "conversations").select("conv_id", kind.alias("kind"), said.alias("text"))
+    return styles.paragraph_kinds(c, "conv_id", (F.col("conv_id") % 5 == 1).cast("int"))
+
+
+def code_elements(spark, d):
+    of = F.struct(F.when(F.col("turn") % 4 == 3, F.lit("ink")).otherwise(F.lit("paragraph")).alias("kind"), F.when(F.char_length("text") % 2 == 0, F.lit("code")).alias("style"))
+    c = read(spark, d, "conversations").select("conv_id", "turn", styles.is_code(F.col("conv_id") % 3 == 0, F.when(F.col("turn") % 5 == 4, F.array(of, of)).otherwise(F.array(of))).alias("code"))
+    return c
+
+
+def ink_offsets(spark, d):
+    """Containers in trees of three below one another, a few of them below themselves."""
+    k = F.col("o_orderkey")
+    nodes = read(spark, d, "orders").select(k.alias("id"), F.when(k % 11 == 0, k).when(k % 13 > 0, F.floor(k / 3)).alias("parent"), F.when(k % 5 > 0, (k % 7) / 2 * 1270).alias("x"), ((k % 9) / 4 * 1270).alias("y"))
+    return graph.folded_offsets(nodes, 6)
+
+
+def structure(spark, d):
+    t = titled(spark, d)
+    n = F.char_length("host")
+    sections = t.select("host").distinct().select("host", F.upper("host").alias("name"), F.when(n % 3 == 0, F.lit("unreadable")).alias("error"), (n % 2 == 0).alias("encrypted"))
+    pages = t.select("host", (F.col("page_id") + 1).alias("at"), (F.col("page_id") % 3).alias("level"), F.when(F.col("page_id") % 10 > 0, F.col("title")).alias("title"))
+    return projections.structure(sections, pages, "host", "at")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         inline_lines, plain_paragraphs, section_index, page_titles, title_blocks, tag_marks, images, attachments, asset_names, page_canvas, drawings, contents_note, contents_name, archive_listing, package_roots,
-        payload_files, cell_manifests, file_payloads, space_roots, referenced_spaces, resolved_ids, fixed_decimals,
+        payload_files, cell_manifests, file_payloads, space_roots, referenced_spaces, resolved_ids, fixed_decimals, run_styles, list_formats, paragraph_kinds, code_elements, ink_offsets,
+        structure,
     )
 }

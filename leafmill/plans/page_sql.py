@@ -5,6 +5,7 @@ from __future__ import annotations
 from leafmill.operators.projections import CHECKBOXES, EMBEDDED, PICTURES, SYMBOLS
 from leafmill.plans.sql import TITLED, cut, fixed, low, md, md_url, trim, vault
 
+_STYLE_FLAGS = ("bold", "italic", "underline", "strike", "superscript", "subscript", "hidden", "hyperlink", "math", "embedded")
 _FLAGS = {"bold": 2, "italic": 3, "underline": 11, "strike": 5, "superscript": 13, "subscript": 17, "highlight": 7}
 _ADDRESS = r"""'https?://(?:[^\x09-\x0D <>"]*[^\x09-\x0D <>".,;:!?)\]''])?'"""
 _PARTS = r"CASE WHEN kind = 'text' THEN string_split_regex(regexp_replace(t, '[\x00-\x08\x0C\x0E-\x1F\x7F\x{FDD0}-\x{FDEF}]', '', 'g'), '[\x0B\n\r\x{2028}]') ELSE [t] END"
@@ -147,4 +148,34 @@ SQL = {
         WITH t AS (SELECT l_orderkey AS revision, l_linenumber AS index, max(l_partkey) AS guid FROM lineitem GROUP BY ALL)
         SELECT o_orderkey AS revision, o_custkey % 6 AS index, coalesce(guid, 0) AS guid FROM orders LEFT JOIN t ON revision = o_orderkey AND index = o_custkey % 6""",
     "fixed_decimals": f"SELECT l_orderkey, l_linenumber, l_partkey, {fixed('((l_partkey % 20000 - 10000) / 1000.0::DOUBLE)')} AS shown, {fixed('(l_extendedprice / 8.0::DOUBLE)')} AS eighth FROM lineitem",
+    "run_styles": f"""
+        WITH p AS (
+            SELECT p_partkey AS style, concat_ws(',', {', '.join(f"CASE WHEN p_partkey % {i + 3} > 0 AND p_partkey % {i + 2} = 0 THEN '{f}' END" for i, f in enumerate(_STYLE_FLAGS))}) AS flags,
+                   CASE WHEN p_partkey % 3 > 0 THEN p_brand END AS font, CASE WHEN p_partkey % 5 > 0 THEN p_size END AS size, p_partkey % 4 AS c FROM part WHERE p_partkey % 9 > 0)
+        SELECT l_orderkey, l_linenumber, coalesce(o.flags, '') AS flags, coalesce(b.flags, '') AS base_flags, coalesce(o.font, '') AS font, coalesce(b.size, 0) AS base_size,
+               CASE o.c WHEN 0 THEN '#ffffff' WHEN 3 THEN '#12ab34' END AS color, CASE o.c WHEN 1 THEN '#000000' WHEN 3 THEN '#12ab34' END AS highlight
+        FROM lineitem LEFT JOIN p o ON o.style = l_partkey LEFT JOIN p b ON b.style = l_suppkey * 18""",
+    "list_formats": """
+        WITH p AS (SELECT p_partkey, p_partkey % 7 AS u, p_partkey % 5 AS f FROM part)
+        SELECT p_partkey, u = 0 AS ordered, CASE WHEN u = 0 AND p_partkey % 8 <= 4 THEN p_partkey % 8 ELSE 0 END AS number_style,
+               CASE WHEN u = 0 THEN '' WHEN f = 0 THEN CASE u WHEN 4 THEN chr(11045) ELSE chr(9642) END WHEN f = 1 AND u = 5 THEN chr(8226) WHEN f IN (1, 2) THEN chr(9670)
+                    ELSE [chr(167), chr(8226), chr(8226), 'w', chr(183), chr(65533)][u] END AS bullet FROM p""",
+    "paragraph_kinds": """
+        WITH c AS (
+            SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'math' WHEN (turn + conv_id) % 5 = 0 THEN 'break' ELSE 'text' END AS kind,
+                   (conv_id % 4 > 0 AND turn > 0) OR conv_id % 8 > 0 OR trim(left(text, 9), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '' AS blank FROM conversations)
+        SELECT conv_id, NOT bool_or(kind = 'math' OR kind = 'text' AND NOT blank) AND conv_id % 5 <> 1 AS empty, bool_and(kind = 'math' OR kind = 'text' AND blank) AS display FROM c GROUP BY conv_id""",
+    "code_elements": "SELECT conv_id, turn, conv_id % 3 > 0 AND turn % 5 <> 4 AND turn % 4 <> 3 AND length(text) % 2 = 0 AS code FROM conversations",
+    "ink_offsets": """
+        WITH RECURSIVE n AS (
+            SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey WHEN o_orderkey % 13 > 0 THEN o_orderkey // 3 END AS parent,
+                   coalesce(CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 7 / 2 * 1270 END, 0)::DOUBLE AS x, (o_orderkey % 9 / 4 * 1270)::DOUBLE AS y FROM orders),
+        walk AS (
+            SELECT id, id AS root, 0::BIGINT AS depth, 0::DOUBLE AS dx, 0::DOUBLE AS dy FROM n WHERE parent IS NULL OR parent NOT IN (SELECT id FROM n)
+            UNION ALL SELECT n.id, w.root, w.depth + 1, w.dx + n.x, w.dy + n.y FROM n JOIN walk w ON n.parent = w.id WHERE w.depth < 6)
+        SELECT id, root, depth, dx, dy FROM walk""",
+    "structure": f"""
+        WITH {TITLED}
+        SELECT host, 0::BIGINT AS place, '# ' || upper(host) || CASE WHEN length(host) % 3 = 0 THEN '  [error: unreadable]' ELSE '' END || CASE WHEN length(host) % 2 = 0 THEN '  [password protected]' ELSE '' END || '  (' || count(*) || ' pages)' AS line FROM titled GROUP BY host
+        UNION ALL SELECT host, page_id + 1, repeat('  ', 1 + (page_id % 3)::INT) || '- ' || CASE WHEN page_id % 10 = 0 OR title = '' THEN 'Untitled Page' ELSE title END FROM titled""",
 }

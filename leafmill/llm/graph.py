@@ -13,7 +13,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 
     Large stars and small stars in turn (Kiveris et al., 2014): each round hangs every node nearer to the smallest one it
     knows, until all edges point there.  The number of rounds grows with the logarithm of the longest path.  Each round is
-    written to the shared folder; minima combine before they are shuffled, and AQE splits the joins of large stars.
+    written to the shared folder; minima combine before they are shuffled.  All edges of one node
+    meet in one task of the join with its minimum: the hub of a large star is not dealt out.
     """
     now, mark = _written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), name)
     while mark[0]:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import decontaminate, lines, lm, mix, near, qda, rules, secrets, token_ids, warc
+from leafmill.llm import audit, decontaminate, lines, lm, manifest, mix, near, qda, rules, secrets, token_ids, warc
 from leafmill.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -56,7 +56,19 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.token_ids(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_mixing, op3_near_dedup, op4_quality_rules, op5_quality_classifier, op6_decontamination, op7_line_dedup, op8_lm_scoring, op9_warc, op10_token_ids)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.digest(manifest.audit(table(spark, sf_dir, "documents")))
+
+
+_ALL = (
+    op1_secret_scan, op2_mixing, op3_near_dedup, op4_quality_rules, op5_quality_classifier, op6_decontamination, op7_line_dedup, op8_lm_scoring, op9_warc, op10_token_ids,
+    op11_filter_audit, op13_manifest,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 # The SQL shares only fixed values with the operators: patterns, thresholds and characters.
 
@@ -79,6 +91,44 @@ def _found(kind: int, pattern: str, group: int = 0) -> str:
 _ALLOWED = " OR ".join(f"regexp_matches(value, {_quoted(p)})" for p in secrets.ALLOW)
 _LEAST = " ".join(f"WHEN regexp_matches(value, {_quoted(p)}) THEN {v}" for p, v in secrets.CLASSES.items())
 
+#: Unsigned CRC-32 of a short text: each byte, then eight steps, folded over one list.
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten([[ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] for x in string_split({}, '')])), lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+
+
+def _manifest_sql(levels: int = 7, tops: int = 3) -> str:
+    """Levels are written out: 8^7 documents of a language, 8^3 languages at most.  l and t are nodes, ls and ts their siblings
+    (null where the group has one node), w the walk of each leaf up its path."""
+
+    def siblings(group: str, frame: str) -> str:
+        return f"CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER (PARTITION BY {group}, i // 8 ORDER BY i ROWS BETWEEN {frame}), '') END"
+
+    def tree(p: str, group: str, count: int) -> str:
+        return ",".join(
+            f"""{p}s{k} AS (SELECT {group}, i, {siblings(group, "UNBOUNDED PRECEDING AND 1 PRECEDING")} AS b, {siblings(group, "1 FOLLOWING AND UNBOUNDED FOLLOWING")} AS a FROM {p}{k}),
+        {p}{k + 1} AS (SELECT {group}, i // 8 AS i, (max(n) + 7) // 8 AS n, CASE WHEN max(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE max(h) END AS h FROM {p}{k} GROUP BY {group}, i // 8)"""
+            for k in range(count)
+        )
+
+    said = lambda column: f"coalesce(strlen({column}::VARCHAR) || ':' || {column}::VARCHAR, '-')"
+    leaf = "sha256(" + " || ".join(said(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || {})"
+    low = f"CASE WHEN {_CRC.format('doc_id::VARCHAR')} % 3 = 0 THEN {said(_LOW.format('text'))} ELSE {said('text')} END"
+    steps = [(f"ls{k}", "lang", f"w.i // {8**k}") for k in range(levels)] + [(f"ts{k}", "one", f"w.g // {8**k}") for k in range(tops)]
+    walk = ",".join(
+        f"w{j} AS (SELECT w.* REPLACE (w.p || coalesce(s.b || s.a, '') AS p, coalesce(sha256(s.b || w.f || s.a), w.f) AS f) FROM w{j - 1} w JOIN {t} s ON s.{group} IS NOT DISTINCT FROM w.{group} AND s.i = {at})"
+        for j, (t, group, at) in enumerate(steps, 1)
+    )
+    return f"""
+        WITH leaves AS MATERIALIZED (SELECT doc_id, lang, {leaf.format(said("text"))} AS h, {leaf.format(low)} AS f FROM documents),
+        placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+        l0 AS (SELECT lang, i, n, h FROM placed),
+        {tree("l", "lang", levels)},
+        t0 AS (SELECT 1 AS one, lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n, h FROM l{levels}),
+        {tree("t", "one", tops)},
+        w0 AS (SELECT p.doc_id, p.lang, p.i, p.h, p.f, '' AS p, 1 AS one, t0.i AS g, t0.h AS subroot FROM placed p JOIN t0 ON p.lang IS NOT DISTINCT FROM t0.lang),
+        {walk}
+        SELECT doc_id, w.h AS leaf, subroot, t.h AS root, sha256(p) AS proof_sha256, f AS folded_root, f = t.h AS verified FROM w{levels + tops} w, t{tops} t"""
+
+
 SQL = {
     "op1_secret_scan": f"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -134,4 +184,23 @@ SQL = {
                array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(s, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31), 1) for i in range(0, 32)], '') AS payload_digest,
                CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
         FROM k""",
+    "op11_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, rank() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST) > 1 AND doc_id IS NOT NULL AS copy FROM d),
+        f AS (SELECT doc_id, part, {A: len(w) < 200, B: 100 * len(list_distinct(w)) < 50 * len(w), C: 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t), D: regexp_matches(t, '[#$%&*|]'), E: copy} AS f FROM w),
+        l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+        one AS (SELECT part, [x FOR x IN ['A', 'B', 'C', 'D', 'E'] IF [f.A, f.B, f.C, f.D, f.E][ord(x) - 64]] AS fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM f LEFT JOIN l USING (doc_id)),
+        cells AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM one GROUP BY ALL),
+        x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        steps AS (SELECT o, s::INT AS step, o[s] AS letter, string_split(o[1:s - 1], '') AS before FROM orders, range(1, 6) r(s)),
+        counted AS (
+            SELECT part, o AS filter_order, step, letter, sum(n) FILTER (NOT list_has_any(fails, list_append(before, letter))) AS kept,
+                   sum(n) FILTER (here) AS removed, sum(n) FILTER (list_contains(fails, letter) AND list_has_any(fails, before)) AS redundant, sum(n) FILTER (fails = [letter]) AS unique_fails,
+                   sum(good) FILTER (here) AS good_lost, sum(toxic) FILTER (here) AS toxic_lost
+            FROM (SELECT *, list_contains(fails, letter) AND NOT list_has_any(fails, before) AS here FROM cells, steps) GROUP BY ALL)
+        SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+               coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, letter), 0)::BIGINT AS shapley
+        FROM counted""",
+    "op13_manifest": _manifest_sql(),
 }

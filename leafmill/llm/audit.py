@@ -96,11 +96,12 @@ def filter_audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     the structs of the cells are summed by place, with map-side combining.
     """
     cells = masks(docs, labels, id_col, text_col, part_col)
-    orders = F.lit([[LETTERS.index(x) for x in o] for o in ORDERS])
+    names = F.split(F.lit(" ".join(ORDERS)), " ")
+    orders = F.transform(names, lambda o: F.transform(F.split(o, ""), lambda x: F.ascii(x) - ord(LETTERS[0])))  # a constant, which goes out with the plan
     # The credit is the variable of a function of its own: a column would be worked out again at each step.
     folded = F.flatten(F.transform(F.array(_credit(orders)), lambda credit: _folded(orders, credit)))
     structs = cells.select("part", F.posexplode(folded).alias("place", "cell"))
     summed = structs.select("part", "place", "cell.*").groupBy("part", "place").agg(*(F.sum(s).alias(s) for s in SUMS))
     step = (F.col("place") % len(LETTERS)).cast("int")
-    order = F.get(F.lit(ORDERS), F.floor(F.col("place") / len(LETTERS)).cast("int"))
+    order = F.get(names, F.floor(F.col("place") / len(LETTERS)).cast("int"))
     return summed.select("part", order.alias("filter_order"), (step + 1).alias("step"), *SUMS)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import audit, decontaminate, lines, lm, manifest, mix, near, qda, rules, secrets, token_ids, warc
+from leafmill.llm import audit, decontaminate, lines, lm, manifest, mix, near, qda, repeats, rules, secrets, token_ids, warc
 from leafmill.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -60,13 +60,19 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.suffix_dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.digest(manifest.audit(table(spark, sf_dir, "documents")))
 
 
 _ALL = (
     op1_secret_scan, op2_mixing, op3_near_dedup, op4_quality_rules, op5_quality_classifier, op6_decontamination, op7_line_dedup, op8_lm_scoring, op9_warc, op10_token_ids,
-    op11_filter_audit, op13_manifest,
+    op11_filter_audit, op12_suffix_dedup, op13_manifest,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 

@@ -158,3 +158,89 @@ def targets(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
         out |= {s: most * total[s] for s in over}
         open_ -= over
     return {s: (total[s], out[s]) for s in order}
+
+
+def audit(docs, labels):
+    """{(part, order, step): counts} of [(doc_id, text, source)] and [(doc_id, quality, toxic)]."""
+    from itertools import permutations
+
+    least = {}
+    for i, t, _ in docs:
+        least.setdefault(t or "", []).append(float("-inf") if i is None else i)
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    bad = {i for i, _, x in labels if x == 1 and i is not None}
+    each = []
+    for i, t, source in docs:
+        t = t or ""
+        w = WORD.findall(t)
+        fails = (len(w) < 200, 100 * len(set(w)) < 50 * len(w), 100 * len(re.findall("[A-Z]", t)) > 2 * len(t), bool(re.search("[#$%&*|]", t)), i is not None and min(least[t]) < i)
+        each.append((source or "", {x for x, f in zip("ABCDE", fails, strict=True) if f}, i in good, i in bad))
+    out = {}
+    for part in {p for p, *_ in each}:
+        mine = [e[1:] for e in each if e[0] == part]
+        for order in map("".join, permutations("ABCDE")):
+            for k, x in enumerate(order):
+                before = set(order[:k])
+                here = [e for e in mine if x in e[0] and not e[0] & before]
+                out[part, order, k + 1] = [
+                    sum(not e[0] & (before | {x}) for e in mine), len(here), sum(x in e[0] and bool(e[0] & before) for e in mine), sum(e[0] == {x} for e in mine), sum(e[1] for e in here), sum(e[2] for e in here),
+                ]
+        for x in "ABCDE":
+            total = sum(v[1] for (p, order, k), v in out.items() if p == part and order[k - 1] == x)
+            for (p, order, k), v in out.items():
+                if p == part and order[k - 1] == x:
+                    v.append(total)
+    return out
+
+
+def repeats(texts, length):
+    """[(kept, spans)] of texts: bytes under strings of ``length`` bytes that stand in several places are removed."""
+    data = [(t or "").encode() for t in texts]
+    count = Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
+    out = []
+    for b in data:
+        gone = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if count[b[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        edges = [i for i in range(len(b) + 1) if (gone[i] if i < len(b) else 0) != (gone[i - 1] if i else 0)]
+        out.append((bytes(x for x, g in zip(b, gone, strict=True) if not g), tuple(zip(edges[::2], edges[1::2], strict=True))))
+    return out
+
+
+def tree(nodes):
+    """The root over digests, eight at a time, and for each of them what stands before and after it at each level."""
+    level, paths = list(nodes), [[] for _ in nodes]
+    at = list(range(len(nodes)))
+    while len(level) > 1:
+        for k, i in enumerate(at):
+            run = level[i // 8 * 8 : i // 8 * 8 + 8]
+            paths[k].append(("".join(run[: i % 8]), "".join(run[i % 8 + 1 :])))
+        level, at = [sha("".join(level[i : i + 8])) for i in range(0, len(level), 8)], [i // 8 for i in at]
+    return level[0], paths
+
+
+def leaf(values):
+    return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+
+def manifest(rows):
+    """[(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified)] of [(doc_id, source, lang, n_chars, text)]."""
+    groups = {}
+    for r in rows:
+        groups.setdefault(r[2], []).append(r)
+    order = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    made = []
+    for g in order:
+        members = sorted(groups[g], key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+        made.append((members, *tree([leaf(r) for r in members])))
+    root, tops = tree([m[1] for m in made])
+    out = []
+    for (members, subroot, paths), top in zip(made, tops, strict=True):
+        for r, path in zip(members, paths, strict=True):
+            changed = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 3 == 0 and r[4] is not None
+            up = leaf((*r[:4], low(r[4]))) if changed else leaf(r)
+            for before, after in path + top:
+                up = sha(before + up + after)
+            out.append((r[0], leaf(r), subroot, root, sha("".join(b + a for b, a in path + top)), up, up == root))
+    return out

@@ -1,9 +1,9 @@
 """All queries of the conversion operators, with their SQL."""
 
-from leafmill.plans import page_queries, page_sql, queries, sql
+from leafmill.plans import page_queries, page_sql, queries, sql, tree_queries
 
-QUERIES = queries.QUERIES | page_queries.QUERIES
-SQL = sql.SQL | page_sql.SQL
+QUERIES = queries.QUERIES | page_queries.QUERIES | tree_queries.QUERIES
+SQL = sql.SQL | page_sql.SQL | tree_queries.SQL
 FLAGSHIP = "toc_index"
 
 __all__ = ["FLAGSHIP", "QUERIES", "SQL"]

@@ -95,6 +95,9 @@ def _found(kind: int, pattern: str, group: int = 0) -> str:
 
 
 _ALLOWED = " OR ".join(f"regexp_matches(value, {_quoted(p)})" for p in secrets.ALLOW)
+_MASKED = "value"
+for _word in secrets.HOLDERS:
+    _MASKED = f"regexp_replace({_MASKED}, '{_word}', '{' ' * len(_word)}', 'gi')"
 _LEAST = " ".join(f"WHEN regexp_matches(value, {_quoted(p)}) THEN {v}" for p, v in secrets.CLASSES.items())
 
 #: Unsigned CRC-32 of a short text: each byte, then eight steps, folded over one list.
@@ -141,9 +144,9 @@ SQL = {
         found AS ({_found(0, secrets.ASSIGN, 2)} UNION ALL {_found(1, secrets.PATTERNS["access"])} UNION ALL {_found(2, secrets.PATTERNS["hex"])} UNION ALL {_found(3, secrets.CANDIDATE)}),
         placed AS (SELECT *, sum(length(before) + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY n) AS stop FROM found),
         base AS (SELECT doc_id, kind, stop - length(hit) AS start, stop FROM placed WHERE kind < 3 AND (kind > 0 OR length(value) >= {secrets.LEAST_VALUE})),
-        runs AS (SELECT doc_id, stop - length(hit) AS start, value, CASE {_LEAST} END AS least FROM placed WHERE kind = 3 AND regexp_matches(value, '[0-9]') AND NOT ({_ALLOWED})),
+        runs AS (SELECT doc_id, stop - length(hit) AS start, {_MASKED} AS value, CASE {_LEAST} END AS least FROM placed WHERE kind = 3 AND NOT ({_ALLOWED})),
         windows AS (SELECT doc_id, start, value, least, unnest(range(0, length(value) - {secrets.WINDOW - 1})) AS i FROM runs),
-        high AS (SELECT * FROM windows WHERE list_aggregate(string_split(substr(value, i + 1, {secrets.WINDOW}), ''), 'entropy') >= least),
+        high AS (SELECT * FROM windows WHERE NOT contains(substr(value, i + 1, {secrets.WINDOW}), ' ') AND list_aggregate(string_split(substr(value, i + 1, {secrets.WINDOW}), ''), 'entropy') >= least),
         spans AS (SELECT * FROM base UNION ALL SELECT doc_id, 3, start + min(i), start + max(i) + {secrets.WINDOW} FROM high GROUP BY doc_id, start),
         said AS (SELECT *, ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || start::BIGINT || ':' || stop::BIGINT AS s FROM spans)
         SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,

@@ -15,49 +15,85 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 PATTERNS = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 LEAST_VALUE = 6
 
-#: Candidates for the entropy test: runs of these characters, if a digit is among them.
+#: Candidates for the entropy test: runs of these characters.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
-#: Bits in a window of 20 from which a class of strings counts as random; the most is log2(16), log2(20) and log2(20).
-CLASSES = {r"^[0-9A-Fa-f]+$": 3.15, r"^[0-9a-z]+$": 3.55, r"^.*$": 3.75}
-#: Strings that look random but are no secrets: UUIDs, digests named as such, dates and versions, places held for a secret.
-ALLOW = (
-    r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"(?i)^(sha1|sha224|sha256|sha384|sha512|md5)[-=_]",
-    r"^[0-9_=+/-]+$",
-    r"(?i)example|placeholder|xxxx|changeme|your[-_]?(key|token|secret)",
-    r"(?i)abcdefghij|0123456789",
-)
-
-
-def _entropy_span(chars: Column, least: Column) -> Column:
-    """struct<first, last>: the first place and the place after the last of all windows that reach ``least`` bits.
-    Counts are held for the characters that stand in the candidate.
-
-    A window's entropy is log2(w) - sum(c log2 c) / w over its counts c; a step to the right changes the sum only through
-    the counts of the character that comes in and the one that goes out.
+#: Bits in a window of 20 from which a class of strings counts as random; the most is log2(16) for the first, log2(20) for others.
+#: Strings without digits may be words, so they must look more random.
+CLASSES = {
+    r"^[0-9A-Fa-f]+$": 3.15, r"^[0-9a-z]*[0-9][0-9a-z]*$": 3.55, r"[0-9]": 3.75, r"^[A-Z]?[a-z]+$": 3.65, r"^[A-Z]+$": 3.65, r"^.*$": 3.95,
+}
+#: Strings that look random but are no secrets: UUIDs, digests named as such, dates and versions.
+ALLOW = (r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", r"(?i)^(sha1|sha224|sha256|sha384|sha512|md5)[-=_]", r"^[0-9_=+/-]+$")
+#: Words that hold a secret's place, in either case, one after the other: no window that one of them touches counts as random.
+HOLDERS = (
+    "example", "placeholder", "xxxx", "changeme", *(f"your{dash}{what}" for dash in ("", "-", "_") for what in ("key", "token", "secret")), "abcdefghij", "0123456789",
+)
+#: Characters of a candidate that are folded at once; pieces overlap by a window less one.
+PIECE = 256
+
+
+def masked(candidate: Column) -> Column:
+    """A candidate with blanks, which none has, in the place of HOLDERS."""
+    for word in HOLDERS:
+        candidate = F.regexp_replace(candidate, f"(?i){word}", " " * len(word))
+    return candidate
+
+
+def _high_windows(piece: Column, least: Column) -> Column:
+    """struct<first, last>: the first place and the place after the last of all windows of a piece that reach ``least`` bits.
+
+    A window's entropy is log2(w) - sum(c log2 c) / w over its counts c.  The fold holds the last 20 characters and that sum; a
+    step to the right changes the sum only through the counts of the character that comes in and the one that goes out.
     """
-    f = lambda c: F.when(c > 0, c * F.log2(c)).otherwise(F.lit(0.0))
-    start = F.struct(
-        F.array_repeat(F.lit(0), F.size(F.array_distinct(chars))).alias("counts"), F.lit(0.0).alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last")
-    )
-
-    def move(state: Column, pair: Column) -> Column:
-        come, go = pair["come"], pair["go"]
-        here = F.get(state["counts"], come - 1)
-        came = state["sum"] + f(here + 1) - f(here)
-        there = F.get(state["counts"], go - 1) + F.when(come == go, 1).otherwise(0)
-        total = came + F.when(go > 0, f(there - 1) - f(there)).otherwise(F.lit(0.0))
-        counts = F.transform(state["counts"], lambda c, k: c + F.when(k == come - 1, 1).otherwise(0) - F.when(k == go - 1, 1).otherwise(0))
-        high = (pair["end"] >= WINDOW) & (F.lit(math.log2(WINDOW)) - total / WINDOW >= least)
+    f = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
+    count = lambda held, c: F.char_length(held) - F.char_length(F.replace(held, c, F.lit("")))
+    none = F.lit(None).cast("int")
+    start = F.struct(F.lit("").alias("held"), F.lit(0.0).alias("sum"), F.lit(0).alias("end"), none.alias("first"), none.alias("last"))
+
+    def come(state: Column, c: Column) -> Column:
+        here = count(state["held"], c)
+        return F.struct(F.concat(state["held"], c).alias("held"), (state["sum"] + f(here + 1) - f(here)).alias("sum"), (state["end"] + 1).alias("end"), state["first"].alias("first"), state["last"].alias("last"))
+
+    def go(state: Column) -> Column:
+        full = state["end"] > WINDOW
+        there = count(state["held"], F.left(state["held"], F.lit(1)))
         return F.struct(
-            counts.alias("counts"), total.alias("sum"),
-            F.coalesce(state["first"], F.when(high, pair["end"] - WINDOW)).alias("first"), F.when(high, pair["end"]).otherwise(state["last"]).alias("last"),
+            F.when(full, F.substring(state["held"], 2, WINDOW)).otherwise(state["held"]).alias("held"), F.when(full, state["sum"] + f(there - 1) - f(there)).otherwise(state["sum"]).alias("sum"),
+            state["end"].alias("end"), state["first"].alias("first"), state["last"].alias("last"),
         )
 
-    code = lambda c: F.array_position(F.array_distinct(chars), c).cast("int")
-    pairs = F.transform(chars, lambda c, i: F.struct(code(c).alias("come"), F.when(i >= WINDOW, code(F.get(chars, i - WINDOW))).otherwise(F.lit(0)).alias("go"), (i + 1).alias("end")))
-    return F.aggregate(pairs, start, move, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+    def judge(state: Column) -> Column:
+        high = (state["end"] >= WINDOW) & (F.lit(math.log2(WINDOW)) - state["sum"] / WINDOW >= least) & ~F.contains(state["held"], F.lit(" "))
+        return F.struct(
+            state["held"].alias("held"), state["sum"].alias("sum"), state["end"].alias("end"),
+            F.coalesce(state["first"], F.when(high, state["end"] - WINDOW)).alias("first"), F.when(high, state["end"]).otherwise(state["last"]).alias("last"),
+        )
+
+    bound = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  a value that is worked out once
+    return F.aggregate(F.split(piece, ""), start, lambda state, c: bound(bound(come(state, c), go), judge), lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+
+
+def _entropy_span(candidate: Column, least: Column) -> Column:
+    """struct<first, last> of a candidate: from the first to the last of its random windows.  It is folded in pieces, so that
+    time grows with its length alone; each piece begins with the end of the one before.
+
+    What is worked out from the whole candidate is an element of an array of one, and so a function's variable inside: as a
+    column, the optimiser would put it into the fold, to be worked out again at each step."""
+    once = F.struct(F.regexp_extract_all(masked(candidate), F.lit(f".{{1,{PIECE}}}"), F.lit(0)).alias("parts"), least.alias("least"))
+
+    def pieces(of: Column) -> Column:
+        parts = of["parts"]
+
+        def one(part: Column, i: Column) -> Column:
+            found = _high_windows(F.concat(F.coalesce(F.right(F.get(parts, i - 1), F.lit(WINDOW - 1)), F.lit("")), part), of["least"])
+            at = F.when(i > 0, i * PIECE - (WINDOW - 1)).otherwise(0)
+            return F.transform(F.array(found), lambda s: F.struct((s["first"] + at).alias("first"), (s["last"] + at).alias("last")))
+
+        return F.flatten(F.transform(parts, one))
+
+    whole = F.flatten(F.transform(F.array(once), pieces))
+    return F.get(F.transform(F.array(whole), lambda s: F.struct(F.array_min(F.transform(s, lambda x: x["first"])).alias("first"), F.array_max(F.transform(s, lambda x: x["last"])).alias("last"))), F.lit(0))
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,8 +133,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for pattern, bits in reversed(CLASSES.items()):
         least = F.when(F.col("candidate").rlike(pattern), F.lit(bits)).otherwise(least)
     # One branch for all kinds: the text is looked through once.
-    wanted = F.when(F.col("kind") == len(PATTERNS), F.col("candidate").rlike("[0-9]") & ~allowed).otherwise((F.col("kind") > 0) | (F.col("value_length") >= LEAST_VALUE))
-    judged = placed.filter(wanted).withColumn("chars", F.split("candidate", "")).withColumn("s", F.when(F.col("kind") == len(PATTERNS), _entropy_span(F.col("chars"), least)))
+    wanted = F.when(F.col("kind") == len(PATTERNS), ~allowed).otherwise((F.col("kind") > 0) | (F.col("value_length") >= LEAST_VALUE))
+    judged = placed.filter(wanted).withColumn("s", F.when(F.col("kind") == len(PATTERNS), _entropy_span(F.col("candidate"), least)))
     judged = judged.filter((F.col("kind") < len(PATTERNS)) | F.col("s.first").isNotNull())
     begin, end = (F.col("begin") + F.coalesce("s.first", F.lit(0))), F.coalesce(F.col("begin") + F.col("s.last"), F.col("end"))
     found = judged.select("doc_id", "text_hash", "kind", begin.alias("begin"), end.alias("end"))

@@ -61,14 +61,16 @@ def secrets(text):
     return sorted((m.start(), k, m.end()) for k, (_, p, good) in enumerate(SECRET) for m in p.finditer(text or "") if good(m))
 
 
-def random_spans(text, candidate, allow, classes, window):
+def random_spans(text, candidate, allow, holders, classes, window):
     out = []
     for m in re.finditer(candidate, text or ""):
         c = m[0]
         if any(re.search(p, c) for p in allow):
             continue
         least = next(v for p, v in classes.items() if re.search(p, c))
-        high = [i for i in range(len(c) - window + 1) if math.log2(window) - sum(v * math.log2(v) for v in Counter(c[i : i + window]).values()) / window >= least]
+        for word in holders:
+            c = re.sub(word, " " * len(word), c, flags=re.I)
+        high = [i for i in range(len(c) - window + 1) if " " not in c[i : i + window] and math.log2(window) - sum(v * math.log2(v) for v in Counter(c[i : i + window]).values()) / window >= least]
         if high:
             out.append((m.start() + high[0], 3, m.start() + high[-1] + window))
     return out

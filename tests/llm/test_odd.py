@@ -22,7 +22,7 @@ def test_secrets(odd, none, pairs):
     names = [*secrets.PATTERNS, "entropy"]
     for i, t in pairs:
         base = brute.secrets(t)
-        every = sorted(base + brute.random_spans(t, secrets.CANDIDATE, secrets.ALLOW, secrets.CLASSES, secrets.WINDOW))
+        every = sorted(base + brute.random_spans(t, secrets.CANDIDATE, secrets.ALLOW, secrets.HOLDERS, secrets.CLASSES, secrets.WINDOW))
         said = lambda s: ",".join(f"{names[k]}:{a}:{b}" for a, k, b in s)
         want[(i, *(sum(k == n for _, k, _ in base) for n in range(3)), brute.sha(said(base)), said(every))] += 1
     assert got == want
@@ -187,12 +187,25 @@ def test_mix_keeps_ids_and_repeated_rows(spark):
 
 
 def test_secrets_of_long_runs(spark):
-    """A megabyte of letters without a digit, and one with a key at its end."""
-    letters = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
-    docs = spark.createDataFrame([(1, letters), (2, f"{letters} token=abcDEF123")], "doc_id long, text string")
+    """A megabyte of one word's letters, of base64, and of letters with a key at its end: time grows with the length alone."""
+    r = random.Random(1)
+    word = "notsecretatall" * 71_429
+    digits = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000))
+    docs = spark.createDataFrame([(1, word), (2, f"{word[:1_000_000]} token=abcDEF123"), (3, f"see {digits} end")], "doc_id long, text string").repartition(3)
     began = time.time()
     got = {r["doc_id"]: [(s["name"], s["begin"], s["end"]) for s in r["spans"]] for r in secrets.secret_spans(docs).collect()}
-    assert got == {1: [], 2: [("assign", 1_000_001, 1_000_016)]} and time.time() - began < 30
+    assert time.time() - began < 60
+    assert got[1] == [] and got[2] == [("assign", 1_000_001, 1_000_016)]
+    assert [s for s in got[3] if s[0] == "entropy"] == [("entropy", 4, 1_000_004)]
+
+
+def test_secrets_of_letters_and_beside_holders(spark):
+    r = random.Random(7)
+    pairs = [(i, "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(24 + 97 * (i % 9)))) for i in range(40)]
+    pairs += [(100 + i, "/".join([t[:40], r.choice(["example", "your-key", "xXxXx", "0123456789"]), t[40:]])) for i, t in pairs if len(t) > 100]
+    found = {x["doc_id"]: [(s["begin"], s["kind"], s["end"]) for s in x["spans"] if s["name"] == "entropy"] for x in secrets.secret_spans(spark.createDataFrame(pairs, "doc_id long, text string")).collect()}
+    assert found == {i: brute.random_spans(t, secrets.CANDIDATE, secrets.ALLOW, secrets.HOLDERS, secrets.CLASSES, secrets.WINDOW) for i, t in pairs}
+    assert sum(bool(found[i]) for i in range(40)) >= 36 and all(found[i] for i in found if i >= 100)
 
 
 def test_classifier_takes_ids_of_any_kind(spark, odd, labels):

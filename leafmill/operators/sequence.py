@@ -1,7 +1,7 @@
 """Operators whose rows depend on their neighbours: navigation, numbering, runs, unique names.
 
-Every table carries its order in a column; groups are window partitions, so a group's rows meet in one task but only stream
-through it.
+Every table carries its order in a column.  Groups are window partitions: a window sorts a group's rows in one task and holds
+them there, spilling where they are many.  Where that would not do, ``ranks_within`` ranks by partitions.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from leafmill.functions import text
+from leafmill.operators.graph import checkpointed
 
 
 def navigation(pages: DataFrame, section: str, order: str, *columns: str) -> DataFrame:
@@ -22,19 +23,43 @@ def navigation(pages: DataFrame, section: str, order: str, *columns: str) -> Dat
     return pages.withColumns({f"{at}_{c}": f(c).over(w) for c in columns for at, f in (("prev", F.lag), ("next", F.lead))})
 
 
-def parent_page(pages: DataFrame, section: str, order: str, level: str, deepest: int | None = None) -> DataFrame:
+def parent_page(pages: DataFrame, section: str, order: str, level: str) -> DataFrame:
     """``parent``: the order value of the latest page one level up that no page of a lower level has followed since; null for
-    level 0 and where a level was skipped.  One running value for each level: there are few.  ``deepest``: the largest level,
-    where it is known; else it is looked up."""
-    if deepest is None:
-        deepest = pages.agg(F.max(level)).first()[0] or 0
-    w = Window.partitionBy(section).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    found = F.lit(None).cast(pages.schema[order].dataType)
-    for k in range(1, deepest + 1):
-        above = F.last(F.when(F.col(level) == k - 1, F.col(order)), ignorenulls=True).over(w)
-        cut = F.max(F.when(F.col(level) < k - 1, F.col(order))).over(w)
-        found = F.when((F.col(level) == k) & (cut.isNull() | (cut < above)), above).otherwise(found)
-    return pages.withColumn("parent", found)
+    level 0, where a level was skipped, and where the level is null (such a page is no page's parent).
+
+    That page, if any, is the last one before of a lower level.  Rows stream through, sorted, and a stack holds one page for
+    each level that is open, whatever levels there are.
+    """
+
+    def stacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, stack = None, []
+        for batch in batches:
+            parents = []
+            for g, o, k in zip(*(batch.column(c).to_pylist() for c in (section, order, level)), strict=True):
+                if (g,) != at:
+                    at, stack = (g,), []
+                if k is None:
+                    parents.append(None)
+                    continue
+                while stack and stack[-1][0] >= k:
+                    stack.pop()
+                parents.append(stack[-1][1] if stack and stack[-1][0] == k - 1 else None)
+                stack.append((k, o))
+            yield batch.append_column("parent", pa.array(parents, batch.column(order).type))
+
+    schema = StructType([*pages.schema.fields, StructField("parent", pages.schema[order].dataType)])
+    return pages.repartition(section).sortWithinPartitions(section, order).mapInArrow(stacked, schema)
+
+
+def ranks_within(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """``name``: how many of the keys' rows come before, in the order.  Rows are range-partitioned by both, so that a key of very
+    many rows is many tasks' work; only counts of partitions are windowed."""
+    placed = checkpointed(rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_key", F.struct(*keys, "_part"))
+    parts = placed.groupBy("_key").agg(F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*(f"_key.{k}" for k in keys)).orderBy("_key._part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("_key", "_from", before.alias("_before"))
+    return placed.join(parts, "_key").withColumn(name, F.col("_at") - F.col("_from") + F.col("_before")).drop("_at", "_part", "_key", "_from", "_before")
 
 
 def islands(rows: DataFrame, group: str, order: str, starts: Column, name: str = "island") -> DataFrame:
@@ -85,7 +110,8 @@ def unique_names(rows: DataFrame, group: str, order: str, name: str, reserved: t
 
     A name's numbered forms can only meet names of the same root, which is the name without such endings.  Roots whose names
     have no endings need a count alone; only the others go through Python, each root's rows in order, as Arrow batches, in
-    which other columns stay what they are.
+    which other columns stay what they are.  Numbers of a root are ranks by partitions, so one name of very many rows is no
+    hot window.  A null name stays null and takes none.
 
     With ``files``, the number comes before the name's last ending, as ``-2``.
     """
@@ -95,17 +121,19 @@ def unique_names(rows: DataFrame, group: str, order: str, name: str, reserved: t
     open_, close = ("-", "") if files else (" (", ")")
     root = F.concat(F.regexp_replace(text.lower(stem), r"(?:-[0-9]+)+\z" if files else r"(?: \([0-9]+\))+\z", ""), text.lower(end))
     taken = F.array(*(F.lit(r.lower()) for r in reserved)).cast("array<string>")
-    r = rows.withColumn("_key", key).withColumn("_root", F.when(root == "", key).otherwise(root))
-    per = Window.partitionBy(group, "_root")
-    r = r.withColumn("_plain", F.min((F.col("_key") == F.col("_root")).cast("int")).over(per) == 1)
-    nth = F.row_number().over(per.orderBy(order)) + F.when(F.array_contains(taken, F.col("_root")), 1).otherwise(0)
-    simple = r.filter("_plain").withColumn(out, F.when(nth == 1, F.col(name)).otherwise(F.concat(stem, F.lit(open_), nth.cast("string"), F.lit(close), end)))
+    named = rows.filter(F.col(name).isNotNull()).withColumn("_as_key", key).withColumn("_root", F.when(root == "", key).otherwise(root)).withColumn("_of", F.struct(group, "_root"))
+    plain = named.groupBy("_of").agg(F.min(F.col("_as_key") == F.col("_root")).alias("_plain"))
+    r = named.join(plain, "_of").drop("_of")
+    ranked = ranks_within(r.filter("_plain"), [group, "_root"], [order], "_nth")
+    nth = F.col("_nth") + F.when(F.array_contains(taken, F.col("_root")), 2).otherwise(1)
+    simple = ranked.withColumn(out, F.when(nth == 1, F.col(name)).otherwise(F.concat(stem, F.lit(open_), nth.cast("string"), F.lit(close), end))).drop("_nth")
+    unnamed = rows.filter(F.col(name).isNull()).withColumn(out, F.lit(None).cast("string"))
 
     def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, used, next_ = None, set(), {}
         for rows in batches:
             names = []
-            for g, root_, key_, name_ in zip(*(rows.column(c).to_pylist() for c in (group, "_root", "_key", name)), strict=True):
+            for g, root_, key_, name_ in zip(*(rows.column(c).to_pylist() for c in (group, "_root", "_as_key", name)), strict=True):
                 if (g, root_) != at:
                     at, used, next_ = (g, root_), {x.lower() for x in reserved}, {}
                 dot = name_.rfind(".") if files else -1
@@ -120,7 +148,7 @@ def unique_names(rows: DataFrame, group: str, order: str, name: str, reserved: t
 
     schema = StructType([*r.schema.fields, StructField(out, StringType())])
     hard = r.filter("NOT _plain").repartition(group, "_root").sortWithinPartitions(group, "_root", order).mapInArrow(greedy, schema)
-    return simple.unionByName(hard).drop("_key", "_root", "_plain")
+    return simple.unionByName(hard).drop("_as_key", "_root", "_plain").unionByName(unnamed)
 
 
 _LOWER = str.maketrans(text.UPPER, text.LOWER)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.operators.graph import checkpointed, nearest_declared
+from leafmill.operators.sequence import ranks_within
 
 #: Fixed limits: levels below a page's outline, and references that are followed on a page.
 DEEPEST, BUDGET = 64, 1_000_000
@@ -85,7 +86,7 @@ def outline(refs: DataFrame, kind: str = "kind", deepest: int = DEEPEST, budget:
     t = toured(refs, element.cast("int"), F.col(kind).isNotNull())
     # A root has no place of its own among the references below it; only those that are not too deep are counted.
     shallow = (F.col("depth") <= deepest) & (F.col("depth") > 0)
-    spent = ranks_within(t.filter(shallow), "root", "place", "_spent").select("root", "place", "_spent")
+    spent = ranks_within(t.filter(shallow), ["root"], ["place"], "_spent").select("root", "place", "_spent")
     t = t.join(spent, ["root", "place"], "left")
     fault = F.coalesce("fault", F.when(F.col("depth") > deepest, "deep").when(F.col("_spent") >= budget, "budget").when((F.col("depth") > 0) & F.col(kind).isNull(), "missing"))
     t = checkpointed(t.withColumn("fault", fault).withColumn("level", F.col("weighed")).drop("weighed", "_spent"))
@@ -95,17 +96,6 @@ def outline(refs: DataFrame, kind: str = "kind", deepest: int = DEEPEST, budget:
     return t.join(up, "parent", "left").withColumn("above", F.when(F.col("root").isNotNull() & (F.col("at.depth") > 0), F.col("at.id"))).drop("at")
 
 
-def ranks_within(rows: DataFrame, key: str, order: str, name: str) -> DataFrame:
-    """``name``: how many of the key's rows come before, in the order.  Rows are range-partitioned by both, so that a key of very
-    many rows is many tasks' work; only counts of partitions are windowed."""
-    placed = checkpointed(rows.repartitionByRange(key, order).sortWithinPartitions(key, order).withColumn("_at", F.monotonically_increasing_id()))
-    placed = placed.withColumn("_part", F.shiftright("_at", 33))
-    parts = placed.groupBy(key, "_part").agg(F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select(key, "_part", "_from", before.alias("_before"))
-    return placed.join(parts, [key, "_part"]).withColumn(name, F.col("_at") - F.col("_from") + F.col("_before")).drop("_at", "_part", "_from", "_before")
-
-
 # --------------------------------------------------------------------------- nested tables
 
 

@@ -217,7 +217,7 @@ def ink_offsets(spark, d):
     """Containers in trees of three below one another, a few of them below themselves."""
     k = F.col("o_orderkey")
     nodes = read(spark, d, "orders").select(k.alias("id"), F.when(k % 11 == 0, k).when(k % 13 > 0, F.floor(k / 3)).alias("parent"), F.when(k % 5 > 0, (k % 7) / 2 * 1270).alias("x"), ((k % 9) / 4 * 1270).alias("y"))
-    return graph.folded_offsets(nodes, 6)
+    return graph.folded_offsets(nodes, 16)
 
 
 def structure(spark, d):

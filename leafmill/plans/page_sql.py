@@ -172,7 +172,7 @@ SQL = {
                    coalesce(CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 7 / 2 * 1270 END, 0)::DOUBLE AS x, (o_orderkey % 9 / 4 * 1270)::DOUBLE AS y FROM orders),
         walk AS (
             SELECT id, id AS root, 0::BIGINT AS depth, 0::DOUBLE AS dx, 0::DOUBLE AS dy FROM n WHERE parent IS NULL OR parent NOT IN (SELECT id FROM n)
-            UNION ALL SELECT n.id, w.root, w.depth + 1, w.dx + n.x, w.dy + n.y FROM n JOIN walk w ON n.parent = w.id WHERE w.depth < 6)
+            UNION ALL SELECT n.id, w.root, w.depth + 1, w.dx + n.x, w.dy + n.y FROM n JOIN walk w ON n.parent = w.id WHERE w.depth < 16)
         SELECT id, root, depth, dx, dy FROM walk""",
     "structure": f"""
         WITH {TITLED}

@@ -209,3 +209,25 @@ def test_unique_names_keep_other_columns(spark):
     files = [("g", 1, "a.png"), ("g", 2, "a.png"), ("g", 3, "a-2.png"), ("g", 4, "A.PNG"), ("g", 5, "b"), ("g", 6, "b")]
     got = {r["o"]: r["unique_name"] for r in sequence.unique_names(spark.createDataFrame(files, "g string, o int, name string"), "g", "o", "name", files=True).collect()}
     assert got == {1: "a.png", 2: "a-2.png", 3: "a-2-2.png", 4: "A-3.PNG", 5: "b", 6: "b-2"}
+
+
+def test_unique_names_of_nulls(spark):
+    rows = [("g", 1, "a"), ("g", 2, None), ("g", 3, "A"), (None, 4, "a"), (None, 5, None), (None, 6, "a"), ("g", 7, "b (2)"), ("g", 8, "b"), ("g", 9, "b"), ("g", 10, "")]
+    for files in (False, True):
+        got = {r["o"]: r["unique_name"] for r in sequence.unique_names(spark.createDataFrame(rows, "g string, o int, name string"), "g", "o", "name", files=files).collect()}
+        dash = (lambda k: f"-{k}") if files else (lambda k: f" ({k})")
+        assert got == {1: "a", 2: None, 3: f"A{dash(2)}", 4: "a", 5: None, 6: f"a{dash(2)}", 7: "b (2)", 8: "b", 9: "b-2" if files else "b (3)", 10: ""}
+
+
+def test_parent_pages_of_any_levels(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [(f"s{i % 3}" if i % 3 else None, i, r.choice([0, 1, 1, 2, 2, 3, 7, 300, None])) for i in range(200)]
+    want = {}
+    for s, i, k in rows:
+        lower = [(j, m) for t, j, m in rows if t == s and j < i and k is not None and m is not None and m < k]
+        want[i] = lower[-1][0] if lower and lower[-1][1] == k - 1 else None
+    pages = spark.createDataFrame(rows, "section string, seq int, level int").repartition(3)
+    assert {x["seq"]: x["parent"] for x in sequence.parent_page(pages, "section", "seq", "level").collect()} == want
+    assert sequence.parent_page(pages.limit(0), "section", "seq", "level").count() == 0

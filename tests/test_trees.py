@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.operators import runs, trees
+from leafmill.operators import outlines, runs, trees
 
 
 # --------------------------------------------------------------------------- runs
@@ -224,3 +224,105 @@ def test_cells(spark, seed):
     got = {x["id"]: x["text"] for x in trees.cell_texts(df).collect()}
     assert got == {n[0]: plain_cell(n[0], under, of) for n in nodes if n[3] == "cell" and n[0] != 9999}
     assert trees.cell_texts(df.limit(0)).count() == 0
+
+
+# --------------------------------------------------------------------------- markup
+
+
+def plain_markup(els, note):
+    def kind(e):
+        box = e["done"] is not None
+        if e["list"] is None and e["code"]:
+            return "code"
+        if box:
+            return "none" if note else "task"
+        return e["list"] or "none"
+
+    def esc(s, quotes=False):
+        s = s.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+        return s.replace('"', "&quot;").replace("'", "&#39;") if quotes else s
+
+    def item(e, k):
+        body = e["body"] or ""
+        if note:
+            todo = "" if e["done"] is None else f'<en-todo checked="{str(e["done"]).lower()}"/>'
+            return f"<div>{todo}{body or ('' if todo else '<br/>')}</div>"
+        if k == "none":
+            return f"<p>{body}</p>"
+        if k == "task":
+            return f'<input type="checkbox" disabled{" checked" if e["done"] else ""}>{body}'
+        glyph = e["glyph"] or ""
+        return (f'<span class="bullet">{esc(glyph, True)}</span>' if k == "bullet" and glyph not in ("", "•", "◦", "o", "▪", "■") else "") + body
+
+    def opened(e, k):
+        if k == "ordered":
+            kinds = {1: "I", 2: "i", 3: "A", 4: "a"}
+            n, r = e["number_style"], e["restart"]
+            start = r is not None and (r > 1 if note else r != 1)
+            return "<ol" + (f' type="{kinds[n]}"' if n in kinds else "") + (f' start="{r}"' if start else "") + ">"
+        if note:
+            return "<ul>"
+        if k == "task":
+            return '<ul class="tasks">'
+        g = e["glyph"] or ""
+        style = {"◦": "circle", "o": "circle", "▪": "square", "■": "square"}.get(g)
+        return f'<ul style="list-style-type:{style}">' if style else "<ul>" if g in ("", "•") else '<ul class="bullets-custom">'
+
+    def code(e):
+        if not note:
+            return esc(e["text"] or "") + "\n"
+        out = ""
+        for line in (e["text"] or "").split("\n"):
+            rest = line.lstrip(" \t")
+            lead = line[: len(line) - len(rest)].replace("\t", "&#160;" * 4).replace(" ", "&#160;")
+            out += f"<div>{lead + esc(rest, True) or '<br/>'}</div>"
+        return out
+
+    s, i = "", 0
+    while i < len(els):
+        e, k = els[i], kind(els[i])
+        if k == "code":
+            s += f'<div style="{outlines.NOTE_CODE}">' if note else '<pre class="code"><code>'
+            while i < len(els) and kind(els[i]) == "code":
+                s, i = s + code(els[i]), i + 1
+            s += "</div>" if note else "</code></pre>"
+        elif k == "none":
+            s += item(e, k)
+            if e["children"]:
+                s += ('<div style="padding-left: 40px;">' if note else '<div class="indent">') + plain_markup(e["children"], note) + "</div>"
+            i += 1
+        else:
+            s += opened(e, k)
+            while i < len(els) and kind(els[i]) == k and (note or k != "bullet" or (els[i]["glyph"] or "") == (e["glyph"] or "")):
+                s += f"<li>{item(els[i], k)}{plain_markup(els[i]['children'], note)}</li>"
+                i += 1
+            s += "</ol>" if k == "ordered" else "</ul>"
+    return s
+
+
+def test_markup(spark):
+    r = random.Random(9)
+    rows, pages = [], {}
+
+    def grow(page, above, depth, count):
+        out = []
+        for _ in range(r.randrange(4) if depth < 6 else 0):
+            count[0] += 1
+            e = {
+                "page": page, "place": count[0], "size": None, "depth": depth, "above": above, "list": r.choice([None, None, "ordered", "bullet", "bullet"]), "done": r.choice([None, None, None, True, False]),
+                "code": r.choice([None, False, True]), "glyph": r.choice([None, "", "•", "o", "★", "<"]), "number_style": r.choice([None, 0, 1, 3, 9]), "restart": r.choice([None, 0, 1, 5]), "text": r.choice([None, "", "a<'\n\n \tb  "]), "body": r.choice([None, "", "<b>x</b>"]), "kind": 5,
+            }
+            rows.append(e)
+            e["children"] = grow(page, e["place"], depth + 1, count)
+            e["size"] = count[0] - e["place"] + 1
+            out.append(e)
+        return out
+
+    for page in (*range(25), None):
+        pages[page] = grow(page, None, 1, [0])
+    r.shuffle(rows)
+    fields = "page long, place long, size long, depth long, above long, list string, done boolean, code boolean, glyph string, number_style int, restart int, text string, body string, kind int"
+    df = spark.createDataFrame([tuple(e[f.split()[0]] for f in fields.split(", ")) for e in rows], fields).repartition(3)
+    for make, note in ((outlines.html_outline, False), (outlines.note_outline, True)):
+        assert {x["page"]: x["text"] for x in make(df).collect()} == {p: plain_markup(els, note) for p, els in pages.items() if els}
+        assert make(df.limit(0)).count() == 0

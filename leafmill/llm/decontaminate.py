@@ -40,7 +40,13 @@ class Phrases:
 
 def blocks(benchmark: DataFrame, window: int, most: int, id_col: str, text_col: str) -> list[str]:
     """The benchmark in blocks of about ``most`` words (an item is never divided), each built and written by a task as a file
-    of the shared folder.  Only the files' places come back, one a block; a task that runs again leaves files that nobody reads."""
+    of the shared folder.  Items are dealt out by the number of all words, so blocks are as few as that allows, however many
+    partitions the benchmark has.  Only the files' places come back, one a block; a task that runs again leaves files that
+    nobody reads."""
+    items = documents(benchmark, id_col, text_col).select(F.col("doc_id").cast("string"), "text")
+    spaces = F.size(F.split(F.translate("text", "\t\n\x0b\x0c\r", " " * 5), " "))  # words, or a few more
+    total = items.agg(F.sum(spaces.cast("long"))).first()[0] or 0
+    items = items.repartition(max(1, -(-total // most)))
     folder = shared_folder(benchmark.sparkSession, "benchmark-blocks")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,32 +61,31 @@ def blocks(benchmark: DataFrame, window: int, most: int, id_col: str, text_col:
             for item, text in zip(strings(batch.column("doc_id")).to_pylist(), batch.column("text").to_pylist(), strict=True):
                 held.append((item, text.encode("utf-8", "replace").translate(TABLE).split()))
                 size += len(held[-1][1])
-                if size >= most:
+                if size >= 2 * most:
                     yield write()
                     held, size = [], 0
         if held:
             yield write()
 
-    items = documents(benchmark, id_col, text_col).select(F.col("doc_id").cast("string"), "text")
     return [f"{folder}/{r['name']}" for r in items.mapInArrow(build, "name string").collect()]
 
 
 class Blocks:
-    """Written blocks, read one after another; a single one is read once a task."""
+    """Written blocks, read one after another; the first few are held by the task that has read them."""
 
-    def __init__(self, places: list[str]):
-        self.places, self.only = places, None
+    def __init__(self, places: list[str], held: int = 2):
+        self.places, self.most, self.held = places, held, {}
 
     def __iter__(self) -> Iterator[Phrases]:
         for place in self.places:
-            yield self.only or self._read(place)
+            yield self.held.get(place) or self._read(place)
 
     def _read(self, place: str) -> Phrases:
         system, path = file_system(place)
         with system.open_input_stream(path) as f:
             block = pickle.loads(f.read())
-        if len(self.places) == 1:
-            self.only = block
+        if len(self.held) < self.most:
+            self.held[place] = block
         return block
 
 
@@ -95,18 +100,36 @@ def _shard(symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return sequence[kept], word[kept]
 
 
-def find(symbols: np.ndarray, counts: np.ndarray, phrases: Phrases) -> Iterator[tuple[np.ndarray, int, np.ndarray, list[list[str]]]]:
-    """For each window length: first words of all occurrences, the length, which window each is, and the windows' items."""
+def find(symbols: np.ndarray, counts: np.ndarray, sigma: int, of_block: list[tuple]) -> Iterator[tuple[np.ndarray, int, np.ndarray, list[list[str]]]]:
+    """For each block and window length: first words of all occurrences, the length, which window each is, and the windows'
+    items.  ``of_block`` gives a block's groups of windows, in the shard's symbols; the shard is indexed once."""
     sequence, word = _shard(symbols, counts)
     if len(sequence) < 2:
         return
-    index = FmIndex(sequence, phrases.sigma)
-    for patterns, items in phrases.groups:
-        low, high = index.search(patterns)
-        times = high - low
-        which = np.repeat(np.arange(len(patterns)), times)
-        rows = np.repeat(low - starts(times)[:-1], times) + np.arange(times.sum())
-        yield word[index.locate(rows)], patterns.shape[1], which, items
+    index = FmIndex(sequence, sigma)
+    for groups in of_block:
+        for patterns, items in groups:
+            low, high = index.search(patterns)
+            times = high - low
+            which = np.repeat(np.arange(len(patterns)), times)
+            rows = np.repeat(low - starts(times)[:-1], times) + np.arange(times.sum())
+            yield word[index.locate(rows)], patterns.shape[1], which, items
+
+
+def _translated(blocks_: Blocks, distinct: list[bytes]) -> Iterator[list[tuple]]:
+    """Each block's windows in a shard's own symbols; those with a word that the shard has not can't stand in it."""
+    own = {w: i for i, w in enumerate(distinct, 1)}
+    for phrases in blocks_:
+        to = np.zeros(phrases.sigma, np.int64)
+        for w, n in phrases.numbers.items():
+            to[n] = own.get(w, 0)
+        groups = []
+        for patterns, items in phrases.groups:
+            there = to[patterns]
+            some = np.flatnonzero((there > 0).all(axis=1))
+            if len(some):
+                groups.append((there[some], [items[k] for k in some.tolist()]))
+        yield groups
 
 
 def searcher(benchmark: DataFrame, window: int = 10, block_words: int = 1 << 20, item_col: str = "item_id", item_text_col: str = "text") -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray, list[set[str]]]]:
@@ -119,15 +142,18 @@ def searcher(benchmark: DataFrame, window: int = 10, block_words: int = 1 << 20,
         at = starts(counts)
         change = np.zeros(at[-1] + 1, np.int64)
         of: list[set[str]] = [set() for _ in counts]
-        for phrases in written:
-            number = phrases.numbers.get
-            symbols = np.array([number(w, 0) for w in distinct], np.int64)[codes] if distinct else np.zeros(0, np.int64)
-            for first, size, which, items in find(symbols, counts, phrases):
-                np.add.at(change, first, 1)
-                np.add.at(change, first + size, -1)
-                doc = np.searchsorted(at, first, side="right") - 1
-                for pair in np.unique(doc * len(items) + which).tolist():
-                    of[pair // len(items)].update(items[pair % len(items)])
+        if len(written.places) == 1:  # the block's words are the symbols, so that others shrink to separators
+            phrases = next(iter(written))
+            symbols = np.array([phrases.numbers.get(w, 0) for w in distinct], np.int64)[codes] if distinct else np.zeros(0, np.int64)
+            found = find(symbols, counts, phrases.sigma, [phrases.groups])
+        else:  # the shard's words are, so that it is indexed once for all blocks
+            found = find(codes + 1, counts, len(distinct) + 1, _translated(written, distinct)) if distinct else ()
+        for first, size, which, items in found:
+            np.add.at(change, first, 1)
+            np.add.at(change, first + size, -1)
+            doc = np.searchsorted(at, first, side="right") - 1
+            for pair in np.unique(doc * len(items) + which).tolist():
+                of[pair // len(items)].update(items[pair % len(items)])
         return counts, np.cumsum(change[:-1]) > 0, of
 
     return search
@@ -144,8 +170,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
       has no words.  Items that repeat an id are one item; a null item_id is the empty string.
     * Rows that repeat are each looked through; other columns are ignored; empty tables give no rows or no hits.
 
-    Each task cuts its documents into shards (never inside a document), and indexes and searches shard by shard, with one
-    block of the benchmark at a time (``block_words``), which it reads from the shared folder; nothing is shuffled or broadcast,
+    Each task cuts its documents into shards (never inside a document), indexes each once, and searches it with one block
+    of the benchmark at a time (``block_words``), which it reads from the shared folder; no text is shuffled or broadcast,
     and memory is bounded by a shard, or by the longest document, and a block (or the longest item), however large the benchmark.
     """
     search = searcher(benchmark, window, block_words, item_col, item_text_col)

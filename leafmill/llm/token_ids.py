@@ -302,6 +302,7 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID, folder: str
 
     Returns doc_id, start (ids of all documents before it), n_tokens (with the end id), ids_crc32; a row for each input row.
 
+    * doc_ids are integers of 64 bits at most, as the format holds them; any other type is refused before anything is read.
     * A null or empty text has the end id alone.  Null doc_ids come first; rows that repeat a doc_id are ordered by their text.
     * Other columns are ignored.  An empty table writes no file and gives an empty table.
 
@@ -310,6 +311,8 @@ def token_ids(docs: DataFrame, tokenizer: str, end_id: int = END_ID, folder: str
     order; starts are put together from the partition's, the file's and the document's own.
     """
     spark = docs.sparkSession
+    if docs.schema["doc_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"doc_id: an integer column, not {docs.schema['doc_id'].dataType.simpleString()}")
     folder = folder or shared_folder(spark, "ids")
     index = write_ids(docs, tokenizer, folder, end_id, **options)
     before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)

@@ -116,6 +116,22 @@ def test_spans_are_removed(spark):
     assert {r["doc_id"]: r["text"] for r in decontaminate.remove_spans(d, found).collect()} == {1: "Keep this. ; and keep that.", 2: "all clean"}
 
 
+def test_blocks_go_by_words(spark, odd, pairs):
+    """A benchmark of twenty partitions is one block, or as many as its words need; results are the same."""
+    items = [(i, " ".join(f"w{(i * 7 + k) % 90}" for k in range(8 + i % 9))) for i in range(60)] + [(99, None), (98, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(20)
+    docs = spark.createDataFrame([(i, " ".join(f"W{(i * 3 + k) % 90}" for k in range(5 + 11 * i))) for i in range(30)], "doc_id long, text string").repartition(4)
+    assert len(decontaminate.blocks(bench, 10, 1 << 20, "item_id", "text")) == 1
+    assert 3 <= len(decontaminate.blocks(bench, 10, 200, "item_id", "text")) <= 5
+    one, many = (rows(decontaminate.decontaminate(docs, bench, block_words=n), "doc_id", "n_words", "n_hit", "items") for n in (1 << 20, 200))
+    assert one == many and any(r[2] for r in one)
+
+
+def test_token_ids_refuse_other_ids(odd):
+    with pytest.raises(ValueError, match="doc_id"):
+        token_ids.token_ids(odd.withColumn("doc_id", F.col("doc_id").cast("string")), TOKENIZER)
+
+
 def test_lines(odd, none, pairs):
     got = {(r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in lines.line_dedup(odd).collect()}
     # The plain version wants distinct ids: the null ones are the smallest, and rows that repeat an id go together.

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text
 from leafmill.operators import links, render, sequence
+from leafmill.operators.graph import checkpointed
 
 
 @dataclass(frozen=True)
@@ -55,8 +56,9 @@ def rendered(pages: DataFrame, elements: DataFrame, options: ExportOptions = Exp
 def write(pages: DataFrame, folder: str) -> DataFrame:
     """Write (path, text) as files below a folder that all executors see; returns (path, bytes, error), one row a file.
 
-    A file is written under another name and then renamed, so a task that runs again leaves whole files; a page that can't be
-    written is reported and stops no other.
+    Files are written once, when this is called; the result is a table of its own, that later actions read.  A file is written
+    under another name and then renamed, so a task that runs again leaves whole files; one that is there already with the same
+    bytes stays as it is, so a run that is repeated changes nothing.  A page that can't be written is reported and stops no other.
     """
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,6 +68,9 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
             for path, body in zip(rows["path"], rows["text"], strict=True):
                 data, at = body.encode("utf-8", "replace"), posixpath.join(root, path)
                 try:
+                    if _holds(system, at, data):
+                        out.append((path, len(data), None))
+                        continue
                     system.create_dir(posixpath.dirname(at), recursive=True)
                     made = posixpath.join(posixpath.dirname(at), f"_{uuid.uuid4().hex}.tmp")
                     with system.open_output_stream(made) as f:
@@ -76,7 +81,31 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
                     out.append((path, 0, str(e)))
             yield pd.DataFrame(out, columns=["path", "bytes", "error"])
 
-    return pages.select("path", "text").mapInPandas(put, "path string, bytes long, error string")
+    return checkpointed(pages.select("path", "text").mapInPandas(put, "path string, bytes long, error string"))
+
+
+def _holds(system: fs.FileSystem, path: str, data: bytes) -> bool:
+    info = system.get_file_info(path)
+    if info.type != fs.FileType.File or info.size != len(data):
+        return False
+    with system.open_input_stream(path) as f:
+        return f.read() == data
+
+
+def asset_plan(assets: DataFrame, scope: str, order: str, name: str, identity: list[str]) -> DataFrame:
+    """assets with ``file``, the name of the file in its scope that has the asset's content, and ``writes`` for the one use of
+    it that writes that file: the first, in order.
+
+    Contents that are the same (``identity``: their place, or their hash and size) are one file of a scope, named as its first
+    use wants; only then names are made unique, so a use that comes again takes no name.  Nulls in the identity are values; a
+    null name has no file.  ``order`` is unique in a scope.
+    """
+    key = F.struct(scope, *identity)
+    a = assets.withColumn("_content", key)
+    firsts = a.groupBy("_content").agg(F.min_by(F.struct(F.col(order).alias("o"), F.col(name).alias("n")), order).alias("first"))
+    firsts = firsts.select("_content", F.col(f"_content.{scope}").alias("_scope"), F.col("first.o").alias("_first"), F.col("first.n").alias("_wanted"))
+    named = sequence.unique_names(firsts, "_scope", "_first", "_wanted", out="file", files=True)
+    return a.join(named.select("_content", "_first", "file"), "_content").withColumn("writes", F.col(order) == F.col("_first")).drop("_content", "_first")
 
 
 def statistics(written: DataFrame) -> DataFrame:

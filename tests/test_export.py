@@ -1,6 +1,8 @@
 from pathlib import Path
 
-from leafmill.operators import export
+from pyspark.sql import functions as F
+
+from leafmill.operators import export, pieces
 from leafmill.sources import cabinet, folders
 from leafmill.streaming import watch
 
@@ -58,3 +60,51 @@ def test_watched_folder(spark, tmp_path):
         assert [(r["path"], bytes(r["content"])) for r in spark.sql("SELECT * FROM arrived").collect()] == [("x.txt", b"hello")]
     finally:
         q.stop()
+
+
+def test_pieces_are_the_whole(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(r.choice(["a", "b", None]), i, r.choice(["", None, "é" * r.randrange(9), "line", "x" * 70])) for i in range(400)] + [("one", 0, None)]
+    want = {}
+    for g, _, line in rows:
+        want.setdefault(g, []).append(line or "")
+    df = spark.createDataFrame(rows, "g string, o int, line string").repartition(5)
+    for between, head, tail in (("\n", "", ""), ("", "<", ">"), ("--", "<h>\n", "\n</h>")):
+        out = pieces.pieces(df, ["g"], "o", F.col("line"), between, head, tail, 50).collect()
+        for g, lines in want.items():
+            mine = sorted((x for x in out if x["g"] == g), key=lambda x: x["piece"])
+            assert "".join(x["text"] for x in mine) == head + between.join(lines) + tail
+            assert sum(x["lines"] for x in mine) == len(lines) and all(x["bytes"] == len(x["text"].encode()) <= 50 + 80 + len(head + tail) for x in mine)
+    assert pieces.pieces(df.limit(0), ["g"], "o", F.col("line")).count() == 0
+    named = pieces.piece_paths(pieces.pieces(df, ["g"], "o", F.col("line"), most=50), F.coalesce("g", F.lit("none")), ".md").collect()
+    assert "".join(x["text"] for x in sorted(named, key=lambda x: x["path"]) if x["path"].startswith("a.")) == "\n".join(want["a"])
+
+
+def test_assets_are_named_by_content(spark):
+    rows = [("s", 1, "a.png", "h1"), ("s", 2, "a.png", "h1"), ("s", 3, "A.png", "h2"), ("s", 4, "a.png", None), ("s", 5, "z.png", None), ("t", 6, "a.png", "h1"), (None, 7, "a.png", "h1"), (None, 8, None, "h9"), ("s", 9, "a-2.png", "h5")]
+    got = {r["o"]: (r["file"], r["writes"]) for r in export.asset_plan(spark.createDataFrame(rows, "scope string, o int, name string, hash string"), "scope", "o", "name", ["hash"]).collect()}
+    assert got == {1: ("a.png", True), 2: ("a.png", False), 3: ("A-2.png", True), 4: ("a-3.png", True), 5: ("a-3.png", False), 6: ("a.png", True), 7: ("a.png", True), 8: (None, True), 9: ("a-2-2.png", True)}
+
+
+def test_writing_again_changes_nothing(spark, tmp_path):
+    pages = spark.createDataFrame([("a/x.md", "one"), ("a/y.md", "zwei é"), ("z.md", "")], "path string, text string")
+    for _ in range(2):
+        out = export.write(pages, f"file://{tmp_path}/out")
+        assert export.statistics(out).first().asDict() == {"pages": 3, "failed": 0, "bytes": 10}
+        times = {p: p.stat().st_mtime_ns for p in (tmp_path / "out").rglob("*.md")}
+        if _:
+            assert times == before
+        before = times
+    assert (tmp_path / "out/a/y.md").read_text() == "zwei é" and not list((tmp_path / "out").rglob("*.tmp"))
+
+
+def test_folders_load_without_what_is_empty(spark):
+    names = ["b.one", "A.one", "g/x.one", "g/deep/deeper/y.ONE", "gone/only.txt", "OneNote_RecycleBin/old.one", "h/OneNote_DeletedPages.one", ".h/z.one", "G2/a.one"]
+    files = spark.createDataFrame([(f"/nb/{n}",) for n in names], "path string")
+    toc = spark.createDataFrame([("", "G", 1, "#1"), ("", "B.ONE", 0, "#2"), ("g", "deep", 3, None), ("g", "X.one", 4, "#3"), ("", "b.one", 9, "#9"), ("", "nowhere", 2, None)], "dir string, name string, pos int, color string")
+    shown = lambda **how: [(r["depth"], r["title"], r["color"]) for r in folders.loaded(folders.entries(files, "/nb", **how), toc).orderBy("place").collect()]
+    assert shown() == [(0, "b.one", "#9"), (0, "g", None), (1, "deep", None), (2, "deeper", None), (3, "y.ONE", None), (1, "x.one", "#3"), (0, "A.one", None), (0, "G2", None), (1, "a.one", None)]
+    assert [x[1] for x in shown(with_deleted=True)][-2:] == ["Recycle Bin", "old.one"] and len(shown(with_deleted=True)) == 13
+    assert folders.loaded(folders.entries(files.limit(0), "/nb"), toc.limit(0)).count() == 0

@@ -122,3 +122,93 @@ def note_outline(elements: DataFrame) -> DataFrame:
     ends = F.when(kind == "code", "</div>").when(kind == "ordered", "</ol>").when(kind == "none", "").otherwise("</ul>")
     after = F.when(kind == "code", "").when(kind == "none", _shown(F.col("parent"), "</div>")).otherwise("</li>")
     return nested(e, F.concat(_shown(F.col("first"), opens), item), F.concat(after, _shown(F.col("last"), ends)))
+
+
+# --------------------------------------------------------------------------- Markdown
+
+
+def markdown_outline(elements: DataFrame, vault: bool = False, heading_offset: int = 1) -> DataFrame:
+    """(page, text, tags): a page's outline in Markdown, and the slugs of its tags as they first come (vault notes only).
+
+    Besides the columns above: ``style`` (h1 to h6, PageTitle, blockquote, cite, any other), ``lines`` (the paragraph's lines as
+    ``inlines.lines`` makes them; null: no paragraph), ``prefix`` (its tags' marks) and ``slugs`` (its tags' slugs).
+
+    An element with a list or a box is an item; what is below it is indented by its marker's width.  Items that follow an item,
+    or what is below one, have no blank line before them, all other blocks have one.  Neighbours that are code are one block;
+    a heading in a list is bold.  Nulls are empty.  A page without elements has no row.
+
+    One ordered stream of events a page, each element's begin and its end: a window over it gives the indent, as the widths of
+    the items that are open, and whether an item came last.  So no element knows the tree, and depth costs nothing.
+    """
+    text_of = {c: F.coalesce(c, F.lit("")) for c in ("text", "prefix", "style")}
+    e = elements.withColumns({**text_of, "slugs": F.coalesce("slugs", F.array().cast("array<string>")), "body": F.lit(""), "glyph": F.lit("")})
+    code = F.coalesce("code", F.lit(False)) & F.col("list").isNull()
+    item = ~code & (F.col("list").isNotNull() | F.col("done").isNotNull())
+    # Blocks of code, and runs of ordered items for their numbers.
+    e = blocks(e, F.when(code, "code").when(F.coalesce(F.col("list") == "ordered", F.lit(False)), "ordered").otherwise("none"), False).withColumnRenamed("kind", "run_kind")
+    siblings = Window.partitionBy("page", "above").orderBy("place")
+    e = e.withColumn("_run", F.sum(F.col("first").cast("int")).over(siblings.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy("page", "above", "_run")
+    ordered = F.col("run_kind") == "ordered"
+    e = e.withColumn("_number", F.greatest(F.lit(1), F.coalesce(F.first("restart").over(run.orderBy("place")), F.lit(1)) + F.row_number().over(run.orderBy("place")) - 1))
+    e = e.withColumn("_fence", F.when(F.max(F.contains("text", F.lit("```")).cast("int")).over(run) == 1, "~~~").otherwise("```"))
+    box = F.when(F.col("done").isNull(), "").when(F.col("done"), " [x]").otherwise(" [ ]")
+    e = e.withColumn("_item", item).withColumn("_marker", F.when(item, F.concat(F.when(ordered, F.concat(F.col("_number").cast("string"), F.lit("."))).otherwise(F.lit("-")), box)))
+    e = e.withColumn("_width", F.when(item, F.when(F.col("done").isNotNull() & ~ordered, 2).otherwise(F.char_length("_marker") + 1)).otherwise(0))
+
+    lines = F.coalesce("lines", F.array().cast("array<string>"))
+    level = F.when(F.col("style") == "PageTitle", 1).otherwise(F.coalesce(F.regexp_extract("style", r"^h([1-6])\z", 1).try_cast("int"), F.lit(0)))
+    said = F.array_position(F.transform(lines, lambda s: s != ""), True)
+    title = F.when(said > 0, text.trim(F.array_join(F.slice(lines, F.greatest(said, F.lit(1)).cast("int"), F.greatest(F.size(lines), F.lit(1))), " "))).otherwise(F.lit(""))
+    e = e.withColumns({"_level": level, "_title": title, "_suffix": F.array_join(F.transform("slugs", lambda s: F.concat(F.lit(" #"), s)), "") if vault else F.lit("")})
+    blank = text.trim(F.concat("prefix", F.array_join(lines, ""))) == ""
+    shows = code | item | F.when(F.col("lines").isNull(), False).when(F.col("_level") > 0, F.col("_title") != "").otherwise(~blank | (F.size(lines) > 1) | (F.col("style") == "blockquote"))
+    e = e.withColumn("_shows", F.coalesce(shows, F.lit(False)))
+
+    whole = F.struct(*(c for c in e.columns if c not in ("page", "place", "end")))
+    begin = F.struct(F.col("place").alias("at"), F.lit(0).alias("phase"), F.lit(0).cast("long").alias("rank"), F.col("_width").alias("width"), F.when(F.col("_shows"), F.col("_item")).alias("state"), whole.alias("e"))
+    end = F.struct(F.col("end").alias("at"), F.lit(1).alias("phase"), (0 - F.col("depth")).cast("long").alias("rank"), (0 - F.col("_width")).alias("width"), F.when(F.col("_item"), F.lit(True)).alias("state"), F.lit(None).cast(_type_of(e, whole)).alias("e"))
+    events = e.select("page", F.explode(F.array(begin, end)).alias("v")).select("page", "v.*")
+    before = Window.partitionBy("page").orderBy("at", "phase", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    events = events.withColumns({"_indent": F.coalesce(F.sum("width").over(before), F.lit(0)), "_after_item": F.coalesce(F.last("state", ignorenulls=True).over(before), F.lit(False))})
+    b = events.filter("phase = 0").select("page", "at", "_indent", "_after_item", "e.*")
+
+    blanks = lambda n: F.repeat(F.lit(" "), n.cast("int"))
+    indent = blanks(F.col("_indent"))
+    cont = blanks(F.col("_indent") + F.col("_width"))
+    in_list = F.col("_item") | (F.col("_indent") > 0)
+    heading = F.when(F.col("_title") == "", "").when(in_list, F.concat(F.col("prefix"), F.lit("**"), "_title", F.lit("**"), "_suffix")).otherwise(
+        F.concat(F.repeat(F.lit("#"), F.greatest(F.lit(1), F.least(F.lit(6), F.col("_level") + heading_offset))), F.lit(" "), "prefix", "_title", "_suffix")
+    )
+    quoted = F.col("style") == "blockquote"
+    marked = F.transform(lines, lambda s, i: F.concat(F.when(i == 0, F.col("prefix")).otherwise(F.lit("")), text.escape_line_start(s)))
+    joined = F.array_join(marked, "\0")
+    flat = F.replace(F.concat(_shown(quoted, "> "), joined), F.lit("\0"), F.concat(F.lit("  \n" if vault else "\\\n"), cont, _shown(quoted, "> ")))
+    cited = F.when((F.col("style") == "cite") & (text.trim(flat) != "") & ~F.contains(flat, F.lit("\n")), F.concat(F.lit("*"), flat, F.lit("*"))).otherwise(flat)
+    body = F.when(F.col("lines").isNull(), "").when(F.col("_level") > 0, heading).otherwise(F.concat(cited, F.when(text.trim(cited) != "", F.col("_suffix")).otherwise(F.lit(""))))
+    gap = F.when(F.col("_item") & F.col("_after_item"), "").otherwise("\n")
+    code_text = F.array_join(F.transform(F.split("text", "\n", -1), lambda s: F.concat(indent, s, F.lit("\n"))), "")
+    fence = F.concat(indent, "_fence", F.lit("\n"))
+    block = (
+        F.when(F.col("run_kind") == "code", F.concat(_shown(F.col("first"), F.concat(F.lit("\n"), fence)), code_text, _shown(F.col("last"), fence)))
+        .when(F.col("_item"), F.concat(gap, indent, "_marker", _shown(body != "", F.concat(F.lit(" "), body)), F.lit("\n")))
+        .when(F.col("_shows"), F.concat(F.lit("\n"), indent, body, F.lit("\n")))
+        .otherwise("")
+    )
+    used = F.when(F.lit(vault) & (text.trim(body) != "") & (F.col("run_kind") != "code") & F.col("lines").isNotNull(), F.col("slugs")).otherwise(F.array().cast("array<string>"))
+    out = b.select("page", F.struct("at", block.alias("block"), used.alias("slugs")).alias("b")).groupBy("page").agg(F.array_sort(F.collect_list("b")).alias("bs"))
+    return out.select("page", F.array_join(F.transform("bs", lambda x: x["block"]), "").alias("text"), F.array_distinct(F.flatten(F.transform("bs", lambda x: x["slugs"]))).alias("tags"))
+
+
+def _type_of(df: DataFrame, column: Column) -> str:
+    return df.select(column.alias("c")).schema["c"].dataType.simpleString()
+
+
+def vault_head(title: Column, stem: Column, fields: dict[str, Column], parent: Column, tags: Column) -> Column:
+    """YAML head of a vault note: the title, where the file's name is another, as an alias; fields that are said; the note
+    above; the page's tags."""
+    some = [F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"{k}: "), text.yaml_string(v), F.lit("\n"))) for k, v in fields.items()]
+    alias = F.when(title != stem, F.concat(F.lit("aliases:\n  - "), text.yaml_string(title), F.lit("\n")))
+    up = F.when(F.coalesce(parent, F.lit("")) != "", F.concat(F.lit("parent: "), text.yaml_string(F.concat(F.lit("[["), parent, F.lit("]]"))), F.lit("\n")))
+    listed = F.when(F.size(tags) > 0, F.concat(F.lit("tags:\n"), F.array_join(F.transform(tags, lambda t: F.concat(F.lit("  - "), t, F.lit("\n"))), "")))
+    return F.concat(F.lit("---\n"), *(F.coalesce(x, F.lit("")) for x in (alias, *some, up, listed)), F.lit("---\n"))

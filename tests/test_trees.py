@@ -326,3 +326,120 @@ def test_markup(spark):
     for make, note in ((outlines.html_outline, False), (outlines.note_outline, True)):
         assert {x["page"]: x["text"] for x in make(df).collect()} == {p: plain_markup(els, note) for p, els in pages.items() if els}
         assert make(df.limit(0)).count() == 0
+
+
+# --------------------------------------------------------------------------- Markdown
+
+
+def trimmed(s):
+    return s.strip(" \t\r\n\v\f")
+
+
+def line_start(s):
+    import re
+
+    if re.fullmatch(r"(?s)(?:#{1,6}|[-+])(?: .*)?|-+|=+", s):
+        return "\\" + s
+    return re.sub(r"^([0-9]{1,9})([.)])(?= |\Z)", r"\1\\\2", s)
+
+
+class PlainMarkdown:
+    """A walk over the tree, a block at a time."""
+
+    def __init__(self, vault):
+        self.vault, self.out, self.after_item, self.tags = vault, "", False, []
+
+    def block(self, s, indent, item):
+        if trimmed(s):
+            self.out += ("" if item and self.after_item else "\n") + indent + s + "\n"
+            self.after_item = item
+
+    def paragraph(self, e, cont, in_list):
+        lines, style = list(e["lines"]), e["style"] or ""
+        prefix, suffix = e["prefix"] or "", "".join(f" #{s}" for s in e["slugs"] or []) if self.vault else ""
+        level = 1 if style == "PageTitle" else int(style[1]) if len(style) == 2 and style[0] == "h" and style[1] in "123456" else 0
+        if level:
+            said = ""
+            for s in lines:
+                said += (" " if said else "") + s
+            said = trimmed(said)
+            if not said:
+                return ""
+            out = f"{prefix}**{said}**{suffix}" if in_list else f"{'#' * min(6, level + 1)} {prefix}{said}{suffix}"
+        else:
+            lines = [line_start(s) for s in lines]
+            if lines:
+                lines[0] = prefix + lines[0]
+            quote = "> " if style == "blockquote" else ""
+            out = quote + (("  \n" if self.vault else "\\\n") + cont + quote).join(lines)
+            if style == "cite" and trimmed(out) and "\n" not in out:
+                out = f"*{out}*"
+            out += suffix if trimmed(out) else ""
+        if trimmed(out) and self.vault:
+            self.tags += [s for s in e["slugs"] or [] if s not in self.tags]
+        return out
+
+    def elements(self, els, indent):
+        i, number = 0, 0
+        while i < len(els):
+            e = els[i]
+            if e["code"] and e["list"] is None:
+                code = ""
+                while i < len(els) and els[i]["code"] and els[i]["list"] is None:
+                    code, i = code + "".join(f"{indent}{s}\n" for s in (els[i]["text"] or "").split("\n")), i + 1
+                fence = "~~~" if "```" in code else "```"
+                self.block(f"{fence}\n{code}{indent}{fence}", indent, False)
+                number = 0
+                continue
+            ordered = e["list"] == "ordered"
+            if ordered:
+                number = (e["restart"] if e["restart"] is not None else 1) if not i or els[i - 1]["list"] != "ordered" else number + 1
+            if e["list"] is None and e["done"] is None:
+                if e["lines"] is not None:
+                    self.block(self.paragraph(e, indent, bool(indent)), indent, False)
+                self.elements(e["children"], indent)
+            else:
+                marker = (f"{max(1, number)}." if ordered else "-") + ("" if e["done"] is None else " [x]" if e["done"] else " [ ]")
+                cont = indent + ("  " if e["done"] is not None and not ordered else " " * (len(marker) + 1))
+                body = self.paragraph(e, cont, True) if e["lines"] is not None else ""
+                self.block(marker + (" " + body if body else ""), indent, True)
+                self.elements(e["children"], cont)
+                self.after_item = True
+            i += 1
+
+
+@pytest.mark.parametrize("vault", [False, True])
+def test_markdown(spark, vault):
+    r = random.Random(11)
+    rows, pages = [], {}
+
+    def grow(page, above, depth, count):
+        out = []
+        for _ in range(r.randrange(4) if depth < 6 else 0):
+            count[0] += 1
+            e = {
+                "page": page, "place": count[0], "size": None, "depth": depth, "above": above, "list": r.choice([None, None, "ordered", "ordered", "bullet"]), "done": r.choice([None, None, None, True, False]),
+                "code": r.choice([None, False, False, True]), "restart": r.choice([None, None, 2, 5]), "text": r.choice([None, "", "a\n  b", "```"]), "style": r.choice([None, "", "h2", "h6", "PageTitle", "blockquote", "cite", "p"]),
+                "lines": r.choice([None, [], [""], ["x"], [" y ", "# z"], ["", "- q", "12. r"]]), "prefix": r.choice([None, "", "★ "]), "slugs": r.choice([None, [], ["a"], ["b", "c"]]),
+            }
+            rows.append(e)
+            e["children"] = grow(page, e["place"], depth + 1, count)
+            e["size"] = count[0] - e["place"] + 1
+            out.append(e)
+        return out
+
+    for page in (*range(30), None):
+        pages[page] = grow(page, None, 1, [0])
+    r.shuffle(rows)
+    fields = "page long, place long, size long, depth long, above long, list string, done boolean, code boolean, restart int, text string, style string, lines array<string>, prefix string, slugs array<string>"
+    df = spark.createDataFrame([tuple(e[f.split()[0]] for f in fields.split(", ")) for e in rows], fields).repartition(3)
+    want = {}
+    for page, els in pages.items():
+        plain = PlainMarkdown(vault)
+        plain.elements(els, "")
+        if els:
+            want[page] = (plain.out, plain.tags)
+    got = {x["page"]: (x["text"], x["tags"]) for x in outlines.markdown_outline(df, vault).collect()}
+    assert got.keys() == want.keys()
+    assert [p for p in want if got[p] != want[p]] == []
+    assert outlines.markdown_outline(df.limit(0), vault).count() == 0

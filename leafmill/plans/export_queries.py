@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmill.functions import text
-from leafmill.operators import export, pieces, render
+from leafmill.operators import export, notes, pieces, render
 from leafmill.plans.queries import read, titled
 from leafmill.plans.sql import TITLED, md, md_url, xml
 from leafmill.sources import folders
@@ -46,7 +46,22 @@ def asset_files(spark, d):
     return export.asset_plan(p, "p_brand", "use", "name", ["hash", "bytes"])
 
 
-QUERIES = {f.__name__: f for f in (folder_load, toc_pieces, section_notes, asset_files)}
+def note_check(spark, d):
+    """Turns as notes with a resource and a box each, some of them with faults; what the check counts, by day of the week."""
+    c = read(spark, d, "conversations").select("text", (F.col("conv_id") * 8 + F.col("turn")).alias("k"))
+    k, data, mime = F.col("k"), F.encode("text", "UTF-8"), F.lit("text/plain")
+    body = F.concat(
+        F.lit("<div>"), F.when(k % 3 == 0, '<en-todo checked="true"/>').when(k % 21 == 1, '<en-todo checked="yes"/>').otherwise(""), text.xml_escape(F.col("text")), F.when(k % 11 == 0, "").otherwise("</div>"),
+        F.when(k % 5 == 0, F.lit('<a href="x.html">x</a>')).otherwise('<a href="https://e.com">e</a>'), notes.media(F.when(k % 7 == 0, F.encode(F.lit("gone"), "UTF-8")).otherwise(data), F.when(k % 13 == 0, F.lit("a/b")).otherwise(mime)), F.when(k % 17 == 0, '<p class="c"/><blink/>').otherwise(""),
+    )
+    n = render.notes(c, F.concat(F.lit("Note "), k.cast("string")), body, F.when(k % 19 == 0, "today").otherwise("20240101T000000Z"), F.when(k % 23 == 0, F.array(F.lit("Chat"), F.lit("chat"))).otherwise(F.array(F.lit("chat"))))
+    n = n.withColumn("note", notes.with_resources(F.col("note"), F.array(notes.resource(data, mime, F.lit("a.txt")))))
+    found = notes.checked(n, "note").withColumn("fault", F.explode_outer("faults"))
+    counts = found.groupBy((k % 7).alias("day"), "fault").agg(F.count(F.lit(1)).alias("notes"), F.sum("resources").alias("resources"), F.sum("media").alias("media"), F.sum("todos").alias("todos"))
+    return counts.withColumn("fault", F.coalesce("fault", F.lit("none")))
+
+
+QUERIES = {f.__name__: f for f in (folder_load, toc_pieces, section_notes, asset_files, note_check)}
 
 
 def _pieces(group: str, order: str, line: str, head: str, tail: str, most: int) -> str:
@@ -57,6 +72,15 @@ def _pieces(group: str, order: str, line: str, head: str, tail: str, most: int)
 
 
 SQL = {
+    "note_check": """
+        WITH c AS (SELECT conv_id * 8 + turn AS k, k % 11 = 0 AS broken, text FROM conversations),
+        f AS (
+            SELECT *, list_filter([
+                CASE WHEN k % 19 = 0 THEN 'time' END, CASE WHEN k % 23 = 0 THEN 'tags' END, CASE WHEN broken THEN 'malformed' END, CASE WHEN NOT broken AND k % 17 = 0 THEN 'element' END, CASE WHEN NOT broken AND k % 17 = 0 THEN 'attribute' END,
+                CASE WHEN NOT broken AND k % 5 = 0 THEN 'address' END, CASE WHEN NOT broken AND k % 21 = 1 THEN 'todo' END, CASE WHEN NOT broken AND k % 7 = 0 THEN 'media' END, CASE WHEN NOT broken AND k % 7 = 0 THEN 'unused' END,
+                CASE WHEN NOT broken AND k % 13 = 0 AND k % 7 > 0 THEN 'type' END], lambda x: x IS NOT NULL) AS faults FROM c),
+        e AS (SELECT k, broken, unnest(CASE WHEN len(faults) = 0 THEN ['none'] ELSE faults END) AS fault FROM f)
+        SELECT k % 7 AS day, fault, count(*) AS notes, count(*) AS resources, count(*) FILTER (NOT broken) AS media, count(*) FILTER (NOT broken AND (k % 3 = 0 OR k % 21 = 1)) AS todos FROM e GROUP BY ALL""",
     "folder_load": """
         WITH RECURSIVE f AS (
             SELECT c_custkey AS k, CASE c_custkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'Group ' || c_custkey % 7 WHEN 2 THEN 'Group ' || c_custkey % 7 || '/sub' || c_custkey % 4 WHEN 3 THEN NULL ELSE NULL END AS dir FROM customer),

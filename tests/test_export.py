@@ -108,3 +108,21 @@ def test_folders_load_without_what_is_empty(spark):
     assert shown() == [(0, "b.one", "#9"), (0, "g", None), (1, "deep", None), (2, "deeper", None), (3, "y.ONE", None), (1, "x.one", "#3"), (0, "A.one", None), (0, "G2", None), (1, "a.one", None)]
     assert [x[1] for x in shown(with_deleted=True)][-2:] == ["Recycle Bin", "old.one"] and len(shown(with_deleted=True)) == 13
     assert folders.loaded(folders.entries(files.limit(0), "/nb"), toc.limit(0)).count() == 0
+
+
+def test_notes_are_checked(spark):
+    from leafmill.operators import notes
+
+    head = '<?xml version="1.0" encoding="UTF-8"?><!DOCTYPE en-note SYSTEM "http://xml.evernote.com/pub/enml2.dtd">'
+    note = lambda body, title="T", rest="": f"<note><title>{title}</title><content><![CDATA[{head}{body}]]></content>{rest}</note>"
+    rows = {
+        1: (note("<en-note><div>a</div></en-note>"), 0, 0, 0, []), 2: (None, 0, 0, 0, ["doctype", "header", "malformed", "title"]), 3: ("", 0, 0, 0, ["doctype", "header", "malformed", "title"]),
+        4: (note("<en-note><div>a</en-note>"), 0, 0, 0, ["malformed"]), 5: (note("<en-note>&lt;en-media&gt; <!-- a --> <en-todo/><en-todo checked='true'/><en-todo checked='1'/></en-note>"), 0, 0, 3, ["todo"]),
+        6: (note("<en-note/>", " T ", "<created>2024</created><tag>a,b</tag>"), 0, 0, 0, ["tags", "time", "title"]), 7: (note('<en-note onclick="x"><a href="mailto:a">b</a></en-note>'), 0, 0, 0, ["attribute"]),
+        8: (note('<en-note><en-media hash="5d41402abc4b2a76b9719d911017c592" type="a/b"/></en-note>', rest='<resource><data encoding="base64">aGVsbG8=</data><mime>a/b</mime></resource>'), 1, 1, 0, []),
+        9: (note("<en-note>x</en-note>", rest='<resource><data encoding="base64">%%</data></resource>'), 1, 0, 0, ["resource", "unused"]), 10: (note("<en-note>" + "<div>y</div>" * 20_000 + "</en-note>"), 0, 0, 0, []),
+    }
+    df = spark.createDataFrame([(k, v[0], "kept") for k, v in rows.items()], "id int, note string, resources_of string")
+    found = {r["id"]: (r["resources"], r["media"], r["todos"], r["faults"]) for r in notes.checked(df, "note").collect()}
+    assert found == {k: v[1:] for k, v in rows.items()}
+    assert notes.checked(df.limit(0), "note").count() == 0

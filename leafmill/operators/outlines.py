@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text
+from leafmill.operators.graph import checkpointed
 
 #: Types of ordered lists by number style, and glyphs with a list style of their own.
 TYPES, CIRCLES, SQUARES, DISC = {1: "I", 2: "i", 3: "A", 4: "a"}, ("◦", "o"), ("▪", "■"), "•"
@@ -163,7 +164,8 @@ def markdown_outline(elements: DataFrame, vault: bool = False, heading_offset: i
     e = e.withColumns({"_level": level, "_title": title, "_suffix": F.array_join(F.transform("slugs", lambda s: F.concat(F.lit(" #"), s)), "") if vault else F.lit("")})
     blank = text.trim(F.concat("prefix", F.array_join(lines, ""))) == ""
     shows = code | item | F.when(F.col("lines").isNull(), False).when(F.col("_level") > 0, F.col("_title") != "").otherwise(~blank | (F.size(lines) > 1) | (F.col("style") == "blockquote"))
-    e = e.withColumn("_shows", F.coalesce(shows, F.lit(False)))
+    # Written: both branches of the events read it, and the plan would state its columns again for each use.
+    e = checkpointed(e.withColumn("_shows", F.coalesce(shows, F.lit(False))))
 
     whole = F.struct(*(c for c in e.columns if c not in ("page", "place", "end")))
     begin = F.struct(F.col("place").alias("at"), F.lit(0).alias("phase"), F.lit(0).cast("long").alias("rank"), F.col("_width").alias("width"), F.when(F.col("_shows"), F.col("_item")).alias("state"), whole.alias("e"))
@@ -171,7 +173,7 @@ def markdown_outline(elements: DataFrame, vault: bool = False, heading_offset: i
     events = e.select("page", F.explode(F.array(begin, end)).alias("v")).select("page", "v.*")
     before = Window.partitionBy("page").orderBy("at", "phase", "rank").rowsBetween(Window.unboundedPreceding, -1)
     events = events.withColumns({"_indent": F.coalesce(F.sum("width").over(before), F.lit(0)), "_after_item": F.coalesce(F.last("state", ignorenulls=True).over(before), F.lit(False))})
-    b = events.filter("phase = 0").select("page", "at", "_indent", "_after_item", "e.*")
+    b = checkpointed(events.filter("phase = 0").select("page", "at", "_indent", "_after_item", "e.*"))
 
     blanks = lambda n: F.repeat(F.lit(" "), n.cast("int"))
     indent = blanks(F.col("_indent"))

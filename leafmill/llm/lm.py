@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,13 +54,6 @@ def frequent_words(counts: DataFrame, most: int) -> list[tuple[str, int]]:
     return sorted(found, key=lambda x: (-x[1], x[0]))
 
 
-def _piece(numbers: np.ndarray, key: int, most: int) -> np.ndarray:
-    """A text with its begin and end, or ``most`` words to predict from a place that the key chooses."""
-    whole = np.concatenate([[END], numbers, [END]])
-    at = key % max(1, len(whole) - most)
-    return whole[at : at + most + 1]
-
-
 class Vocabulary:
     """The model's words (frequent ones, numbered from 2 on), and the counts of more of them for the base score."""
 
@@ -71,33 +63,20 @@ class Vocabulary:
         self.size = len(self.number) + 2
 
 
-def _pieces(texts: DataFrame, number: dict[bytes, int], most: int) -> DataFrame:
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            distinct, codes, counts = _lower_words(batch.column("text"))
-            numbers = np.array([number.get(w, RARE) for w in distinct], np.int32)[codes] if distinct else np.zeros(0, np.int32)
-            at = starts(counts)
-            keys = [zlib.crc32(str(d).encode()) for d in batch.column("doc_id").to_pylist()]
-            found = [_piece(numbers[at[i] : at[i + 1]], k, most).astype(np.int32) for i, k in enumerate(keys)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "piece"])
-
-    return texts.mapInArrow(cut, "doc_id string, piece array<int>")
-
-
 #: Words of whole texts that a task holds for training at once; a longer text is held alone.
 HELD_WORDS = 4 << 20
 
 
-def _copy(batches: Iterator[pa.RecordBatch], number: dict[bytes, int], own: Gru) -> Iterator[pa.RecordBatch]:
-    """Train ``own`` on all words of all texts, and return the rows of its tables that have learnt, as (table, at, values,
+def _copy(batches: Iterator[pa.RecordBatch], number: dict[bytes, int], own: Gru, rate: float, batch: int, window: int) -> Iterator[pa.RecordBatch]:
+    """Train ``own`` on all words of all texts, ``batch`` texts side by side, and return the rows of its tables that have learnt, as (table, at, values,
     weights) in blocks: a word's row as input weighs by how often the word stands there, its row as output by how often its
     class does, the others by all words."""
-    adam, held, n = Adam(own, 0.003), [], 0
+    lanes, adam, held, n = batch, Adam(own, rate), [], 0
     inputs, classes, total = np.zeros(own.words), np.zeros(own.classes), 0
 
     def learn():
         nonlocal inputs, classes, total, held, n
-        train(own, held, rate=adam.rate, batch=256, window=64, adam=adam)
+        train(own, held, rate=rate, batch=lanes, window=window, adam=adam)
         inputs += np.bincount(np.concatenate([p[:-1] for p in held]), minlength=own.words)
         classes += np.bincount(own.of_word[np.concatenate([p[1:] for p in held])], minlength=own.classes)
         total += n
@@ -145,24 +124,16 @@ def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _block(kind, at, v / np.maximum(w, 1)[:, None], w)
 
 
-def fit(training: DataFrame, vocabulary: Vocabulary, counts: np.ndarray, first_docs: int, first_words: int) -> Gru:
-    """A model that begins with the words' own counts, and goes three times over a bounded sample (the ``first_docs`` documents
-    of smallest hash, ``first_words`` of each at most) on the driver.  From there all words of all texts are learnt: each task
-    trains a copy on its whole texts, with the state carried through each, and copies are averaged, a word's row by how often
-    each copy has met the word."""
-    model = Gru(vocabulary.size).unigram(counts)
-    number = vocabulary.number
-    chosen = training.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(first_docs)
-    sample = _pieces(training.join(F.broadcast(chosen), "doc_id"), number, first_words)
-    pieces = [np.array(r["piece"]) for r in sorted(sample.collect(), key=lambda r: (r["doc_id"], r["piece"]))]
-    train(model, pieces, rate=0.01, epochs=3)
-    sent = training.sparkSession.sparkContext.broadcast((number, model))
+def _averaged(model: Gru, texts: DataFrame, number: dict[bytes, int], rate: float, batch: int, window: int) -> Gru:
+    """Each task trains a copy on its whole texts, with the state carried through each; the copies are averaged, a word's row by
+    how often each has met the word."""
+    sent = texts.sparkSession.sparkContext.broadcast((number, model))
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, own = sent.value
-        yield from _copy(batches, number, Gru(own.words, own.hidden).load(own.vector()))
+        yield from _copy(batches, number, Gru(own.words, own.hidden).load(own.vector()), rate, batch, window)
 
-    copies = training.select("text").mapInArrow(refine, _BLOCK).repartition("kind", "at")
+    copies = texts.select("text").mapInArrow(refine, _BLOCK).repartition("kind", "at")
     tables = [t.copy() for t in model.tables()]
     for r in copies.mapInArrow(_mean, _BLOCK).collect():
         w = np.frombuffer(r["weight"], np.float64)
@@ -171,7 +142,20 @@ def fit(training: DataFrame, vocabulary: Vocabulary, counts: np.ndarray, first_d
     return model.load_tables(tables)
 
 
-def lm_scores(docs: DataFrame, folds: int = 5, fold: int = 1, head_words: int = 150_000, model_words: int = 991, model_count: int = 20, model_share: float = 1e-5, first_docs: int = 1500, first_words: int = 256, side_by_side: int = 3 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fit(training: DataFrame, vocabulary: Vocabulary, counts: np.ndarray, share: int, task_words: int) -> Gru:
+    """A model that begins with the words' own counts and is trained by tasks alone, in two rounds of ``_averaged``.
+
+    The first, in many small steps, goes over all words of one in ``share`` texts, by the hash of doc_id, so it grows with the corpus; a
+    task has about ``task_words`` words of them at any size.  The second goes over all words of all texts where they are read.
+    """
+    model = Gru(vocabulary.size).unigram(counts)
+    some = training.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
+    tasks = max(1, int(counts.sum() / share / task_words))
+    model = _averaged(model, some.repartition(tasks, "doc_id").sortWithinPartitions("doc_id"), vocabulary.number, rate=0.01, batch=64, window=32)
+    return _averaged(model, training, vocabulary.number, rate=0.003, batch=256, window=64)
+
+
+def lm_scores(docs: DataFrame, folds: int = 5, fold: int = 1, head_words: int = 150_000, model_words: int = 991, model_count: int = 20, model_share: float = 1e-5, first_share: int = 8, first_task_words: int = 1 << 20, side_by_side: int = 3 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score each whole text with smoothed word counts (base) and with a recurrent model (score), both log10.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; a row for each input row.  Training texts are
@@ -183,7 +167,8 @@ def lm_scores(docs: DataFrame, folds: int = 5, fold: int = 1, head_words: int =
     stands for all others; when it predicts the latter, the word itself has its share of smoothed counts among those, so every
     text has a probability.  ``head_words`` must be as many at least.
 
-    * A null or empty text is its end alone.  A null doc_id is a training text, save that it is never in the first sample.
+    * A null or empty text is its end alone.  A null doc_id is a training text; all null ones have one hash, by which they are in the first round or not (by default not).
+    * Copies of the model are averaged by task, so scores vary a little with how the table is split into tasks; reruns on the same split agree.
     * Rows that repeat are counted and scored each.  Other columns are ignored; an empty table gives an empty one.
 
     Counts grow with the corpus and stay in a table.  The ``head_words`` most frequent words (a bound) go to all tasks; the
@@ -200,7 +185,7 @@ def lm_scores(docs: DataFrame, folds: int = 5, fold: int = 1, head_words: int =
     model_words = max(model_words, sum(c >= max(model_count, model_share * n_train) for _, c in head))
     vocabulary = Vocabulary(head, model_words)
     rare_n = totals[0] - sum(c for _, c in head[:model_words])
-    model = fit(training, vocabulary, np.array([rare_n, ends, *(c for _, c in head[:model_words])], np.float64), first_docs, first_words)
+    model = fit(training, vocabulary, np.array([rare_n, ends, *(c for _, c in head[:model_words])], np.float64), first_share, first_task_words)
     rare_words = totals[1] - len(vocabulary.number)
     of_all, of_rare = n_train + 0.5 * (distinct + 1), rare_n + 0.5 * (rare_words + 1)
     sent = d.sparkSession.sparkContext.broadcast((vocabulary, model.vector()))

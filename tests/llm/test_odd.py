@@ -143,7 +143,7 @@ def test_lines(odd, none, pairs):
 
 def test_language_model(odd, none, pairs):
     want, n = brute.base_scores(pairs)
-    got = lm.lm_scores(odd, head_words=40, model_words=20, first_docs=5).collect()
+    got = lm.lm_scores(odd, head_words=40, model_words=20, first_share=1).collect()
     assert {r["train_tokens"] for r in got} == {n}
     have = Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], round(r["base_score"], 4)) for r in got)
     assert have == Counter((i, brute.held_out(i, 5, 1), a, b, round(c, 4)) for (i, _), (a, b, c) in zip(pairs, want, strict=True))
@@ -159,7 +159,7 @@ def test_language_model_learns_every_word_of_a_long_text(spark):
     def score(at):
         changed = [*text[:at], text[at + 1], text[at], *text[at + 2 :]]
         docs = spark.createDataFrame([(1, " ".join(changed)), (4, " ".join(text[:400]))], "doc_id long, text string").coalesce(1)
-        got = {r["doc_id"]: r for r in lm.lm_scores(docs, first_docs=1, first_words=8).collect()}
+        got = {r["doc_id"]: r for r in lm.lm_scores(docs, first_share=2).collect()}
         return got[4]["score"], got[4]["base_score"]
 
     places = [at for at in (10, 700, 1500, 2990) if text[at] != text[at + 1]]
@@ -173,7 +173,7 @@ def test_language_model_knows_frequent_words_of_any_rank(spark):
     text = [f"w{i}" for i in range(1200) for _ in range(120)] + ["u", "v"] * 110
     r.shuffle(text)
     docs = spark.createDataFrame([(1, " ".join(text)), (4, "u v v v u"), (9, "v u v v u")], "doc_id long, text string").coalesce(1)
-    got = {r["doc_id"]: r for r in lm.lm_scores(docs, first_docs=2).collect()}
+    got = {r["doc_id"]: r for r in lm.lm_scores(docs, first_share=3, first_task_words=50).collect()}
     assert got[4]["base_score"] == pytest.approx(got[9]["base_score"]) and got[4]["score"] != pytest.approx(got[9]["score"], abs=1e-6)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,6 +80,22 @@ def _entries(reps: DataFrame, percent: int) -> DataFrame:
     return reps.select("rep", "n", "sketch").mapInArrow(rarest, "value long, rep long")
 
 
+def _lists(entries: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(cluster, rep, n, hashes): the inverted lists of two texts or more, with the texts' sketches; a cluster is a list.
+
+    Of lists that hold the same texts, one is enough.  A list of more texts than a block is parted by their numbers of shingles:
+    linked texts fall into one band or into neighbours, so each text goes to its band's part and to the next one's.
+    """
+    hashes = [F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.shiftright(F.xxhash64(F.lit(1), "rep"), 32)).alias("y")]
+    sizes = entries.groupBy("value").agg(F.count(F.lit(1)).alias("texts"), *hashes).filter("texts > 1")
+    kept = materialise(sizes.groupBy("texts", "x", "y").agg(F.min("value").alias("value")).select("value", "texts"), "near-kept")
+    listed = spread_join(entries, kept, ["value"], "texts", F.col("rep"), "inner")
+    band = F.floor(F.log("n") / math.log(101 / percent))
+    bands = F.when(F.col("texts") > BLOCK_TEXTS, F.array(band, band + 1)).otherwise(F.array(F.lit(-1).cast("long")))
+    held = listed.join(reps.select("rep", "n", F.col("sketch").alias("hashes")), "rep")
+    return held.withColumn("band", F.explode(bands)).select(F.xxhash64("value", "band").alias("cluster"), "rep", "n", "hashes")
+
+
 # --------------------------------------------------------------------------- exact comparison of a block
 
 
@@ -241,11 +258,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
       its own text; rows that repeat a doc_id with the same text have the same result.
     * Other columns are ignored; an empty table gives an empty one.
 
-    How: equal sets are one text, by its smallest doc_id (its rep).  Inverted lists of the reps' rarest retained values join
-    all texts that may be linked to clusters; the estimate from sketches parts those again into finer ones; full sets are
-    compared in the finer clusters only.  Either comparison goes by blocks of bounded size (see _links), so a large group of
-    near copies costs a comparison within blocks and what that leaves over, not all its pairs; no pair is a row, and no
-    link between different texts is lost but by an unlikely sketch (see SHARED).
+    How: equal sets are one text, by its smallest doc_id (its rep).  Two texts that may be linked meet in an inverted list of
+    the reps' rarest retained values; sketches are compared within each list, and what the estimate links is joined to
+    clusters; full sets are compared in those only.  Lists are not joined first: chance alone ties texts that are not alike
+    to one cluster, of a growing share of the corpus.  Either comparison goes by blocks of bounded size (see _links), so a
+    large group of near copies costs a comparison within blocks and what that leaves over, not all its pairs; no pair is a
+    row, and no link between different texts is lost but by an unlikely sketch (see SHARED).
     """
     d = documents(docs, id_col, text_col)
     drawn = materialise(sketches(d, size), "near-sketches")
@@ -253,10 +271,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         drawn.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("id1", "id2", "n").agg(F.min("doc_id").cast("long").alias("rep"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")), "near-reps"
     )
     entries = materialise(_entries(reps, percent), "near-entries")
-    hubs = entries.groupBy("value").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("value", "hub")
-    clusters = components(entries.join(hubs, "value").select(F.col("rep").alias("a"), F.col("hub").alias("b")).filter("a <> b"), "near-lists")
-    listed = clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    cut = materialise(reps.join(listed, "rep").select("cluster", "rep", "n", F.col("sketch").alias("hashes")), "near-cut")
+    cut = materialise(_lists(entries, reps, percent), "near-cut")
     finer = components(_links(cut, percent, False, "estimates"), "near-clusters").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     links = _links(materialise(_full_sets(d, finer, size), "near-sets"), percent, True, "links")
     found = components(links, "near-components")

@@ -4,6 +4,7 @@ import gzip
 import random
 import time
 
+import brute
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -193,3 +194,29 @@ def test_shingles_and_links():
             k = len(np.intersect1d(a, b))
             assert got[i, j] == (i != j and 100 * k >= 80 * (len(a) + len(b) - k))
     assert sorted(near.forest(got)) == [(0, 1), (0, 2), (0, 3)]
+
+
+def chain(n, words=40, over=10):
+    """Texts of words of their own that each share some with the next, far from what links them."""
+    step = words - over
+    return [(i, " ".join(f"w{k}" for k in range(i * step, i * step + words))) for i in range(n)]
+
+
+def test_chance_makes_no_cluster(spark, monkeypatch):
+    """Texts that hang together by chance alone are compared in lists of two, not all with all."""
+    monkeypatch.setattr(near, "BLOCK_TEXTS", 8)
+    seen, links = [], near._block_links
+    monkeypatch.setattr(near, "_block_links", lambda rows, *a: (seen.append(rows.count()), links(rows, *a))[1])
+    got = near.near_duplicates(spark.createDataFrame(chain(300), "doc_id long, text string"), size=4)
+    assert all(r["component_id"] == r["doc_id"] for r in got.collect())
+    assert 300 < sum(seen) <= 4 * 300
+
+
+def test_long_lists_by_bands(spark, monkeypatch):
+    """Lists of more texts than a block, whose texts differ in length and are linked across bands."""
+    monkeypatch.setattr(near, "BLOCK_TEXTS", 4)
+    texts = [(i, " ".join(f"v{k}" for k in range(20 + 7 * i))) for i in range(14)] + [(100 + i, " ".join(f"v{k}" for k in range(5, 12))) for i in range(6)]
+    want = brute.near(texts, 4)
+    got = near.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), size=4)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == want
+    assert len({c for _, c in want.values()}) > 2

@@ -18,8 +18,8 @@ from leafmill.llm.shingles import mix64, shingle_sets
 #: Retained values of a text, and how many of them two linked texts share at least.  At a similarity of 0.8 the number they
 #: share has a mean of 25.6 and a standard deviation of 2.3; 12 or fewer come up in under one of 100,000 such pairs.
 RETAINED, SHARED = 32, 13
-#: Cells of the table of frequencies that orders values.
-CELLS = 1 << 20
+#: Cells of the tables that go to all tasks, a byte each: as many as the entries need, between these bounds.
+CELLS, MOST_CELLS = 1 << 20, 1 << 26
 HEAVY_CELL = 16
 #: A block of texts that are compared within one task.
 BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 18
@@ -51,19 +51,37 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(sketch, f"doc_id {kind}, n long, id1 long, id2 long, sketch array<long>")
 
 
+def _cells(wanted: int) -> int:
+    """A power of two of cells, ``wanted`` at least within the bounds."""
+    return min(max(CELLS, 1 << (wanted - 1).bit_length()), MOST_CELLS)
+
+
+def _frequencies(reps: DataFrame) -> np.ndarray:
+    """How often the retained values of each cell stand in all sketches: 0 under HEAVY_CELL, from there on a 16th of a power of
+    two a step.  Four cells a text, so a cell holds eight values on average at any size of the corpus up to MOST_CELLS."""
+    cells = _cells(4 * reps.count())
+    counts = reps.select(F.explode("sketch").alias("v")).groupBy(F.pmod("v", F.lit(cells)).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = np.minimum(1 + 16 * np.log2(np.asarray(batch.column("n")) / HEAVY_CELL), 255).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([np.asarray(batch.column("cell")).astype(np.int32).tobytes()]), pa.array([step.tobytes()])], ["cell", "step"])
+
+    out = np.zeros(cells, np.uint8)
+    for r in counts.filter(F.col("n") >= HEAVY_CELL).mapInArrow(packed, "cell binary, step binary").collect():
+        out[np.frombuffer(r["cell"], np.int32)] = np.frombuffer(r["step"], np.uint8)
+    return out
+
+
 def _entries(reps: DataFrame, percent: int) -> DataFrame:
     """(value, rep): the inverted lists, of each text's rarest retained values.
 
     Two linked texts share c retained values, so of any common order of values, the first s - c + 1 of each text's s have one
     in common.  The order is by frequency, so that passages which many texts share make lists only for texts that hold
-    little else.  Frequencies are those of a table of hashed cells of fixed size; any order is right, a rough one only makes
-    longer lists.
+    little else.  Frequencies are those of a table of hashed cells that grows with the texts; any order is right, a rough one
+    only makes longer lists.
     """
-    cell = lambda c: F.pmod(c, F.lit(CELLS))
-    heavy = reps.select(F.explode("sketch").alias("v")).groupBy(cell(F.col("v")).alias("cell")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HEAVY_CELL).collect()
-    frequency = np.zeros(CELLS, np.int64)
-    frequency[[r["cell"] for r in heavy]] = [r["n"] for r in heavy]
-    sent = reps.sparkSession.sparkContext.broadcast(frequency)
+    sent = reps.sparkSession.sparkContext.broadcast(_frequencies(reps))
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,7 +89,7 @@ def _entries(reps: DataFrame, percent: int) -> DataFrame:
             values = np.asarray(lists.flatten()).astype(np.int64)
             counts = np.diff(np.asarray(lists.offsets).astype(np.int64))
             row = np.repeat(np.arange(len(counts)), counts)
-            order = np.lexsort((values, sent.value[values % CELLS], row))
+            order = np.lexsort((values, sent.value[values % len(sent.value)], row))
             place = np.arange(len(values)) - np.repeat(starts(counts)[:-1], counts)
             first = counts - least_shared(np.asarray(batch.column("n")), percent=percent) + 1
             kept = place < np.repeat(first, counts)
@@ -224,18 +242,29 @@ def _links(rows: DataFrame, percent: int, full: bool, name: str) -> DataFrame:
     return within.unionAll(across)
 
 
+def _member_cells(members: DataFrame) -> np.ndarray:
+    """Marks the cells of the members' ids, eight cells a member within the bounds."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([np.asarray(batch.column("rep")).astype(np.int64).tobytes()])], ["reps"])
+
+    found = [np.frombuffer(r["reps"], np.int64) for r in members.select("rep").mapInArrow(packed, "reps binary").collect()]
+    cells = np.zeros(_cells(8 * sum(map(len, found))), bool)
+    for reps in found:
+        cells[reps % len(cells)] = True
+    return cells
+
+
 def _full_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
     """(cluster, rep, n, hashes): the members with all shingles of their texts.  Of the documents, only those go to the join
-    whose ids fall into a cell with a member; the table of cells has a fixed size, so it helps less, and harms never, as the
-    corpus outgrows it."""
-    cells = np.zeros(CELLS, bool)
-    cells[[r[0] for r in members.select(F.pmod("rep", F.lit(CELLS))).distinct().collect()]] = True
-    sent = docs.sparkSession.sparkContext.broadcast(cells)
+    whose ids fall into a cell with a member, so that texts of others are not shuffled; the cells grow with the members."""
+    sent = docs.sparkSession.sparkContext.broadcast(_member_cells(members))
 
     def may_be(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = np.asarray(pc.fill_null(batch.column("rep"), 0)).astype(np.int64)
-            yield batch.filter(pa.array(sent.value[ids % CELLS]))
+            yield batch.filter(pa.array(sent.value[ids % len(sent.value)]))
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):

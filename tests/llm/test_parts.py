@@ -220,3 +220,17 @@ def test_long_lists_by_bands(spark, monkeypatch):
     got = near.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), size=4)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == want
     assert len({c for _, c in want.values()}) > 2
+
+
+def test_cells_grow_with_the_texts(spark, monkeypatch):
+    """Values that all texts share make no lists, and cells without a member stay free, however small the tables begin."""
+    monkeypatch.setattr(near, "CELLS", 8)
+    rng = np.random.default_rng(5)
+    common = rng.integers(-(2**62), 2**62, 12).tolist()
+    rows = [(i, 100, sorted(common + rng.integers(-(2**62), 2**62, 20).tolist())) for i in range(200)]
+    entries = near._entries(spark.createDataFrame(rows, "rep long, n long, sketch array<long>"), 80).collect()
+    assert len(entries) == 200 * 20
+    assert sum(r["value"] in common for r in entries) < 400
+    marked = near._member_cells(spark.createDataFrame([(i, 0) for i in range(0, 3000, 30)], "rep long, cluster long"))
+    assert marked.sum() <= 100 and len(marked) >= 800
+    assert marked[np.arange(0, 3000, 30) % len(marked)].all()

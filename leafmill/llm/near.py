@@ -212,25 +212,28 @@ def _blocks(n: str, texts: str) -> Column:
     return F.greatest(F.ceil(F.col(n) / BLOCK_SHINGLES), F.ceil(F.col(texts) / BLOCK_TEXTS)).cast("long")
 
 
-def _links(rows: DataFrame, percent: int, full: bool, name: str) -> DataFrame:
-    """Links that join all linked texts of each cluster; rows are (cluster, rep, n, hashes), written tables.
+def _joined(rows: DataFrame, percent: int, full: bool, name: str) -> DataFrame:
+    """(node, component) of the texts that are linked within a cluster; rows are (cluster, rep, n, hashes), written tables.
 
     A cluster is dealt into blocks.  First each block is compared within itself.  Then two texts of a cluster's largest
     component so far need no comparison; all others are its query set, dealt into blocks, each of which meets each block.
+    The components so far take the place of the links that made them; where no text is left to ask, they are the result.
     """
     held = F.col("n") if full else F.least(F.col("n"), F.lit(RETAINED))
     per = rows.groupBy("cluster").agg(F.sum(held).alias("all"), F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("cluster", _blocks("all", "texts").alias("blocks"))
     placed = rows.join(per, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     within = materialise(_block_links(placed, ["cluster", "block"], percent, full), f"near-{name}")
     large = materialise(placed.filter("blocks > 1").select("cluster", "block", "blocks", "rep", "n"), f"near-{name}-large")
-    if not large.head(1):
-        return within
     so_far = components(within, f"near-{name}-within")
+    if not large.head(1):
+        return so_far
     component = F.coalesce("component", "rep")
     marked = large.join(so_far, F.col("rep") == F.col("node"), "left").select("cluster", "rep", "n", component.alias("component"))
     sizes = marked.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("texts"))
     largest = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("texts", "component")).alias("largest"))
     minor = materialise(marked.join(largest, "cluster").filter("component <> largest").select("cluster", "rep", "n"), f"near-{name}-minor")
+    if not minor.head(1):
+        return so_far
     held = F.sum(held)
     asks = minor.groupBy("cluster").agg(held.alias("all"), F.count(F.lit(1)).alias("texts")).select("cluster", _blocks("all", "texts").alias("queries"))
     queries = minor.join(asks, "cluster").select("cluster", "rep", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("queries")).alias("query"))
@@ -239,7 +242,7 @@ def _links(rows: DataFrame, percent: int, full: bool, name: str) -> DataFrame:
     asking = big.join(queries, ["cluster", "rep"]).select("cluster", "query", each(F.col("blocks")).alias("block"), "rep", "n", "hashes")
     asked = big.join(asks, "cluster").select("cluster", each(F.col("queries")).alias("query"), "block", "rep", "n", "hashes")
     across = materialise(_block_links(asking.unionAll(asked), ["cluster", "query", "block"], percent, full), f"near-{name}-across")
-    return within.unionAll(across)
+    return components(so_far.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(across), f"near-{name}-joined")
 
 
 def _member_cells(members: DataFrame) -> np.ndarray:
@@ -290,7 +293,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     How: equal sets are one text, by its smallest doc_id (its rep).  Two texts that may be linked meet in an inverted list of
     the reps' rarest retained values; sketches are compared within each list, and what the estimate links is joined to
     clusters; full sets are compared in those only.  Lists are not joined first: chance alone ties texts that are not alike
-    to one cluster, of a growing share of the corpus.  Either comparison goes by blocks of bounded size (see _links), so a
+    to one cluster, of a growing share of the corpus.  Either comparison goes by blocks of bounded size (see _joined), so a
     large group of near copies costs a comparison within blocks and what that leaves over, not all its pairs; no pair is a
     row, and no link between different texts is lost but by an unlikely sketch (see SHARED).
     """
@@ -301,9 +304,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     )
     entries = materialise(_entries(reps, percent), "near-entries")
     cut = materialise(_lists(entries, reps, percent), "near-cut")
-    finer = components(_links(cut, percent, False, "estimates"), "near-clusters").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    links = _links(materialise(_full_sets(d, finer, size), "near-sets"), percent, True, "links")
-    found = components(links, "near-components")
+    finer = _joined(cut, percent, False, "estimates").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    found = _joined(materialise(_full_sets(d, finer, size), "near-sets"), percent, True, "links")
     of_set = reps.select("id1", "id2", "n", "rep", "copies").join(found, F.col("rep") == F.col("node"), "left").select("id1", "id2", "n", "copies", F.coalesce("component", "rep").alias("component"))
     kind = d.schema["doc_id"].dataType
     rows = drawn.drop("sketch")

@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from leafmill.llm import common, gru, mix, near, rules, shingles, token_ids, warc
+from leafmill.llm import common, graph, gru, mix, near, rules, shingles, token_ids, warc
 from leafmill.llm.fm_index import FmIndex, suffix_array
 from leafmill.llm.queries import TOKENIZER
 
@@ -185,6 +185,29 @@ def test_trees_are_monotonic():
     assert ((t.probability(x) > 0.5) == y).mean() > 0.85
 
 
+@given(st.lists(st.tuples(st.integers(-9, 40), st.integers(-9, 40)), max_size=40))
+@settings(deadline=None)
+def test_stars(edges):
+    u, v = graph.stars(*(np.array([e[i] for e in edges], np.int64) for i in (0, 1)))
+    want = brute.components({x for e in edges for x in e}, edges)
+    assert dict(zip(u.tolist(), v.tolist(), strict=True)) == {x: c for x, c in want.items() if x != c} and len(u) == len(set(u.tolist()))
+
+
+def test_components_in_few_rounds(spark, monkeypatch):
+    rounds, written = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, name: (rounds.append(name), written(df, name))[1])
+    r = random.Random(5)
+    # A path of all numbers in any order, a hub, pairs, a loop at one node; in one task, then in many.
+    order = r.sample(range(200), 200)
+    edges = [*zip(order, order[1:], strict=False), *((500, i) for i in range(501, 900)), *((i, i + 1) for i in range(1000, 1100, 3)), (7, 7)]
+    want = brute.components({x for e in edges for x in e}, edges)
+    for parts, most in ((1, 2), (8, 8)):
+        rounds.clear()
+        got = graph.components(spark.createDataFrame(edges, "a long, b long").repartition(parts), "test").collect()
+        assert len(got) == len(want) and {x.node: x.component for x in got} == want
+        assert len(rounds) <= most
+
+
 def test_shingles_and_links():
     ranges = [(0, 100), (0, 100), (11, 111), (12, 112), (500, 503)]
     sets = [np.unique(shingles.mix64(np.arange(*r).astype(np.uint64))) for r in ranges]

@@ -6,6 +6,8 @@ from collections import Counter
 import brute
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from leafmill.llm import audit, manifest, queries, repeats, suffixes
@@ -123,3 +125,16 @@ def test_manifest_without_crc(spark):
     docs = spark.createDataFrame([(1, "A"), (2, None)], "doc_id long, text string").withColumns({"source": F.lit(None).cast("string"), "lang": F.lit("en"), "n_chars": F.lit(1)})
     found = {r["doc_id"]: r for r in manifest.manifest(docs).withColumn("again", manifest.folded(F.col("leaf"), F.col("proof"))).collect()}
     assert all(r["again"] == r["root"] and len(r["proof"]) == 1 for r in found.values())
+
+
+@given(st.lists(st.integers(1, 3), max_size=80), st.integers(1, 9), st.integers(1, 30), st.randoms())
+@settings(deadline=None)
+def test_strings_agree(letters, length, most, r):
+    """Runs of strings are compared letter by letter, each letter once, in steps of any size."""
+    text = np.array(letters, np.uint16)
+    at = np.array(r.sample(range(max(0, len(letters) - length + 1)), max(0, len(letters) - length + 1)), np.int64)
+    other = np.array([r.choice([max(0, x - 1), max(0, x - 3), r.choice(at.tolist())]) for x in at.tolist()], np.int64)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(suffixes, "COMPARED", most)
+        got = suffixes.agree(text, at, other, length)
+    assert got.tolist() == [letters[a : a + length] == letters[b : b + length] for a, b in zip(at.tolist(), other.tolist(), strict=True)]

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.operators import graph
+from leafmill.operators import graph, trees
 
 
 def counted(monkeypatch):
@@ -57,3 +57,24 @@ def test_rounds_keep_one_table(spark):
     df = spark.createDataFrame([(i, i - 1 if i else None, 1.0, 1.0) for i in range(300)], "id long, parent long, x double, y double")
     assert graph.folded_offsets(df).count() == 300
     assert len(tables() - before) == 1
+
+
+def test_outlines_beside_cycles_end_early(spark, monkeypatch, capsys):
+    refs = [(0, None, 0, "outline")] + [(i, 0, i, "element") for i in range(1, 4)] + [(100 + i, 100 + (i ^ 1), 0, "element") for i in range(1000)]
+    df = spark.createDataFrame(refs, "id long, parent long, pos long, kind string")
+    made = counted(monkeypatch)
+    monkeypatch.setattr(trees, "checkpointed", graph.checkpointed)
+    out = trees.outline(df)
+    # Eight arcs are three rounds and one that finishes none; the rest is what is written besides.
+    assert len(made) <= 11
+    assert {(r["id"], r["place"]) for r in out.filter("fault IS NULL").collect()} == {(i, i) for i in range(4)}
+    assert out.filter("fault = 'cycle'").count() == 1000
+    capsys.readouterr()
+    out.explain("cost")
+    assert not any(unit in capsys.readouterr().out for unit in (" GiB", " TiB", " PiB", " EiB", "E+"))
+
+
+@pytest.mark.parametrize("budget, cut", [(3, 1), (4, 0), (5, 0)])
+def test_budgets_at_the_size_of_a_root(spark, budget, cut):
+    df = spark.createDataFrame([(0, None, 0, "outline")] + [(i, 0, i, "element") for i in range(1, 5)], "id long, parent long, pos long, kind string")
+    assert trees.outline(df, budget=budget).filter("fault = 'budget'").count() == cut

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafmill.operators import graph, trees
+from leafmill.sources import folders
 
 
 def counted(monkeypatch):
@@ -71,10 +72,22 @@ def test_outlines_beside_cycles_end_early(spark, monkeypatch, capsys):
     assert out.filter("fault = 'cycle'").count() == 1000
     capsys.readouterr()
     out.explain("cost")
-    assert not any(unit in capsys.readouterr().out for unit in (" GiB", " TiB", " PiB", " EiB", "E+"))
+    said = capsys.readouterr().out
+    assert "sizeInBytes" in said and not any(unit in said for unit in (" GiB", " TiB", " PiB", " EiB", "E+"))
 
 
 @pytest.mark.parametrize("budget, cut", [(3, 1), (4, 0), (5, 0)])
 def test_budgets_at_the_size_of_a_root(spark, budget, cut):
     df = spark.createDataFrame([(0, None, 0, "outline")] + [(i, 0, i, "element") for i in range(1, 5)], "id long, parent long, pos long, kind string")
     assert trees.outline(df, budget=budget).filter("fault = 'budget'").count() == cut
+
+
+def test_folders_leave_sizes_as_they_are(spark, capsys):
+    files = spark.createDataFrame([(f"/nb/G{i % 9}/H{i % 4}/S{i}.one",) for i in range(400)], "path string")
+    toc = spark.createDataFrame([("G1", "h1", 0, "#1")], "dir string, name string, pos int, color string")
+    out = folders.loaded(folders.entries(files, "/nb"), toc)
+    assert out.count() == 400 + 9 + 36 and out.agg(F.max("place")).first()[0] == 445
+    capsys.readouterr()
+    out.explain("cost")
+    said = capsys.readouterr().out
+    assert "sizeInBytes" in said and not any(unit in said for unit in (" GiB", " TiB", " PiB", " EiB", "E+"))

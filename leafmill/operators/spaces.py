@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.operators.graph import checkpointed
+from leafmill.operators.graph import checkpointed, next_round
 
 #: Fixed: the parts of an object in a group, and what a group's entry may hold.
 DATA, FILE, META = 1, 2, 4
@@ -90,17 +90,24 @@ def objects(chain: DataFrame, groups: DataFrame, declared: DataFrame, data: Data
     its FILE entry counts if it is a blob.  Of a manifest's groups the first wins, or the last.  A group of very many objects
     is a key of a join that Spark splits; counts and places combine before they are shuffled.
     """
-    kinds = declared.join(data.select("group", "pos", "kind"), ["group", "pos"])
-    entry = lambda part: F.max(F.when(F.col("part") == part, F.struct("pos", "kind")))
-    whole = kinds.filter("object IS NOT NULL").groupBy("group", "object").agg(entry(META).alias("_meta"), entry(DATA).alias("_data"), entry(FILE).alias("_file"))
-    whole = whole.filter((F.col("_meta.kind") == OBJECT) & (F.col("_data.kind") == OBJECT))
-    places = F.struct("rank", "group", F.col("_meta.pos").alias("meta"), F.col("_data.pos").alias("data"), F.when(F.col("_file.kind") == BLOB, F.col("_file.pos")).alias("file"))
+    # What is the last entry of a part: its place, with its kind in the last two bits.  Each step is written, so that its shuffles go before the next.
+    code = F.when(F.col("kind") == OBJECT, 2).when(F.col("kind") == BLOB, 1).otherwise(0)
+    kinds = declared.filter("object IS NOT NULL").join(data.select("group", "pos", code.alias("_code")), ["group", "pos"])
+    entry = lambda part: F.max(F.when(F.col("part") == part, F.col("pos").cast("long") * 4 + F.col("_code")))
+    whole = kinds.groupBy("group", "object").agg(entry(META).alias("_meta"), entry(DATA).alias("_data"), entry(FILE).alias("_file"))
+    of = lambda c, kind: F.pmod(F.col(c), F.lit(4)) == kind
+    place = lambda c: F.shiftright(c, 2)
+    whole = checkpointed(whole.filter(of("_meta", 2) & of("_data", 2)).select("group", "object", place("_meta").alias("meta"), place("_data").alias("data"), F.when(of("_file", 1), place("_file")).alias("file")))
     order = F.struct("rank", (-F.col("pos") if last else F.col("pos")).alias("pos"))
-    won = chain.join(groups, "manifest").join(whole, "group").groupBy("cell", "object").agg(F.min_by(places, order).alias("_w")).select("cell", "object", "_w.*")
+    won = chain.join(groups, "manifest").join(whole, "group").groupBy("cell", "object").agg(F.min_by(F.struct("rank", "group", "meta", "data", "file"), order).alias("_w"))
+    won = next_round(won.select("cell", "object", "_w.*"), whole)
 
     wanted = F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.col(c).alias("pos")) for p, c in ((META, "meta"), (DATA, "data"), (FILE, "file")))))
     each = won.select("cell", "object", "rank", "group", wanted.alias("_e")).select("cell", "object", "rank", "group", "_e.*").filter("pos IS NOT NULL")
-    values = each.join(data.select("group", "pos", "value", "blob", "cells"), ["group", "pos"])
+    # Objects give values and cells, blobs their ids, other entries nothing.
+    is_object = F.col("kind") == OBJECT
+    held = data.filter(F.col("kind").isin(OBJECT, BLOB)).select("group", "pos", F.when(is_object, F.col("value")).alias("value"), F.when(~is_object, F.col("blob")).alias("blob"), F.when(is_object, F.col("cells")).alias("cells"))
+    values = each.join(held, ["group", "pos"])
     kept = lambda part, c: F.any_value(F.when(F.col("part") == part, F.col(c)), True)
     out = values.groupBy("cell", "object").agg(
         F.first("rank").alias("rank"), F.first("group").alias("group"), kept(META, "value").alias("meta"), kept(DATA, "value").alias("data"), kept(DATA, "cells").alias("cells"),

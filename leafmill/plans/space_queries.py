@@ -37,7 +37,7 @@ def space_objects(spark, d):
     heads, manifests, groups, held, declared, data, blobs = _store(spark, d)
     chain = spaces.chains(heads, manifests)
     found = spaces.faults(heads, chain, manifests, groups, held, declared, data)
-    got = spaces.without_faults(spaces.objects(chain, groups, declared, data, blobs), found)
+    got = spaces.objects(spaces.without_faults(chain, found), groups, declared, data, blobs)
     got = spaces.split_references(got.withColumn("space", F.col("cell") % 3), "cells", "space")
     return got.select("cell", "object", "rank", "group", "meta", "data", "file", "file_missing", F.concat_ws(",", F.transform("contexts", lambda x: x.cast("string"))).alias("contexts"), F.size("spaces").alias("n_spaces"))
 

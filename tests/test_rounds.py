@@ -1,11 +1,12 @@
 """Tables between rounds: what they hold, what the planner knows of them, and how many there are."""
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.operators import graph, trees
+from leafmill.operators import graph, spaces, trees
 from leafmill.sources import folders
 
 
@@ -91,3 +92,27 @@ def test_folders_leave_sizes_as_they_are(spark, capsys):
     out.explain("cost")
     said = capsys.readouterr().out
     assert "sizeInBytes" in said and not any(unit in said for unit in (" GiB", " TiB", " PiB", " EiB", "E+"))
+
+
+def test_written_tables_keep_no_shuffles(spark):
+    shuffles = lambda: {x for _, _, names in os.walk(spark.conf.get("spark.local.dir")) for x in names if x.startswith("shuffle_")}
+    before, said = shuffles(), spark.conf.get(graph._CLEANUP)
+    assert graph.checkpointed(spark.range(1000).repartition(7, "id")).count() == 1000
+    assert spark.conf.get(graph._CLEANUP) == said
+    until = time.time() + 20
+    while (left := {x for x in shuffles() - before if x.endswith(".data")}) and time.time() < until:
+        time.sleep(0.2)
+    # The count over what is read back has one of its own.
+    assert len({x.split("_")[1] for x in left}) <= 1
+
+
+def test_objects_at_negative_and_large_places(spark):
+    big = 1 << 40
+    chain = spark.createDataFrame([(1, 10, 0)], "cell long, manifest long, rank long")
+    groups = spark.createDataFrame([(10, 1, 7)], "manifest long, pos long, group long")
+    declared = spark.createDataFrame([(7, -3, 5, spaces.META), (7, -2, 5, spaces.META), (7, big, 5, spaces.DATA), (7, 0, 5, spaces.FILE), (7, 1, 6, spaces.META), (7, 2, 6, spaces.DATA)], "group long, pos long, object long, part int")
+    kinds = [(-3, "excluded"), (-2, "object"), (big, "object"), (0, "blob"), (1, "object"), (2, None)]
+    data = spark.createDataFrame([(7, p, k, p * 10, 3, [(p, 1)]) for p, k in kinds], "group long, pos long, kind string, value long, blob long, cells array<struct<a:long,b:long>>")
+    blobs = spark.createDataFrame([(3, "file")], "blob long, payload string")
+    got = spaces.objects(chain, groups, declared, data, blobs).collect()
+    assert [(r["object"], r["meta"], r["data"], r["cells"], r["file"], r["file_missing"]) for r in got] == [(5, -20, big * 10, [(big, 1)], "file", False)]

@@ -29,11 +29,12 @@ class ExportOptions:
 def planned(pages: DataFrame, options: ExportOptions = ExportOptions()) -> DataFrame:
     """``stem``, ``path``, ``wiki`` and ``parent`` of (page, section, seq, level, title): the barrier that all pages pass before any is rendered,
     since links may point ahead and names must be unique."""
-    named = text.file_name(text.fallback(F.col("title"), "Untitled Page"), options.name_bytes)
+    named = text.file_name(text.once(F.col("title"), lambda t: text.fallback(t, "Untitled Page")), options.name_bytes)
     folder = text.file_name(F.col("section"))
     if options.format == "vault":
         named, folder = text.vault_name(named), text.vault_name(folder)
-    p = pages.withColumn("_name", named).withColumn("_folder", folder)
+    # Written: names are read several times from here on, and the texts they come from are long.
+    p = checkpointed(pages.withColumn("_name", named).withColumn("_folder", folder))
     p = sequence.unique_names(p, "_folder", "seq", "_name", options.reserved, "stem")
     p = sequence.parent_page(p, "section", "seq", "level").withColumn("_path", F.concat_ws("/", "_folder", "stem"))
     p = links.wiki_targets(p, "stem", "_path")

@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from leafmill.functions import text
 from leafmill.operators import graph, spaces, trees
 from leafmill.sources import folders
 
@@ -116,3 +117,12 @@ def test_objects_at_negative_and_large_places(spark):
     blobs = spark.createDataFrame([(3, "file")], "blob long, payload string")
     got = spaces.objects(chain, groups, declared, data, blobs).collect()
     assert [(r["object"], r["meta"], r["data"], r["cells"], r["file"], r["file_missing"]) for r in got] == [(5, -20, big * 10, [(big, 1)], "file", False)]
+
+
+def test_names_are_made_once(spark, capsys):
+    """What a name comes from is computed once; as plain expressions its steps were stated again for each use."""
+    df = spark.createDataFrame([("a" * 200,), ("é" * 60,), (" con.txt",), ("..",), (None,), ("x:y",)], "t string")
+    named = df.select(text.file_name(F.col("t"), 80).alias("n"))
+    named.explain()
+    assert 5 <= capsys.readouterr().out.count("regexp_replace") <= 10
+    assert [r["n"] for r in named.collect()] == ["a" * 80, "é" * 40, "_con.txt", "untitled", "untitled", "x_y"]

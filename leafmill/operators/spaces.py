@@ -5,15 +5,20 @@ Only keys and places go along the chains; values join once, when it is known whi
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.operators.graph import checkpointed, next_round
+from leafmill.operators.graph import checkpointed, gone, next_round
 
 #: Fixed: the parts of an object in a group, and what a group's entry may hold.
 DATA, FILE, META = 1, 2, 4
 OBJECT, BLOB = "object", "blob"
 
+#: Groups are worked on in so many slices by hash, one after the other: each shuffles its part of all entries, which bounds the disk.
+SLICES = 4
+
 #: Faults that leave a cell without objects.
 FATAL = ("no manifest", "missing manifest", "missing group", "counts differ")
 
@@ -48,12 +53,12 @@ def chains(heads: DataFrame, manifests: DataFrame) -> DataFrame:
     while True:
         on = known.join(jump, F.col("manifest") == F.col("_from"))
         on = on.select("cell", F.col("_to").alias("manifest"), (F.col("rank") + reach).alias("rank"))
-        known = checkpointed(known.unionByName(on).groupBy("cell", "manifest").agg(F.min("rank").alias("rank")))
+        known = next_round(known.unionByName(on).groupBy("cell", "manifest").agg(F.min("rank").alias("rank")), known)
         more = known.count()
         if more == rows:
             return known
         far = jump.alias("a").join(jump.alias("b"), F.col("a._to") == F.col("b._from"))
-        jump, reach, rows = checkpointed(far.select(F.col("a._from").alias("_from"), F.col("b._to").alias("_to"))), reach * 2, more
+        jump, reach, rows = next_round(far.select(F.col("a._from").alias("_from"), F.col("b._to").alias("_to")), jump), reach * 2, more
 
 
 def faults(heads: DataFrame, chain: DataFrame, manifests: DataFrame, groups: DataFrame, held: DataFrame, declared: DataFrame, data: DataFrame) -> DataFrame:
@@ -90,33 +95,43 @@ def objects(chain: DataFrame, groups: DataFrame, declared: DataFrame, data: Data
     its FILE entry counts if it is a blob.  Of a manifest's groups the first wins, or the last.  A group of very many objects
     is a key of a join that Spark splits; counts and places combine before they are shuffled.
     """
-    # What is the last entry of a part: its place, with its kind in the last two bits.  Each step is written, so that its shuffles go before the next.
+    # What is the last entry of a part: its place, with its kind in the last two bits.  Steps and slices are written, so that the shuffles of one go before the next.
     code = F.when(F.col("kind") == OBJECT, 2).when(F.col("kind") == BLOB, 1).otherwise(0)
-    kinds = declared.filter("object IS NOT NULL").join(data.select("group", "pos", code.alias("_code")), ["group", "pos"])
     entry = lambda part: F.max(F.when(F.col("part") == part, F.col("pos").cast("long") * 4 + F.col("_code")))
-    whole = kinds.groupBy("group", "object").agg(entry(META).alias("_meta"), entry(DATA).alias("_data"), entry(FILE).alias("_file"))
     of = lambda c, kind: F.pmod(F.col(c), F.lit(4)) == kind
     place = lambda c: F.shiftright(c, 2)
-    whole = checkpointed(whole.filter(of("_meta", 2) & of("_data", 2)).select("group", "object", place("_meta").alias("meta"), place("_data").alias("data"), F.when(of("_file", 1), place("_file")).alias("file")))
+    wholes = []
+    for k in range(SLICES):
+        kinds = _slice(declared.filter("object IS NOT NULL"), k).join(_slice(data, k).select("group", "pos", code.alias("_code")), ["group", "pos"])
+        found = kinds.groupBy("group", "object").agg(entry(META).alias("_meta"), entry(DATA).alias("_data"), entry(FILE).alias("_file")).filter(of("_meta", 2) & of("_data", 2))
+        wholes.append(checkpointed(found.select("group", "object", place("_meta").alias("meta"), place("_data").alias("data"), F.when(of("_file", 1), place("_file")).alias("file"))))
     order = F.struct("rank", (-F.col("pos") if last else F.col("pos")).alias("pos"))
-    won = chain.join(groups, "manifest").join(whole, "group").groupBy("cell", "object").agg(F.min_by(F.struct("rank", "group", "meta", "data", "file"), order).alias("_w"))
-    won = next_round(won.select("cell", "object", "_w.*"), whole)
+    won = chain.join(groups, "manifest").join(reduce(DataFrame.unionByName, wholes), "group").groupBy("cell", "object").agg(F.min_by(F.struct("rank", "group", "meta", "data", "file"), order).alias("_w"))
+    won = checkpointed(won.select("cell", "object", "_w.*"))
+    for df in wholes:
+        gone(df)
 
     wanted = F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.col(c).alias("pos")) for p, c in ((META, "meta"), (DATA, "data"), (FILE, "file")))))
     each = won.select("cell", "object", "rank", "group", wanted.alias("_e")).select("cell", "object", "rank", "group", "_e.*").filter("pos IS NOT NULL")
-    # Objects give values and cells, blobs their ids, other entries nothing.
+    # Objects give values and cells, blobs their ids, other entries nothing.  An object's entries are of one group, so of one slice.
     is_object = F.col("kind") == OBJECT
     held = data.filter(F.col("kind").isin(OBJECT, BLOB)).select("group", "pos", F.when(is_object, F.col("value")).alias("value"), F.when(~is_object, F.col("blob")).alias("blob"), F.when(is_object, F.col("cells")).alias("cells"))
-    values = each.join(held, ["group", "pos"])
     kept = lambda part, c: F.any_value(F.when(F.col("part") == part, F.col(c)), True)
-    out = values.groupBy("cell", "object").agg(
-        F.first("rank").alias("rank"), F.first("group").alias("group"), kept(META, "value").alias("meta"), kept(DATA, "value").alias("data"), kept(DATA, "cells").alias("cells"),
-        kept(FILE, "blob").alias("_blob"), F.max(F.col("part") == FILE).alias("_has_file"),
-    )
-    out = out.join(blobs.select(F.col("blob").alias("_b"), F.col("payload").alias("file"), F.lit(True).alias("_found")), F.col("_blob") == F.col("_b"), "left")
+    outs = []
+    for k in range(SLICES):
+        values = _slice(each, k).join(_slice(held, k), ["group", "pos"])
+        outs.append(checkpointed(values.groupBy("cell", "object").agg(
+            F.first("rank").alias("rank"), F.first("group").alias("group"), kept(META, "value").alias("meta"), kept(DATA, "value").alias("data"), kept(DATA, "cells").alias("cells"),
+            kept(FILE, "blob").alias("_blob"), F.max(F.col("part") == FILE).alias("_has_file"),
+        )))
+    out = reduce(DataFrame.unionByName, outs).join(blobs.select(F.col("blob").alias("_b"), F.col("payload").alias("file"), F.lit(True).alias("_found")), F.col("_blob") == F.col("_b"), "left")
     return out.select("cell", "object", "rank", "group", "meta", "data", "cells", "file", (F.col("_has_file") & F.col("_found").isNull()).alias("file_missing"))
 
 
+def _slice(rows: DataFrame, k: int) -> DataFrame:
+    return rows.filter(F.pmod(F.xxhash64("group"), F.lit(SLICES)) == k)
+
+
 def without_faults(rows: DataFrame, found: DataFrame, fatal: tuple[str, ...] = FATAL) -> DataFrame:
     """Rows of cells that have none of the fatal faults."""
     return rows.join(found.filter(F.col("fault").isin(*fatal)).select("cell").distinct(), "cell", "left_anti")

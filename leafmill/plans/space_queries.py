@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leafmill.operators import spaces
+from leafmill.operators.graph import checkpointed
 from leafmill.plans.queries import read
 
 
-def _store(spark, d):
+def _chained(spark, d):
     """A customer's orders base on one another; one in 97 bases on none that there is, a customer in 50 on its own newest."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
@@ -17,8 +18,13 @@ def _store(spark, d):
     manifests = o.select("manifest", F.when(F.col("_before").isNull() & (F.col("cell") % 50 == 0), F.col("_newest")).when(F.col("manifest") % 97 == 0, -F.col("manifest")).otherwise(F.col("_before")).alias("base"))
     newest = o.groupBy("cell").agg(F.max("manifest").alias("_m"))
     heads = read(spark, d, "customer").select(F.col("c_custkey").alias("cell")).join(newest, "cell", "left").select("cell", F.col("_m").alias("manifest"))
+    return heads, manifests
+
 
-    line = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("manifest"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).cast("long").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
+def _store(spark, d):
+    """The chains and their groups.  Numbered lines are written, as four tables come from them."""
+    heads, manifests = _chained(spark, d)
+    line = checkpointed(read(spark, d, "lineitem").select(F.col("l_orderkey").alias("manifest"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).cast("long").alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")))
     group = (F.col("manifest") * 100 + F.col("n")).alias("group")
     groups = line.select("manifest", F.col("n").alias("pos"), group)
     held = groups.filter(F.col("group") % 211 != 0).select("group")
@@ -48,7 +54,7 @@ def space_faults(spark, d):
 
 
 def chain_roots(spark, d):
-    heads, manifests, *_ = _store(spark, d)
+    heads, manifests = _chained(spark, d)
     k = F.col("l_orderkey")
     labels = read(spark, d, "lineitem").select(k.alias("manifest"), F.col("l_linenumber").alias("seq"), (F.col("l_partkey") % 4).alias("role"), F.col("l_partkey").alias("root"))
     return spaces.roots(spaces.chains(heads, manifests), labels)
